@@ -8,9 +8,14 @@ import sys
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A maximal run of characters other than ASCII white space.
 WHITE_WORD = r"[^\x20\x09-\x0D]+"
@@ -79,3 +84,35 @@ def ascii_lower(text: Column) -> Column:
 
 def word_array(lowered: Column) -> Column:
     return F.filter(F.split(lowered, WORD_BREAK), lambda w: w != "")
+
+
+def add_columns(df: DataFrame, inputs: list[str], make: Callable, fields: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Append columns computed in Arrow batches: make() gives, once a task, a function of lists that returns lists.
+
+    Nothing outlives a batch, so memory is bounded by a batch whatever the size of the table.
+    """
+    added = T.StructType.fromDDL(fields)
+    kept = [f for f in df.schema.fields if f.name not in drop]
+    names = [f.name for f in kept]
+    types = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            made = compute(*[batch.column(batch.schema.get_field_index(i)).to_pylist() for i in inputs])
+            old = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays(
+                [*old, *(pa.array(v, type=t) for v, t in zip(made, types, strict=True))], [*names, *added.names])
+
+    return df.mapInArrow(run, T.StructType([*kept, *added.fields]))
+
+
+def pack(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and all others but the text in one struct, so that no name can clash with a column made later."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"))
+
+
+def unpack(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, in their order, from what pack() made."""
+    return df.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])

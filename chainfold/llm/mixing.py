@@ -4,7 +4,9 @@ Each source has a target in words; a document's expected copies are target / wor
 Whole copies are taken as they are; the fractions are rounded so that a source's words are kept:
 two documents with fractional copies meet, words move at random from one to the other until one is
 integral, and what is left meets the next. The expectation of every document is unchanged, and the
-words of a source differ from its target by less than one document.
+words of a source differ from its target by less than one document. The root of a source's tree then
+flips a few of the documents that it holds, largest first, while that brings the words nearer to the
+target; this touches no more than one node's documents.
 
 The pairing is a reduction tree. Leaves are buckets of about LEAF documents by a hash of the id, so
 a source of any size is spread over many tasks; each leaf leaves one document at most, and LEAF
@@ -92,6 +94,20 @@ def pivot(p: np.ndarray, size: np.ndarray, key: np.ndarray, seed: int) -> np.nda
     return p
 
 
+def settle(p: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Round the last fraction of a source, then flip documents, largest first, that bring the words nearer."""
+    p = p.copy()
+    rest = np.flatnonzero((p > 0) & (p < 1))
+    short = float((p[rest] * size[rest]).sum())
+    p[rest] = _mixed(key[rest] ^ np.uint64(0xD1CE)) / 2.0**64 < p[rest]
+    short -= float((p[rest] * size[rest]).sum())
+    for k in np.lexsort((key, -size)):
+        gain = size[k] if p[k] == 0 else -size[k]
+        if abs(short - gain) < abs(short):
+            p[k], short = 1 - p[k], short - gain
+    return p
+
+
 _NODE = "_key string, _node long, _rid long, _hash long, size long, _p double"
 
 
@@ -100,8 +116,8 @@ def _node_rounder(level: int, last: bool):
         rows = rows.sort_values(["_hash", "_rid"], kind="stable", ignore_index=True)
         key = rows["_hash"].to_numpy(np.int64).view(np.uint64)
         p = pivot(rows["_p"].to_numpy(float), rows["size"].to_numpy(float), key, level)
-        if last and len(rest := np.flatnonzero((p > 0) & (p < 1))):
-            p[rest] = _mixed(key[rest] ^ np.uint64(0xD1CE)) / 2.0**64 < p[rest]
+        if last:
+            p = settle(p, rows["size"].to_numpy(float), key)
         return rows.assign(_p=p)
 
     return round_node

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_decontamination
 from .mixing import op9_mixing
+from .quality import op7_quality_rules
 from .sharding import op5_sharding
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_sharding, op7_quality_rules, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {}
