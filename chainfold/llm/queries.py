@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from .decontamination import op2_decontamination
-from .mixing import op9_mixing
-from .quality import op7_quality_rules
-from .sharding import op5_sharding
+from . import decontamination, licenses, mixing, quality, sharding, url_filters
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_sharding, op7_quality_rules, op9_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    licenses.op1_license_scan,
+    decontamination.op2_decontamination,
+    sharding.op5_sharding,
+    quality.op7_quality_rules,
+    mixing.op9_mixing,
+    url_filters.op10_url_filters,
+)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.ORACLE,
+    "op10_url_filters": url_filters.ORACLE,
+}
