@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, mixing, quality, sharding, url_filters
+from . import decontamination, licenses, line_dedup, mixing, quality, sharding, url_filters
 
 QUERIES = {f.__name__: f for f in (
     licenses.op1_license_scan,
     decontamination.op2_decontamination,
+    line_dedup.op3_line_dedup,
     sharding.op5_sharding,
     quality.op7_quality_rules,
     mixing.op9_mixing,
@@ -14,5 +15,6 @@ QUERIES = {f.__name__: f for f in (
 )}
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.ORACLE,
+    "op3_line_dedup": line_dedup.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }
