@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, line_dedup, mixing, quality, sharding, url_filters
+from . import decontamination, licenses, line_dedup, mixing, quality, sharding, tokens, url_filters
 
 QUERIES = {f.__name__: f for f in (
     licenses.op1_license_scan,
     decontamination.op2_decontamination,
     line_dedup.op3_line_dedup,
+    tokens.op4_token_ids,
     sharding.op5_sharding,
     quality.op7_quality_rules,
     mixing.op9_mixing,
