@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, line_dedup, mixing, quality, sharding, tokens, url_filters
+from . import chat, decontamination, licenses, line_dedup, mixing, quality, sharding, tokens, url_filters
 
 QUERIES = {f.__name__: f for f in (
     licenses.op1_license_scan,
@@ -11,11 +11,13 @@ QUERIES = {f.__name__: f for f in (
     tokens.op4_token_ids,
     sharding.op5_sharding,
     quality.op7_quality_rules,
+    chat.op8_chat_formatting,
     mixing.op9_mixing,
     url_filters.op10_url_filters,
 )}
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op8_chat_formatting": chat.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }
