@@ -58,9 +58,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.made = 0
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}-{len(self.paths)}"
+        self.made += 1
+        return f"{self.root}/{self.made}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
@@ -74,7 +76,6 @@ class Scratch:
             jvm = self.spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-            self.paths[f"dropped {path}"] = ""
 
 
 def ascii_lower(text: Column) -> Column:

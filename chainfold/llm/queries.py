@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, line_dedup, mixing, quality, sharding, tokens, url_filters
+from . import chat, decontamination, licenses, line_dedup, mixing, near_dedup, quality, sharding, tokens, url_filters
 
 QUERIES = {f.__name__: f for f in (
     licenses.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {f.__name__: f for f in (
     tokens.op4_token_ids,
     sharding.op5_sharding,
     quality.op7_quality_rules,
+    near_dedup.op6_near_dedup,
     chat.op8_chat_formatting,
     mixing.op9_mixing,
     url_filters.op10_url_filters,
