@@ -59,7 +59,7 @@ def shingle_set(text: str | None, held: dict[bytes, int]) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(held) > WORDS_HELD:
         held.clear()
-    for w in set(words) - held.keys():
+    for w in set(words).difference(held):
         held[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(held.__getitem__, words), np.uint64, n)
     k = min(n, SHINGLE)
