@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,22 +41,21 @@ from .repair import Grammar, compress
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-PIECES = 500_000
+PIECES = 700_000
 _SCHEMA = ("part int, shard int, doc_ids array<long>, n_tokens long, symbols binary, ends binary, rules binary, lengths binary")
 
 
-#: A full stop or comma between an ASCII letter and a blank is a pre-token of its own.
-_MARK = re.compile(r"([.,])(?<=[a-zA-Z].)(?= |$)")
-#: Below this code point lower-casing is by character and words of letters are composed.
-_SIMPLE = "\u0250"
+#: Letters whose lower case is one such letter, and which are composed as they are.
+_SIMPLE = re.compile("[a-zA-Z\u00c0-\u012f\u0131-\u024f]+")
 _BARE = 64
+_DOCS = 2048
 
 
 def _byte_letters() -> dict[int, str]:
-    """How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on."""
+    """How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on; blanks stay."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)} | {32: " "}
 
 
 class Encoder:
@@ -77,48 +77,84 @@ class Encoder:
         self.closes = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), bool)
         for token, k in self.whole.get_vocab(with_added_tokens=False).items():
             self.closes[k] = token.endswith("</w>")
-        self.store: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        store = self.store
-        simple: dict[str, str] = {}  # piece: its byte letters
-        other = []
-        for piece in pieces:
-            if not piece.isalpha():
-                other.append(piece)
-            elif piece.isascii():
-                simple[piece] = piece.lower()
-            elif max(piece) < _SIMPLE and max(low := piece.lower()) < _SIMPLE:
-                simple[piece] = low.encode().decode("latin-1").translate(self.letters)
-            else:
-                other.append(piece)
-        keys, words = list(simple), list(simple.values())
-        lots = [" ".join(words[k : k + _BARE]) for k in range(0, len(words), _BARE)]
+        self.words: dict[str, bytes] = {}  # of simple letters only
+        self.others: dict[str, bytes] = {}
+        self.marks = {m: self._whole(m).tobytes() for m in ".,"}
+
+    def _learn_words(self, words: list[str]) -> bool:
+        lots = [" ".join(words[k : k + _BARE]).lower().encode().decode("latin-1").translate(self.letters) for k in range(0, len(words), _BARE)]
         ids = np.array([i for e in self.bare.encode_batch_fast(lots, add_special_tokens=False) for i in e.ids], "<u4")
         # each of these words is one pre-token, which ends with the only id that closes a word
         cuts = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
-        if len(cuts) != len(keys):
-            other += keys
-        else:
-            raw = ids.tobytes()
-            store.update(zip(keys, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-        for piece, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            store[piece] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.store) > PIECES:
-            self.store.clear()
-        split, new = [], set()
-        for text in texts:
-            text = (text or "").replace("\n", " ")
-            pieces = _MARK.sub(r" \1", text.lower() if text.isascii() else text).split(" ")
-            split.append(pieces)
-            new.update(pieces)
-        new.difference_update(self.store.keys())
-        if new:
-            self._learn(new)
-        get = self.store.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        if len(cuts) != len(words):
+            return False
+        self.words.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        return True
+
+    def _learn_others(self, pieces: list[str], into: dict[str, bytes]) -> None:
+        for piece, e in zip(pieces, self.whole.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            into[piece] = np.array(e.ids, "<u4").tobytes()
+
+    def _values(self, names: list[str]) -> list[bytes]:
+        """The ids of each piece, from the stores or learnt."""
+        words, others, marks = self.words, self.others, self.marks
+        values = list(map(words.get, names))
+        new_words, new_others, later = set(), set(), []
+        for i, name in enumerate(names):
+            if values[i] is not None:
+                continue
+            # a full stop or comma after simple letters is a pre-token of its own
+            mark = marks.get(name[-1:], b"")
+            word = name[:-1] if mark else name
+            if mark and (value := words.get(word)) is not None:
+                values[i] = value + mark
+            elif (value := others.get(name)) is not None:
+                values[i] = value
+            elif word.isalpha() and (word.isascii() or _SIMPLE.fullmatch(word)):
+                new_words.add(word)
+                later.append((i, word, mark, words))
+            else:
+                new_others.add(name)
+                later.append((i, name, b"", others))
+        if new_words and not self._learn_words(list(new_words)):
+            self._learn_others(list(new_words), words)
+        if new_others:
+            self._learn_others(list(new_others), others)
+        for i, key, mark, store in later:
+            values[i] = store[key] + mark
+        return values
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has.
+
+        Splitting and numbering the pieces is Arrow's work; only a batch's distinct pieces become
+        Python strings.
+        """
+        texts = texts.fill_null("")
+        # a text that may hold a special token's name goes the whole way, unaltered
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        if special.any():
+            found = [self._whole(t) if odd else self.encode(pa.array([t], pa.string()))[0] for t, odd in zip(texts.to_pylist(), special, strict=True)]
+            return np.concatenate(found), np.array([len(f) for f in found])
+        for store in (self.words, self.others):
+            if len(store) > PIECES:
+                store.clear()
+        lines = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        pieces = lines.flatten().dictionary_encode()
+        values = self._values(pieces.dictionary.to_pylist())
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(values), "<u4")
+        which = pieces.indices.to_numpy()
+        width = size[which]
+        upto = np.cumsum(width)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = flat[np.repeat(first[which] - upto + width, width) + np.arange(total)]
+        ends = np.concatenate([[0], upto])[lines.offsets.to_numpy() - lines.offsets[0].as_py()]
+        return ids, np.diff(ends)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def _write(held, shard_tokens: int):
@@ -126,32 +162,39 @@ def _write(held, shard_tokens: int):
         state = held.value
         encoder = state.get("encoder") or state.setdefault("encoder", Encoder(state["path"]))
         part, shard = TaskContext.get().partitionId(), 0
-        ids, parts, total = [], [], 0
-        end = np.array([END_ID], "<u4").tobytes()
+        held_ids, held_sizes, held_keys, total = [], [], [], 0
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64())]
                            + [(n, pa.binary()) for n in ("symbols", "ends", "rules", "lengths")])
 
         def flush():
-            nonlocal ids, parts, total, shard
-            ends = np.cumsum([len(p) // 4 for p in parts])
-            g = compress(np.frombuffer(b"".join(parts), "<u4"), ends)
-            row = {"part": part, "shard": shard, "doc_ids": ids, "n_tokens": int(ends[-1]),
+            nonlocal held_ids, held_sizes, held_keys, total, shard
+            ends = np.cumsum(np.concatenate(held_sizes))
+            g = compress(np.concatenate(held_ids), ends)
+            row = {"part": part, "shard": shard, "doc_ids": held_keys, "n_tokens": int(ends[-1]),
                    "symbols": g.symbols.astype("<u4").tobytes(), "ends": g.ends.astype("<u4").tobytes(),
                    "rules": np.stack([g.left, g.right], 1).astype("<u4").tobytes(), "lengths": g.lengths.astype("<u4").tobytes()}
-            ids, parts, total, shard = [], [], 0, shard + 1
+            held_ids, held_sizes, held_keys, total, shard = [], [], [], 0, shard + 1
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            keys = batch.column("doc_id").to_pylist()
-            column = batch.column("text")
-            for k in range(0, len(keys), 256):
-                for key, raw in zip(keys[k : k + 256], encoder.encode(column.slice(k, 256).to_pylist()), strict=True):
-                    ids.append(key)
-                    parts.append(raw + end)
-                    total += len(raw) // 4 + 1
+            for k in range(0, batch.num_rows, _DOCS):
+                some = batch.slice(k, _DOCS)
+                ids, sizes = encoder.encode(some.column("text"))
+                ends = np.cumsum(sizes)
+                ids, sizes, ends = np.insert(ids, ends, END_ID), sizes + 1, ends + np.arange(1, len(sizes) + 1)
+                keys, done = some.column("doc_id").to_pylist(), 0
+                while done < len(keys):
+                    # documents up to the one that fills the shard
+                    before = int(ends[done - 1]) if done else 0
+                    stop = min(len(keys), int(np.searchsorted(ends, before + shard_tokens - total)) + 1)
+                    held_ids.append(ids[before : ends[stop - 1]])
+                    held_sizes.append(sizes[done:stop])
+                    held_keys += keys[done:stop]
+                    total += int(ends[stop - 1]) - before
+                    done = stop
                     if total >= shard_tokens:
                         yield flush()
-        if ids:
+        if held_keys:
             yield flush()
 
     return run
