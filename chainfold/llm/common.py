@@ -87,11 +87,24 @@ def word_array(lowered: Column) -> Column:
     return F.filter(F.split(lowered, WORD_BREAK), lambda w: w != "")
 
 
+#: Arrow batches to Python workers hold no more than this many bytes.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches, so that long texts cannot fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not now.isdecimal() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def add_columns(df: DataFrame, inputs: list[str], make: Callable, fields: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """Append columns computed in Arrow batches: make() gives, once a task, a function of lists that returns lists.
 
     Nothing outlives a batch, so memory is bounded by a batch whatever the size of the table.
     """
+    bound_batches(df.sparkSession)
     added = T.StructType.fromDDL(fields)
     kept = [f for f in df.schema.fields if f.name not in drop]
     names = [f.name for f in kept]

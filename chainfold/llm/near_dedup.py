@@ -35,7 +35,7 @@ DEPTHS = (4, 8, 16)
 HASHES = TREES * DEPTHS[0]
 CROWD = 8
 ROUNDS = 2
-WORDS_HELD = 400_000
+WORDS_HELD = 150_000
 #: Involved ids are sent to all tasks up to this many, else joined by shuffle.
 BROADCAST_ROWS = 20_000
 _rng = np.random.default_rng(20240601)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table
+from .common import Scratch, bound_batches, table
 from .repair import Grammar, compress
 
 END_ID = 1
@@ -202,6 +202,7 @@ def _write(held, shard_tokens: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode every document and write the shards under path."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast({"path": tokenizer})
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
     rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
@@ -243,6 +244,7 @@ def _read(with_ids: bool):
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids of each document."""
+    bound_batches(spark)
     shards = spark.read.schema(_SCHEMA).parquet(path)
     sizes = shards.select("part", "shard", "n_tokens")
     # shards of a part in a window of their own; one row per part in the window over all
