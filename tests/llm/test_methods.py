@@ -1,0 +1,216 @@
+"""The methods behind the queries: round trips, recall, components, trees of rounding, pipeline."""
+
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from chainfold.llm import line_dedup, mixing, near_dedup, repair, sharding, tokens
+from chainfold.llm.common import Scratch, shared_folder
+from chainfold.llm.components import components
+from chainfold.llm.decontamination import Tables, words_of
+from tests.llm import tables
+from tests.llm.test_queries import encoded
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=60), min_size=1, max_size=12), st.integers(1, 8), st.integers(2, 3))
+def test_repair_round_trip(docs, rounds, least):
+    ids, ends = np.array([x for d in docs for x in d], np.uint32), np.cumsum([len(d) for d in docs])
+    g = repair.compress(ids, ends, rounds=rounds, rules_a_round=5, least=least)
+    assert g.expand(g.symbols).tolist() == ids.tolist()
+    for k, d in enumerate(docs):
+        assert g.document(k).tolist() == d and [g.token(k, i) for i in range(len(d))] == d
+    assert g.widths(g.symbols).sum() == len(ids)
+
+
+def test_repair_compresses():
+    rng = np.random.default_rng(1)
+    ids = np.tile(rng.integers(0, 50_000, 400), 50).astype(np.uint32)
+    g = repair.compress(ids, np.array([len(ids)]))
+    assert len(g.symbols) < len(ids) / 8 and (g.expand(g.symbols) == ids).all()
+
+
+def test_encoder_against_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, mine = Tokenizer.from_file(path), tokens.Encoder(path)
+    rng = random.Random(5)
+    signs = [*"abcABC .,.,'’éÉßİıΣσςñ×÷ \n\t\x1c\x85\u00a0\u2028\u0301\u0300\u01c5\u01491²½_-#🙂中文कि", "'s", "'re", "<|endoftext|>", "<|ENDOFTEXT|>", "... ", "K"]
+    lots = [["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(40)] for _ in range(40)]
+    for lot in lots:
+        ids, sizes = mine.encode(pa.array(lot))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in lot]
+
+
+def test_token_files(spark, tmp_path):
+    docs = [(r[0], r[1]) for r in tables.documents(3, 20) if r[0] is not None]
+    docs = list(dict(docs).items())
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    import public_tokenizers
+
+    tokens.write_tokens(df, f"{tmp_path}/t", public_tokenizers.path("word_bpe_49k.json"), shard_tokens=2000)
+    got = {r.doc_id: r.ids for r in tokens.read_tokens(spark, f"{tmp_path}/t", with_ids=True).collect()}
+    assert got == dict(encoded([(d, t or "") for d, t in docs]))
+    shards = spark.read.parquet(f"{tmp_path}/t").collect()
+    assert len(shards) > 10
+    s = shards[3]
+    g = tokens.load(*(bytes(s[n]) for n in ("symbols", "ends", "rules", "lengths")))
+    assert g.document(0).tolist() == got[s.doc_ids[0]] and g.token(0, 0) == got[s.doc_ids[0]][0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcde"), max_size=12), max_size=5), st.lists(st.sampled_from("abcdef"), max_size=80), st.integers(1, 4))
+def test_wu_manber_against_every_place(items, text, window):
+    t = Tables([(str(k), " ".join(x)) for k, x in enumerate(items)], window)
+    n, spans, found = t.search(" ".join(text), None, None)
+    hit, owners = set(), set()
+    for k, x in enumerate(items):
+        m = min(window, len(x))
+        for a in range(len(x) - m + 1 if m else 0):
+            for b in range(len(text) - m + 1):
+                if x[a : a + m] == text[b : b + m]:
+                    hit |= set(range(b, b + m))
+                    owners.add(str(k))
+    assert n == len(text) and {p for s in spans for p in range(s["s"], s["e"])} == hit and found == sorted(owners)
+    assert all(a["e"] < b["s"] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_words():
+    assert words_of("It's É-tude 42\x7fz\u00a0y") == [b"it", b"s", "É".encode(), b"tude", b"42", "z\u00a0y".encode()] and words_of(None) == []
+
+
+def test_hilbert_is_a_curve(spark):
+    cells = spark.range(65536).select(F.col("id").cast("int").alias("p")).withColumn("h", sharding.hilbert_cell("p")).orderBy("h").collect()
+    assert [r.h for r in cells] == list(range(65536))
+    points = [[(r.p >> (4 * i)) & 15 for i in range(4)] for r in cells]
+    assert all(sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for p, q in zip(points, points[1:], strict=False))
+
+
+def test_hilbert_prunes(spark, tmp_path):
+    rng = random.Random(6)
+    docs = [(k, "x" * rng.choice([5, 50, 5000]), rng.choice(["en", "de", "fr"]), f"s{rng.randint(0, 7)}") for k in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    cut = sharding.hilbert_shards(df, 40).groupBy("shard").agg(F.count_distinct("source").alias("s"), F.count_distinct("lang").alias("l")).collect()
+    assert sum(r.s for r in cut) / 40 < 5 and sum(r.l for r in cut) / 40 < 2.5
+    sharding.write_shards(df, 8, f"{tmp_path}/w")
+    back = spark.read.parquet(f"{tmp_path}/w")
+    assert back.count() == 2000 and back.select("shard").distinct().count() == 8
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(110)] + [(500 + k, 501 + k) for k in range(40)] + [(900, 900 + k) for k in range(1, 60)]
+    group = {}
+
+    def top(x):
+        group.setdefault(x, x)
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        group[y] = x
+    scratch = Scratch(spark, "test")
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    assert got == {n: top(n) for e in edges if e[0] != e[1] for n in e}
+    assert components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
+
+
+def test_copies_around_a_text_of_their_own(spark):
+    """Each copy is near the base only, not the others: a star that small regions alone would miss."""
+    rng = random.Random(8)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(400)]
+    docs = [(0, " ".join(base))]
+    for k in range(1, 150):
+        words = list(base)
+        for p in rng.sample(range(400), 6):
+            words[p] = f"e{k}.{p}"
+        docs.append((k, " ".join(words)))
+    docs += [(1000 + k, " ".join(f"u{rng.getrandbits(40)}" for _ in range(50))) for k in range(50)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    linked = [k for k, t in docs if 0 < k < 1000 and _near(docs[0][1], t)]
+    assert len(linked) > 100 and all(got[k] == 0 for k in linked) and all(got[k] == k for k in got if k >= 1000)
+
+
+def _near(a, b):
+    x, y = (set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in (a, b))
+    return 100 * len(x & y) >= 85 * len(x | y)
+
+
+def test_line_runs_are_levelled(spark):
+    scratch = Scratch(spark, "test")
+    runs = line_dedup.LineRuns(scratch, fan=2)
+    for k in reversed(range(5)):
+        docs = spark.createDataFrame([(10 * k + j, "a line that is held by everyone\n" + f"a line that is held by {k % 2} only") for j in range(3)], "doc_id long, text string")
+        runs.add(line_dedup.keyed_lines(docs))
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    assert sorted((r.n, r.keeper) for r in line_dedup.merged(runs.all_rows()).collect()) == [(6, 32), (9, 42), (15, 42)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.01, 0.99), st.integers(1, 1000)), min_size=1, max_size=300), st.integers(0, 5))
+def test_pivot_keeps_words(rows, seed):
+    p, size = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows])
+    key = mixing._mixed(np.arange(len(rows), dtype=np.uint64))
+    out = mixing.pivot(p, size, key, seed)
+    assert ((out > 0) & (out < 1)).sum() <= 1 and abs((out * size).sum() - (p * size).sum()) < 1e-6 * (1 + size.sum())
+    done = mixing.settle(out, size, key)
+    assert set(done.tolist()) <= {0.0, 1.0} and abs((done * size).sum() - (p * size).sum()) <= size.max()
+
+
+def test_pivot_is_fair():
+    rng = np.random.default_rng(2)
+    p, size = rng.uniform(0.1, 0.9, 40), rng.integers(1, 100, 40).astype(float)
+    total = np.zeros(40)
+    for seed in range(600):
+        total += mixing.pivot(p, size, mixing._mixed(np.arange(40, dtype=np.uint64)), seed)
+    assert np.abs(total / 600 - p).max() < 0.1
+
+
+def test_mixing_over_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", 8)
+    rng = random.Random(9)
+    docs = [(k, "w " * rng.randint(0, 40), "abc"[min(2, k % 7)]) for k in range(1500)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    for s in "abc":
+        mine = [r for r in rows if r.source == s]
+        assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= 40
+    assert all(0 <= r.copies <= 3 for r in rows)
+
+
+def test_shared_folder(spark):
+    assert shared_folder(spark).startswith("file://") or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def test_pipeline(spark, tmp_path):
+    path = tables.write(spark, tmp_path / "t")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    schema, count = docs.schema, docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = docs
+        stage(spark, docs, path).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.schema == schema and docs.exceptAll(before.unionAll(before).unionAll(before)).count() == 0
+        if name != "mixing":
+            assert docs.count() <= count
+            count = docs.count()
+        if name == "near dedup":
+            assert max(Counter(r.text for r in docs.where("doc_id is not null").dropDuplicates().collect()).values()) == 1
+    digest = corpus_pipeline.STAGES[-1][1](spark, docs, path)
+    ran = corpus_pipeline.run(spark, path)
+    assert Counter(map(tuple, digest.collect())) == Counter(map(tuple, ran.collect())) and digest.count() == docs.count()
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables.write(spark, tmp_path / "t", docs=[])).count() == 0

@@ -1,0 +1,291 @@
+"""The queries over odd tables and over empty ones, against brute force or their SQL."""
+
+import hashlib
+import os
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from chainfold.llm import quality
+from chainfold.llm.queries import ORACLE_SQL, QUERIES
+from tests.llm import tables
+from tests.llm.tables import LOWER, WHITE, WORD
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    return tables.write(spark, tmp_path_factory.mktemp("odd"))
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    return tables.write(spark, tmp_path_factory.mktemp("empty"), docs=[])
+
+
+def texts(spark, path):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def rows(spark, path, name):
+    return [r.asDict() for r in QUERIES[name](spark, path).collect()]
+
+
+def counted(items):
+    return Counter(repr(x) for x in items)
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_empty_tables(spark, empty, name):
+    assert rows(spark, empty, name) == []
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+@pytest.mark.parametrize("which", ["odd", "given"])
+def test_sql(spark, odd, name, which):
+    path = odd if which == "odd" else DATA
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        p = f"{path}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p + '/*.parquet' if os.path.isdir(p) else p}')")
+    got = QUERIES[name](spark, path)
+    expect = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    made = [tuple(r) for r in got.collect()]
+    if name == "op3_line_dedup":  # rows that share an id are documents of their own for the query, one for the SQL; null ids never keep a line
+        ids = Counter(r[0] for r in made)
+        made, expect = ([r for r in x if r[0] is not None and ids[r[0]] == 1] for x in (made, expect))
+    assert counted(made) == counted(expect)
+
+
+def test_op1_base(spark, odd):
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    expect = []
+    for d, t in texts(spark, odd):
+        w = WORD.findall(t.translate(LOWER))
+        at = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        expect.append((d, len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+    got = rows(spark, odd, "op1_license_scan")
+    assert counted((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == counted(expect)
+    for r in got:
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert any("all-rights-reserved" in r["labels"] for r in got) and any(r["labels"] == "mit" and not r["base_labels"] for r in got)
+
+
+def windows(spark, path):
+    found = defaultdict(set)
+    for r in spark.read.parquet(f"{path}/benchmark.parquet").collect():
+        w = WORD.findall((r.text or "").translate(LOWER))
+        m = min(8, len(w))
+        for k in range(len(w) - m + 1 if m else 0):
+            found[tuple(w[k : k + m])].add("" if r.item_id is None else str(r.item_id))
+    return found
+
+
+@pytest.mark.parametrize("block_bytes", [None, 200])
+def test_op2(spark, odd, block_bytes, monkeypatch):
+    from chainfold.llm import decontamination
+
+    if block_bytes:
+        monkeypatch.setattr(decontamination.find_benchmark, "__defaults__", (8, block_bytes))
+    found = windows(spark, odd)
+    lengths = {len(x) for x in found}
+    expect = []
+    for d, t in texts(spark, odd):
+        w = WORD.findall(t.translate(LOWER))
+        hit, items = set(), set()
+        for m in lengths:
+            for k in range(len(w) - m + 1):
+                if (of := found.get(tuple(w[k : k + m]))) is not None:
+                    items |= of
+                    hit |= set(range(k, k + m))
+        expect.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(items) >= 2))
+    got = rows(spark, odd, "op2_decontamination")
+    assert counted(tuple(r.values()) for r in got) == counted(expect) and any(r["contaminated"] for r in got)
+
+
+def test_op3(spark, odd):
+    docs = texts(spark, odd)
+    strip = "\x20\t\n\x0b\x0c\r"
+    holders = defaultdict(list)
+    for d, t in docs:
+        for key in {line.strip(strip).translate(LOWER) for line in t.split("\n")}:
+            if len(key) >= 20:
+                holders[key].append(d)
+    drop = {k: max((d for d in ds if d is not None), default=None) for k, ds in holders.items() if len(ds) >= 3}
+    expect = []
+    for d, t in docs:
+        lines = t.split("\n")
+        stay = [x for x in lines if (k := x.strip(strip).translate(LOWER)) not in drop or drop[k] == d]
+        expect.append((d, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
+    got = rows(spark, odd, "op3_line_dedup")
+    assert counted(tuple(r.values()) for r in got) == counted(expect) and any(r["n_dropped"] for r in got)
+
+
+def encoded(pairs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [(d, [*t.encode(x, add_special_tokens=False).ids, 1]) for d, x in pairs]
+
+
+def test_op4(spark, odd):
+    got = rows(spark, odd, "op4_token_ids")
+    digest = lambda ids: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert counted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == counted((d, *digest(ids)) for d, ids in encoded(texts(spark, odd)))
+    at, last = 0, None
+    for r in sorted(got, key=lambda r: r["start"]):
+        key = (r["doc_id"] is not None, r["doc_id"] or 0)
+        assert r["start"] == at and (last is None or last <= key)
+        at, last = at + r["n_tokens"], key
+
+
+def test_op5(spark, odd):
+    got = rows(spark, odd, "op5_sharding")
+    assert counted((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in got) == counted(
+        (d, len(t.encode()) + 16, zlib.crc32(t.encode()), "rows", None) for d, t in texts(spark, odd))
+    shards = defaultdict(list)
+    for r in got:
+        shards[r["shard"]].append(r["slot"])
+    assert set(shards) == set(range(40)) and all(sorted(s) == list(range(len(s))) for s in shards.values())
+    assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+
+
+def shingles(t):
+    w = WHITE.findall(t.translate(LOWER))
+    k = min(5, len(w))
+    return frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else frozenset()
+
+
+@pytest.mark.parametrize("which", ["odd", "given"])
+def test_op6(spark, odd, which):
+    path = odd if which == "odd" else DATA
+    docs = [(d, shingles(t)) for d, t in texts(spark, path)]
+    group = list(range(len(docs)))
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, (_, a) in enumerate(docs):
+        for j in range(i):
+            b = docs[j][1]
+            if a and b and 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)) and 100 * len(a & b) >= 85 * len(a | b):
+                group[top(i)] = top(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[top(i)].append(d)
+    expect = []
+    for i, (d, s) in enumerate(docs):
+        c = min(least[top(i)], default=None) if s else d
+        expect.append((d, len(s), c, d == c))
+    assert counted(tuple(r.values()) for r in rows(spark, path, "op6_near_dedup")) == counted(expect)
+
+
+def test_op7(spark, odd):
+    def base(t):
+        w = WHITE.findall(t)
+        seen = Counter(zip(w, w[1:], w[2:], strict=False))
+        cover = {p for k, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if seen[x] > 1 for p in (k, k + 1, k + 2)}
+        lines = [x for x in t.split("\n") if WHITE.search(x)]
+        return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)
+
+    got = rows(spark, odd, "op7_quality_rules")
+    assert counted((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == counted(
+        (d, *base(t)) for d, t in texts(spark, odd))
+    assert not any(r["kept"] and r["base_failed"] for r in got) and any(r["kept"] for r in got)
+
+
+def test_op7_thresholds(spark):
+    """A group's fences come from its own sketch, a small group's from its language."""
+    row = lambda k, lang, source, symbols: (lang, source, 100, 500, symbols, 0, 0, 5)
+    made = [row(k, "en", "code", 300 + k % 50) for k in range(300)] + [row(k, "en", "news", k % 3) for k in range(300)] + [row(k, "en", "tiny", 0) for k in range(5)]
+    fences = quality.thresholds(spark.createDataFrame(made, f"lang string, source string, {quality.METRICS}")).where("feature = 'symbols'").collect()
+    high = {r.source: r.high for r in fences}
+    assert high["code"] > 3300 and high["news"] < 500 and high["news"] < high["tiny"]
+
+
+def test_op7_bins(spark):
+    rng = np.random.default_rng(1)
+    xs = sorted({0, 1, 15, 16, 17, 31, 32, *map(int, rng.integers(0, 1 << 40, 300))})
+    df = spark.createDataFrame([(x,) for x in xs], "x long").selectExpr("x", f"{quality.bin_of('x')} as b")
+    found = df.selectExpr("x", "b", f"{quality.least_in_bin('b')} as least", f"{quality.least_in_bin('(b + 1)')} as next").orderBy("x").collect()
+    for r in found:
+        assert r.least <= r.x < r.next and (r.next - r.least) * 16 <= max(16, r.least)
+
+
+def test_op9(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text", "source").collect()
+    size = lambda t: len(WHITE.findall(t or ""))
+    of = defaultdict(int)
+    for r in docs:
+        of[r.source] += size(r.text)
+    order = sorted((s for s in of if s is not None)) + ([None] if None in of else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(of.values()))
+    while True:
+        level = left / sum(weight[s] for s in free)
+        if not (over := [s for s in free if level * weight[s] > 3 * of[s]]):
+            break
+        for s in over:
+            target[s] = 3.0 * of[s]
+            left -= target[s]
+            free.discard(s)
+    target |= {s: level * weight[s] for s in free}
+    got = rows(spark, odd, "op9_mixing")
+    again = rows(spark, odd, "op9_mixing")
+    assert counted(tuple(r.values()) for r in got) == counted(tuple(r.values()) for r in again)
+    known = {(r.doc_id, size(r.text)): r.source for r in docs if r.doc_id is not None}
+    assert counted((r["doc_id"], r["size"]) for r in got) == counted((r.doc_id, size(r.text)) for r in docs)
+    taken, largest = defaultdict(int), defaultdict(int)
+    for r in got:
+        assert r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        if r["doc_id"] is not None:
+            s = known[r["doc_id"], r["size"]]
+            assert r["source_size"] == of[s] and abs(r["target"] - target[s]) < 1e-6 * (1 + target[s])
+            taken[s] += r["taken"]
+            largest[s] = max(largest[s], r["size"])
+    for s in (x for x in order if x is not None and x != "a"):  # a has a row without id
+        assert abs(taken[s] - target[s]) <= largest[s]
+
+
+def test_op10_rules(spark, odd):
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    expect = []
+    for r in spark.read.parquet(f"{odd}/pages.parquet").collect():
+        host = path = ""
+        if r.url and "://" in r.url:
+            rest = r.url.split("://", 1)[1]
+            cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+            host, rest = rest[:cut].translate(LOWER), rest[cut:]
+            path = rest[: min([rest.find(c) for c in "?#" if c in rest], default=len(rest))]
+        fit = max(((len(h + p), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), default=None)
+        expect.append((r.page_id, host, path, fit and fit[1], fit and fit[2]))
+    got = rows(spark, odd, "op10_url_filters")
+    assert counted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"] if r["rule"] else None) for r in got) == counted(expect)
+    verdict = {r["host"]: r["verdict"] for r in got if r["rule"] is None}
+    assert verdict["spam-farm.example.org"] == verdict["www.casino-win.org"] == verdict["good.org"] == "block" and verdict["q.org"] == "allow" and verdict[""] == "allow"
+
+
+def test_op8_masks(spark, odd):
+    for r in rows(spark, odd, "op8_chat_formatting"):
+        spans = [tuple(map(int, s.split("-"))) for s in r["mask"].split(",") if s]
+        assert all(r["rendered"][: s].endswith("<|assistant|>\n") and r["rendered"][s:e].endswith("<|end|>") for s, e in spans)
+        assert bool(spans) == (r["perspective"] is not None) and r["n_turns"] <= 64
+
+
+def test_op8_crowd(spark, monkeypatch):
+    from chainfold.llm import chat
+
+    monkeypatch.setattr(chat, "CROWD", 10)
+    crowd = spark.createDataFrame([(1, 0, "ann" if k % 2 else "bob", f"m{k}") for k in range(100)], "conv_id long, turn long, role string, text string")
+    parts = chat.rotate(crowd).collect()
+    assert sum(r.n_turns for r in parts if r.perspective == "ann") >= 50 and len({r["sub"] for r in parts}) > 10
+    said = "".join(r.rendered for r in parts)
+    assert all(f"m{k}<|end|>" in said for k in range(100))
