@@ -25,7 +25,7 @@ LEAST_WORDS = 50
 GROUP_ROWS = 200
 FENCE = 8
 #: Feature, least width of its fence above the median and, where small values are bad too, below it.
-LEAST = {"symbols": (200, None), "repeats": (300, None), "copies": (400, None), "length": (4000, 2500)}
+LEAST = {"symbols": (200, None), "repeats": (450, None), "copies": (400, None), "length": (4000, 2500)}
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOLS = b"#*$%&|<>"
 
