@@ -152,7 +152,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, k
     extra = settled[0]
     for more in settled[1:]:
         extra = extra.unionAll(more)
-    return rows.join(extra, "_rid", "left").select(
+    # decisions are as many as documents: they are the hashed side at every size, so texts are never sorted
+    return rows.join(extra.hint("shuffle_hash"), "_rid", "left").select(
         "doc_id", "source", *keep, "size", "source_size", "target",
         (F.col("_whole") + F.coalesce("_extra", F.lit(0))).alias("copies"),
     )
