@@ -22,7 +22,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, pack, table, unpack
+from .common import LOWER, UPPER, WORD_BREAK, add_columns, pack, table, unpack
 
 WINDOW = 8
 LEAST_ITEMS = 2
@@ -157,3 +157,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+def _sql_words(text: str) -> str:
+    return f"list_filter(string_split_regex(translate({text}, '{UPPER}', '{LOWER}'), '{WORD_BREAK}'), lambda x: x <> '')"
+
+
+ORACLE = f"""
+WITH items AS (SELECT * FROM (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_sql_words('text')} AS words FROM benchmark WHERE text IS NOT NULL)
+    WHERE len(words) > 0),
+placed AS (SELECT item, words, least({WINDOW}, len(words)) AS m, unnest(range(greatest(len(words) - {WINDOW - 1}, 1))) AS k FROM items),
+patterns AS (SELECT DISTINCT item, m, array_to_string(words[k + 1 : k + m], ' ') AS p FROM placed),
+lengths AS (SELECT DISTINCT m FROM patterns),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_sql_words("coalesce(text, '')")} AS words FROM documents),
+starts AS (SELECT rid, words, m, unnest(range(greatest(len(words) - m + 1, 0))) AS k FROM docs, lengths),
+hits AS (SELECT rid, k, s.m, item FROM (SELECT rid, k, m, array_to_string(words[k + 1 : k + m], ' ') AS p FROM starts) s JOIN patterns t ON t.m = s.m AND t.p = s.p),
+spots AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(k, k + m)) AS q FROM hits) GROUP BY rid),
+found AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_items, 0) >= {LEAST_ITEMS} AS contaminated
+FROM docs LEFT JOIN spots USING (rid) LEFT JOIN found USING (rid)"""

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, add_columns, table
+from .common import LOWER, UPPER, Scratch, add_columns, table
 from .components import components
 
 SHINGLE = 5
@@ -266,3 +266,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+ORACLE = rf"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sets AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(greatest(len(w) - {SHINGLE - 1}, 1)),
+    lambda k: array_to_string(w[k + 1 : k + {SHINGLE}], ' ')))) END AS s FROM docs),
+classes AS (SELECT row_number() OVER () AS c, s, len(s) AS n, min(doc_id) AS low FROM sets WHERE len(s) > 0 GROUP BY s),
+members AS (SELECT c, n, unnest(s) AS x FROM classes),
+common AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM members a JOIN members b ON a.x = b.x AND a.c < b.c
+    AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= {PERCENT} * (na + nb - shared)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN sides e ON e.a = r.b),
+roots AS (SELECT reach.a AS c, min(low) AS component FROM reach JOIN classes ON classes.c = reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component END AS component_id,
+    doc_id IS NOT DISTINCT FROM (CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component END) AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN roots ON roots.c = classes.c"""

@@ -145,3 +145,44 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    word = r"[^\x20\x09-\x0D]"
+    feature = {"symbols": "n_symbols // greatest(n_words, 1)", "repeats": "n_repeat_words // greatest(n_words, 1)",
+               "copies": "n_dup_lines // greatest(n_lines, 1)", "length": "word_chars // greatest(n_words, 1)"}
+    feature = {k: "1000 * " + v for k, v in feature.items()}
+    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, CAST({v} AS BIGINT) AS x FROM metrics WHERE n_words > 0" for k, v in feature.items())
+    power = "(length(bin(x)) - 1)"
+    width = " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in LEAST.items())
+    quarter = ", ".join(f"min(CASE WHEN upto * 4 >= total * {q} THEN value END) AS q{q}" for q in (1, 2, 3))
+    bad = " OR ".join(f"({v}) > (SELECT high FROM pick p WHERE p.lang IS NOT DISTINCT FROM m.lang AND p.source IS NOT DISTINCT FROM m.source AND feature = '{k}')"
+                      f" OR ({v}) < (SELECT low FROM pick p WHERE p.lang IS NOT DISTINCT FROM m.lang AND p.source IS NOT DISTINCT FROM m.source AND feature = '{k}')"
+                      for k, v in feature.items())
+    pick = lambda c: f"CASE WHEN a.total >= {GROUP_ROWS} THEN a.{c} WHEN b.total >= {GROUP_ROWS} THEN b.{c} ELSE c.{c} END"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, regexp_extract_all(t, '{word}+') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM docs),
+triples AS (SELECT rid, k, array_to_string(words[k + 1 : k + 3], ' ') AS w FROM (SELECT rid, words, unnest(range(greatest(len(words) - 2, 0))) AS k FROM split)),
+again AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, w) AS n FROM triples) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([k, k + 1, k + 2]) AS p FROM again) GROUP BY rid),
+metrics AS (SELECT split.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines FROM split LEFT JOIN covered USING (rid)),
+long AS ({long}),
+binned AS (SELECT lang, source, feature, CASE WHEN x < 16 THEN x ELSE {power} * 16 + (x >> ({power} - 4)) - 64 END AS b FROM long),
+sketch AS (SELECT 0 AS level, lang, source, feature, b, count(*) AS n FROM binned GROUP BY ALL UNION ALL
+    SELECT 1, lang, NULL, feature, b, count(*) FROM binned GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, feature, b, count(*) FROM binned GROUP BY ALL),
+ranked AS (SELECT level, lang, source, feature, CASE WHEN b < 16 THEN b ELSE (16 + b % 16) << (b // 16 - 1) END AS value,
+    sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, feature) AS total FROM sketch),
+quarters AS (SELECT level, lang, source, feature, max(total) AS total, {quarter} FROM ranked GROUP BY ALL),
+fences AS (SELECT level, lang, source, feature, total, CASE feature WHEN 'length' THEN q2 - greatest({LEAST['length'][1]}, {FENCE} * (q2 - q1)) ELSE -1 END AS low,
+    q2 + greatest(CASE feature {width} END, {FENCE} * (q3 - q2)) AS high FROM quarters),
+pick AS (SELECT a.lang, a.source, a.feature, {pick('low')} AS low, {pick('high')} AS high FROM fences a
+    JOIN fences b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM a.lang AND b.feature = a.feature JOIN fences c ON c.level = 2 AND c.feature = a.feature WHERE a.level = 0),
+judged AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce({bad}, false) AS broken FROM metrics m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT broken AS kept FROM judged"""
+
+
+ORACLE = _oracle()

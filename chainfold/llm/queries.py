@@ -16,9 +16,13 @@ QUERIES = {f.__name__: f for f in (
     mixing.op9_mixing,
     url_filters.op10_url_filters,
 )}
+#: op4 (tokenizer ids), op5 (CRC-32) and op9 (seeded rounding) are beyond SQL; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.ORACLE,
+    "op2_decontamination": decontamination.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
+    "op7_quality_rules": quality.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }
