@@ -62,7 +62,7 @@ class Scratch:
 
     def path(self, name: str) -> str:
         self.made += 1
-        return f"{self.root}/{self.made}-{name}"
+        return f"{self.root}/{self.made}-{name.replace(' ', '_')}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
