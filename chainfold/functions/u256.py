@@ -59,6 +59,11 @@ def lit(value: int) -> Column:
     return F.lit((value % MODULUS).to_bytes(32, "big"))
 
 
+def from_little_endian(word: Column) -> Column:
+    """The bytes of a little-endian record as a word."""
+    return F.unhex(F.array_join(F.reverse(F.array(*[F.hex(_bytes(word, k, 1)) for k in range(1, 33)])), ""))
+
+
 def narrow(word: Column, bits: int, signed: bool) -> Column:
     """The low `bits` of a word: a long up to 56, a decimal(38,0) up to 120, else a word, sign-extended if signed."""
     n = bits // 8

@@ -91,6 +91,8 @@ class Indexer:
         self.spark, self.blocks, self.path, self.manifest, self.handler, self.fetch = spark, blocks, path.rstrip("/"), manifest, handler, fetch
         self.state = store.StateStore(spark, f"{self.path}/state")
         self.follower: live.Follower | None = None
+        self.query = None
+        self.stats: dict[str, int] = {}
 
     # kept logs
 
@@ -120,6 +122,8 @@ class Indexer:
             kept = kept.unionByName(filtering.child_logs(logs, new, m, m.start_block, start - 1).withColumn("bucket", F.lit("children")))
         folder = f"{self.path}/index-{m.fingerprint()[:12]}/part={len(meta['parts'])}"
         kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        written = self.spark.read.parquet(folder).agg(F.count("*").alias("n"), F.count_distinct("block_number").alias("b")).first()
+        self.stats |= {"scanned_blocks": end - start + 1, "matched_blocks": written.b, "kept_logs": written.n}
         meta |= {"parts": [*meta["parts"], folder], "scanned_to": end}
         store.publish(self.spark, f"{self.path}/index.json", json.dumps(meta))
         return end
@@ -212,6 +216,12 @@ class Indexer:
         self.follower = live.Follower(self.spark, self.manifest, self.children(), at, commit)
         return self.follower
 
+    def spawn(self, source: DataFrame, read: Callable, checkpoint: str, head: int | None = None, **trigger):
+        """Bring the state up to date, then follow in the background; returns the streaming query."""
+        follower = self.start(head)
+        self.query = live.follow(source, follower, read, checkpoint, **trigger)
+        return self.query
+
     def tip(self, name: str) -> DataFrame | None:
         """A table with the pending logs folded on top of what is committed."""
         committed = self.state.view().table(name)
@@ -267,6 +277,12 @@ class Reader:
         entity = self._immutable(name, "newest")
         return [r.asDict() for r in store.newest_page(self._rows(name), entity.key, limit, offset).collect()]
 
+    @property
+    def follow_error(self) -> str | None:
+        """Why following stopped, if it did."""
+        error = self.indexer.query.exception() if self.indexer.query is not None else None
+        return str(error) if error else None
+
     @property
     def cursor(self) -> int:
         return self.indexer.follower.cursor if self.indexer.follower else self.indexer.state.current().cursor

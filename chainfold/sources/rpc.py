@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .schemas import LOGS, TXS
 
@@ -130,3 +130,57 @@ class RpcLogReader(DataSourceReader):
             topics = [raw(t) for t in r["topics"][:4]]
             yield (int(r["blockNumber"], 16), int(r.get("transactionIndex") or "0x0", 16), int(r.get("logIndex") or "0x0", 16), raw(r["address"]),
                    topics, topics[0] if topics else None, raw(r["data"]), raw(r["transactionHash"]) if r.get("transactionHash") else None)
+
+
+class HeadSource(DataSource):
+    """spark.readStream.format("chain_head").option("url", …): the head's number, whenever it moves.
+
+    The offset of the stream is the head, so a restarted query goes on where it stopped.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "chain_head"
+
+    def schema(self) -> str:
+        return "head long"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return HeadReader(self.options)
+
+
+class HeadReader(DataSourceStreamReader):
+    def __init__(self, options):
+        self.url, self.start = options["url"], int(options.get("start", "-1"))
+
+    def head(self) -> int:
+        if self.url.startswith("file:"):  # recorded heads, for tests and replays
+            with open(self.url.removeprefix("file:"), encoding="utf-8") as file:
+                return int(json.load(file)["head"])
+        return int(call_node(self.url, "eth_blockNumber", []), 16)
+
+    def initialOffset(self) -> dict:
+        return {"head": self.start}
+
+    def latestOffset(self) -> dict:
+        return {"head": self.head()}
+
+    def partitions(self, start: dict, end: dict):
+        return [Span(start["head"], end["head"])]
+
+    def read(self, partition: Span):
+        if partition.end > partition.start:
+            yield (partition.end,)
+
+
+def register(spark) -> None:
+    """Make the sources known to a session."""
+    for source in (RpcLogSource, HeadSource):
+        spark.dataSource.register(source)
+
+
+def missing_txs(logs: DataFrame, txs: DataFrame) -> DataFrame:
+    """(block_number, tx_index) of transactions with logs that are not fetched yet: where an interrupted import goes on."""
+    from chainfold.operators.enrich import tx_mask
+
+    return tx_mask(logs).join(txs.select("block_number", "tx_index"), ["block_number", "tx_index"], "left_anti")

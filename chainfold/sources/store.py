@@ -147,6 +147,60 @@ class BlockStore:
         return out
 
 
+class PendingStore:
+    """The snapshot of blocks above finality, replaced as a whole: readers see one snapshot or the next."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, blocks: DataFrame, logs: DataFrame, txs: DataFrame | None = None) -> int:
+        from chainfold.streaming.live import require_snapshot
+
+        require_snapshot(blocks)
+        number = self.number() + 1
+        folder = f"{self.path}/snapshot={number}"
+        blocks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/blocks")
+        logs.coalesce(1).write.mode("overwrite").parquet(f"{folder}/logs")
+        if txs is not None:  # without it the transactions are not built, which differs from none
+            txs.coalesce(1).write.mode("overwrite").parquet(f"{folder}/txs")
+        publish(self.spark, f"{self.path}/PENDING.json", json.dumps({"snapshot": number, "txs": txs is not None}))
+        return number
+
+    def _meta(self) -> dict:
+        text = read_text(self.spark, f"{self.path}/PENDING.json")
+        return json.loads(text) if text else {"snapshot": 0, "txs": False}
+
+    def number(self) -> int:
+        return self._meta()["snapshot"]
+
+    def read(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """(blocks, logs, txs or None); nothing written yet is an empty snapshot."""
+        meta = self._meta()
+        if not meta["snapshot"]:
+            return self.spark.createDataFrame([], BLOCKS), self.spark.createDataFrame([], LOGS), None
+        folder = f"{self.path}/snapshot={meta['snapshot']}"
+        txs = self.spark.read.schema(TXS).parquet(f"{folder}/txs") if meta["txs"] else None
+        return self.spark.read.schema(BLOCKS).parquet(f"{folder}/blocks"), self.spark.read.schema(LOGS).parquet(f"{folder}/logs"), txs
+
+    def insert(self, blocks: DataFrame, logs: DataFrame) -> int:
+        """Add blocks on top; those of a number that is there replace it and all above."""
+        old_blocks, old_logs, _ = self.read()
+        low = blocks.agg(F.min("block_number")).first()[0]
+        below = F.col("block_number") < low
+        return self.write(old_blocks.where(below).unionByName(blocks), old_logs.where(below).unionByName(logs))
+
+    def truncate(self, start: int) -> int:
+        """Drop blocks from a number on."""
+        blocks, logs, _ = self.read()
+        below = F.col("block_number") < start
+        return self.write(blocks.where(below), logs.where(below))
+
+    def drop_final(self, last_final: int) -> int:
+        blocks, logs, _ = self.read()
+        above = F.col("block_number") > last_final
+        return self.write(blocks.where(above), logs.where(above))
+
+
 @dataclass
 class Version:
     number: int = 0
