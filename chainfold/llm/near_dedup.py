@@ -10,8 +10,12 @@ company over all orders, which is where a group of copies of one text has the te
 gives more pairs than it has entries, besides those of its small parts.
 
 Candidates are confirmed on the full sets. Each class's best candidate goes first; pairs that links
-have joined by then need no look, the others are all confirmed. Entries of large regions that are
-still apart from their centre meet a new centre, ROUNDS times. Links give components, by contraction.
+have joined by then need no look, the others are all confirmed. Links give components, by contraction.
+Entries of large regions that are still apart from their centre's component are the exact rest: in
+blocks of BLOCK_BYTES of sets they are counted against the sets of all entries of large regions, so
+every link between two entries that share a region is either confirmed or within a component. Few
+entries are apart unless many texts share half their shingles and link to none; such a corpus costs a
+pass for each block.
 
 Documents without words are linked with nothing; null texts have none; null ids are documents whose
 component is that of their copies, and they never name one. Repeated rows share their fate. An empty
@@ -34,7 +38,7 @@ TREES = 24
 DEPTHS = (4, 8, 16)
 HASHES = TREES * DEPTHS[0]
 CROWD = 8
-ROUNDS = 2
+BLOCK_BYTES = 16 << 20
 WORDS_HELD = 150_000
 #: Involved ids are sent to all tasks up to this many, else joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -185,14 +189,16 @@ class Forest:
             pairs = pairs.unionByName(more)
         return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("met"))
 
-    def apart(self, roots: DataFrame) -> DataFrame:
-        """Entries of large regions whose component is not that of most of the region's best-placed entry."""
-        rows = self.deep.select(F.col("p").alias("region"), "cid", "n", "score").join(roots, F.col("cid") == F.col("node"), "left").select(
-            "region", "cid", "n", "score", F.coalesce("root", "cid").alias("root"))
+    def apart(self, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(cid, root) of all entries of large regions, and of those outside their region's best-connected entry's component."""
+        rows = self.deep.select(F.col("p").alias("region"), "cid", "score").join(roots, F.col("cid") == F.col("node"), "left").select(
+            "region", "cid", "score", F.coalesce("root", "cid").alias("root"))
         rows = self.scratch.save(rows, "placed")
         centre = self.scratch.save(rows.groupBy("region").agg(F.max(F.struct("score", "cid", "root")).alias("c")).select(
             "region", F.col("c.root").alias("_main")), "mains")
-        return rows.join(centre, "region").where("root <> _main").select("region", "cid", "n", "score")
+        every = self.scratch.save(rows.groupBy("cid").agg(F.first("root").alias("root")), "entries")
+        outside = rows.join(centre, "region").where("root <> _main").groupBy("cid").agg(F.first("root").alias("root"))
+        return every, self.scratch.save(outside, "apart")
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
@@ -213,6 +219,61 @@ def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     return links
 
 
+def _against(block):
+    """Links of a row's set with the sets of a block, one for each component that it is not in."""
+    def make():
+        held = block.value  # the index built from it stays with the worker
+        if "values" not in held:
+            raw = [np.frombuffer(x, np.uint64) for x in held["sets"]]
+            held["sizes"] = np.array([len(x) for x in raw])
+            every = np.concatenate(raw)
+            order = np.argsort(every, kind="stable")
+            held["values"], held["owner"] = every[order], np.repeat(np.arange(len(raw)), held["sizes"])[order]
+        values, owner, sizes = held["values"], held["owner"], held["sizes"]
+        cids, roots, seen = np.array(held["cids"]), np.array(held["roots"]), set()
+
+        def run(cid, root, sets):
+            out = []
+            for c, r, s in zip(cid, root, sets, strict=True):
+                x, links = np.frombuffer(s, np.uint64), []
+                low, high = np.searchsorted(values, x), np.searchsorted(values, x, side="right")
+                width = high - low
+                at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+                both = np.bincount(owner[at], minlength=len(sizes))
+                for k in np.flatnonzero((100 * both >= PERCENT * (len(x) + sizes - both)) & (roots != r)):
+                    if (pair := (int(cids[k]), r)) not in seen:
+                        seen.add(pair)
+                        links.append(pair[0])
+                out.append(links)
+            return [out]
+
+        return run
+
+    return make
+
+
+def exact_rest(entries: DataFrame, apart: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between entries that are apart and all entries, over components; None if none is apart."""
+    if apart.isEmpty():
+        return None
+    spark = entries.sparkSession
+    few = entries.count() <= BROADCAST_ROWS
+    wanted = texts.join(F.broadcast(entries.withColumnRenamed("cid", "_c")) if few else entries.withColumnRenamed("cid", "_c"), F.col("cid") == F.col("_c"))
+    sets = scratch.save(add_columns(wanted.select("cid", "root", "text"), ["text"], _sets, "s binary", drop=("text",)), "entry_sets")
+    asked = scratch.save(sets.join(apart.select("cid"), "cid", "left_semi"), "apart_sets")
+    size = asked.agg(F.sum(F.octet_length("s"))).first()[0] or 0
+    blocks, links = max(1, -(-size // BLOCK_BYTES)), None
+    for k in range(blocks):
+        rows = list(asked.where(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == k).toLocalIterator())
+        if not rows:
+            continue
+        block = spark.sparkContext.broadcast({"cids": [r.cid for r in rows], "roots": [r.root for r in rows], "sets": [bytes(r.s) for r in rows]})
+        found = add_columns(sets, ["cid", "root", "s"], _against(block), "others array<long>", drop=("root", "s"))
+        found = scratch.save(found.select(F.col("cid").alias("a"), F.explode("others").alias("b")), "rest")
+        links = found if links is None else links.unionAll(found)
+    return links
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id."""
     spark = docs.sparkSession
@@ -239,17 +300,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rest = across(found.join(best, ["a", "b"], "left_anti"))
     links = links.unionAll(confirm(rest, texts, scratch))
-    for _ in range(ROUNDS):
-        roots = components(links, scratch)
-        apart = scratch.save(forest.apart(roots), "apart")
-        if apart.isEmpty():
-            break
-        pairs = forest.centred(apart)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
-            found.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.unionAll(confirm(across(pairs), texts, scratch))
-    else:
-        roots = components(links, scratch)
+    roots = components(links, scratch)
+    if (more := exact_rest(*forest.apart(roots), texts, scratch)) is not None:
+        roots = components(links.unionAll(more), scratch)
     named = scratch.save(classes.join(roots, F.col("cid") == F.col("node"), "left").select(
         F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("root", "cid").alias("root"), "low"), "named")
     # a component whose smallest member has no id takes its smallest id
