@@ -212,8 +212,16 @@ class Indexer:
             self.run_prefetch(final)
             self._commit(self.fold(final, self.pending_txs), cursor, cursor, batch_id)
 
+        made = [0]
+
+        def keep_children(children: DataFrame) -> DataFrame:
+            made[0] += 1
+            folder = f"{self.path}/children/{self.state.current().number}-{made[0]}"
+            children.write.mode("overwrite").parquet(folder)
+            return self.spark.read.parquet(folder)
+
         self.pending_txs: DataFrame | None = None
-        self.follower = live.Follower(self.spark, self.manifest, self.children(), at, commit)
+        self.follower = live.Follower(self.spark, self.manifest, keep_children(self.children()), at, commit, keep_children=keep_children)
         return self.follower
 
     def spawn(self, source: DataFrame, read: Callable, checkpoint: str, head: int | None = None, **trigger):

@@ -121,9 +121,12 @@ class Follower:
     """
 
     def __init__(self, spark: SparkSession, manifest: Manifest, children: DataFrame, cursor: int,
-                 commit: Callable[[DataFrame, DataFrame, int, int], None], depth: int = FINALITY):
+                 commit: Callable[[DataFrame, DataFrame, int, int], None], depth: int = FINALITY,
+                 keep_children: Callable[[DataFrame], DataFrame] | None = None):
+        """keep_children writes the set of children and reads it back, so that its plan does not grow with every tick."""
         self.spark, self.manifest, self.children, self.cursor = spark, manifest, children, cursor
         self.commit, self.depth, self.batch_id = commit, depth, -1
+        self.keep_children = keep_children or (lambda df: df)
         self.pending: Pending | None = None
 
     def relevant(self, logs: DataFrame) -> DataFrame:
@@ -152,7 +155,9 @@ class Follower:
                 window = F.col("block_number").between(self.cursor + 1, upto)
                 final = self.relevant(self.pending.logs.where(window))
                 if self.manifest.factories:
-                    self.children = self.children.unionByName(children_of(final, self.manifest)).distinct()
+                    fresh = children_of(final, self.manifest).join(self.children, "address", "left_anti")
+                    if not fresh.isEmpty():
+                        self.children = self.keep_children(self.children.unionByName(fresh))
                 self.commit(final, self.children, upto, batch_id if batch_id is not None else self.batch_id + 1)
                 self.cursor = upto
         keep = F.col("block_number") > self.cursor
