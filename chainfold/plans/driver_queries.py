@@ -17,9 +17,10 @@ from chainfold.functions import abi, text, u256
 from chainfold.functions.keccak import selector
 from chainfold.operators import enrich, filtering, folds, prefetch
 from chainfold.plans.manifest import Call, Contract, Event, Factory, Manifest, Prefetch, Target
-from chainfold.sources import rpc, store
+from chainfold.sources import receipts, rpc, store
 from chainfold.sources.schemas import ORDER
 from chainfold.streaming import live
+from chainfold.streaming.serve import Subscription
 
 TYPES = ("view", "signup", "click", "error", "purchase")
 EVENT = {t: Event(f"{t}(uint48 value)") for t in TYPES}
@@ -203,12 +204,12 @@ def latest_state(spark, d):
     return folds.latest(rows, "user_id").select("user_id", "event_type", "cents", F.col("log_index").cast("long").alias("event_id"))
 
 
-@query(f"""{_E} SELECT user_id, arg_max(cents, event_id) FILTER (event_type = 'view') AS viewed, arg_max(cents, event_id) FILTER (event_type = 'purchase') AS bought
+@query(f"""{_E} SELECT user_id, coalesce(arg_max(cents, event_id) FILTER (event_type = 'view'), -1) AS viewed, coalesce(arg_max(cents, event_id) FILTER (event_type = 'purchase'), -1) AS bought
     FROM e WHERE event_type IN ('view', 'purchase') GROUP BY user_id""")
 def merge_columns(spark, d):
     rows = event_logs(spark, d).select(*ORDER, "user_id", "topic0", u256.narrow(F.col("data"), 56, False).alias("cents"))
     branch = lambda t, c: rows.where(F.col("topic0") == F.lit(EVENT[t].topic0)).select(*ORDER, "user_id", F.col("cents").alias(c))
-    return folds.merge_columns([branch("view", "viewed"), branch("purchase", "bought")], "user_id", ["viewed", "bought"])
+    return folds.merge_columns([branch("view", "viewed"), branch("purchase", "bought")], "user_id", ["viewed", "bought"]).fillna(-1)
 
 
 @query(f"""{_E} SELECT event_id, CAST(coalesce(sum(cents) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
@@ -337,7 +338,7 @@ def call_missing(spark, d):
 
 
 @query(f"""{_E} SELECT event_id, CASE WHEN user_id < 10 OR c_custkey IS NULL THEN 'not_prefetched' WHEN user_id % 11 = 0 THEN 'reverted' ELSE 'ok' END AS state,
-    CASE WHEN user_id >= 10 AND user_id % 11 <> 0 THEN CAST(n_regionkey AS BIGINT) END AS region
+    coalesce(CASE WHEN user_id >= 10 AND user_id % 11 <> 0 THEN CAST(n_regionkey AS BIGINT) END, -1) AS region
     FROM e LEFT JOIN customer ON c_custkey = user_id LEFT JOIN nation ON n_nationkey = c_nationkey WHERE event_type = 'view'""")
 def call_chain(spark, d):
     cache = _cache(spark, d)
@@ -345,7 +346,7 @@ def call_chain(spark, d):
     one = enrich.with_call(views, cache, F.col("address"), F.lit(selector("nation()")), "nation")
     two = enrich.with_call(one, cache, F.substring("nation.value", 13, 20), F.lit(selector("region()")), "region")
     return two.select(F.col("log_index").cast("long").alias("event_id"), F.col("nation.state").alias("state"),
-                      u256.narrow(F.col("region.value"), 56, False).alias("region"))
+                      F.coalesce(u256.narrow(F.col("region.value"), 56, False), F.lit(-1)).alias("region"))
 
 
 _SNAPSHOTS = f"""{_E}, top AS (SELECT max(block_number) AS t FROM e), blocks AS (SELECT block_number, min(event_id) AS h FROM e GROUP BY block_number),
@@ -431,3 +432,74 @@ def incremental_state(spark, d):
     for k in range(3):
         state = folds.add_balances(state, folds.balances(legs.where(F.col("block_number") % 3 == k)))
     return state.select("id", u256.narrow(F.col("balance"), 56, True).alias("balance"))
+
+
+@query(f"""{_E}, best AS (SELECT event_id // 3 AS block_number, min(user_id) AS h FROM e GROUP BY 1)
+    SELECT event_id, b.block_number FROM e JOIN best b ON b.block_number = e.event_id // 3 AND b.h = e.user_id""")
+def canonical_rows(spark, d):
+    rows = _table(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("block_number"), as_address(F.col("user_id")).alias("block_hash"), "event_id")
+    hashes = rows.groupBy("block_number").agg(F.min("block_hash").alias("block_hash"))
+    return receipts.canonical(rows, hashes).select("event_id", "block_number")
+
+
+@query("SELECT o_orderkey AS block_number, o_custkey AS sender FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def mask_select(spark, d):
+    mask = enrich.tx_mask(_table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("block_number"), F.lit(0).alias("tx_index")))
+    txs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("block_number"), F.lit(0).alias("tx_index"), F.col("o_custkey").alias("sender"))
+    return enrich.select_by_mask(txs, mask).select("block_number", "sender")
+
+
+@query(f"{_E} SELECT event_id, user_id FROM e WHERE user_id IN (7, 8, 9) OR user_id % 50 = 1")
+def live_gate(spark, d):
+    logs = event_logs(spark, d)
+    children = logs.where("user_id % 50 = 1").select("address").distinct()
+    return filtering.admitted(logs, USERS, children).select(F.col("log_index").cast("long").alias("event_id"), "user_id")
+
+
+@query(f"""{_E}, calls AS (SELECT user_id AS target, event_type AS method, event_id AS seq, event_id % 3 = 0 AS failed, cents FROM e)
+    SELECT target, method, arg_max(failed, seq) AS failed, CASE WHEN NOT arg_max(failed, seq) THEN arg_max(cents, seq) ELSE -1 END AS value FROM calls GROUP BY target, method""")
+def last_call(spark, d):
+    cache = event_logs(spark, d).select(F.col("address").alias("target"), F.col("topic0").alias("calldata"), (F.col("log_index") % 3 == 0).cast("int").alias("status"),
+                                        F.when(F.col("log_index") % 3 != 0, F.col("data")).alias("value"), F.col("log_index").cast("long").alias("seq"))
+    names = F.element_at(F.create_map(*[x for t in TYPES for x in (F.lit(EVENT[t].topic0.hex()), F.lit(t))]), F.lower(F.hex("calldata")))
+    return enrich.current_calls(cache).select(F.conv(F.hex("target"), 16, 10).cast("long").alias("target"), names.alias("method"),
+                                              (F.col("status") == 1).alias("failed"), F.coalesce(u256.narrow(F.col("value"), 56, False), F.lit(-1)).alias("value"))
+
+
+@query(f"""{_E}, top AS (SELECT max(block_number) - 50000 AS fork FROM e) SELECT user_id AS id, CAST(sum(CASE WHEN block_number > fork THEN 3 * cents ELSE cents END) AS BIGINT) AS balance
+    FROM e, top WHERE event_type = 'purchase' GROUP BY user_id""")
+def reorg_refold(spark, d):
+    """Final blocks are folded once; the blocks above the fork come again with other values, and only those count."""
+    paid = filtering.keep(event_logs(spark, d), (), [EVENT["purchase"].topic0]).select("block_number", F.col("user_id").alias("id"), F.col("data").alias("value"), F.lit(1).alias("sign"))
+    fork = event_logs(spark, d).agg(F.max("block_number")).first()[0] - 50_000
+    final, pending = paid.where(F.col("block_number") <= fork), paid.where(F.col("block_number") > fork)
+    replaced = pending.withColumn("sign", F.lit(3))
+    tip = folds.add_balances(folds.balances(final), folds.balances(replaced))
+    return tip.select("id", u256.narrow(F.col("balance"), 56, True).alias("balance"))
+
+
+@query(f"{_E} SELECT event_id, block_number FROM e WHERE event_type = 'view' AND user_id IN (1, 2) AND block_number > 142010000 AND block_number <= 142200000")
+def subscription_push(spark, d):
+    sub = Subscription([addr(1), addr(2)], [EVENT["view"].topic0], cursor=142_010_000)
+    push = sub.backfill(event_logs(spark, d), 142_200_000)[0]
+    return push.logs.select(F.col("log_index").cast("long").alias("event_id"), "block_number")
+
+
+@query("SELECT o_orderkey AS block_number, o_custkey AS sender, CAST(round(o_totalprice * 100) AS BIGINT) AS value FROM orders WHERE o_orderstatus = 'P'")
+def json_transactions(spark, d):
+    prefixed = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+    orders = _table(spark, d, "orders")
+    recorded = orders.select(F.to_json(F.struct(
+        prefixed(F.col("o_orderkey")).alias("blockNumber"), F.lit("0x0").alias("transactionIndex"), F.lit("0x2").alias("type"),
+        prefixed(as_address(F.col("o_custkey"))).alias("from"), prefixed(cents("o_totalprice")).alias("value"))).alias("line"))
+    mask = orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("block_number"), F.lit(0).alias("tx_index"))
+    txs = rpc.to_txs(recorded.select(F.from_json("line", rpc.TX_JSON).alias("j")).select("j.*"), mask)
+    return txs.select("block_number", F.conv(F.hex("from"), 16, 10).cast("long").alias("sender"), u256.narrow(F.col("value"), 56, False).alias("value"))
+
+
+@query(f"""{_E}, b AS (SELECT DISTINCT block_number FROM e WHERE block_number BETWEEN 142005600 AND 142006599)
+    SELECT count(*) AS present, count(*) = 1000 AS covered FROM b""")
+def block_coverage(spark, d):
+    blocks = event_logs(spark, d).select("block_number").distinct()
+    covered = filtering.covers(blocks, 142_005_600, 142_006_599)
+    return blocks.where(F.col("block_number").between(142_005_600, 142_006_599)).agg(F.count("*").alias("present")).withColumn("covered", F.lit(covered))
