@@ -91,12 +91,12 @@ def word_array(lowered: Column) -> Column:
 BATCH_BYTES = 8 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     """Lower the session's limit on Arrow batches, so that long texts cannot fill a worker's memory."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).lower().removesuffix("b")
-    if not now.isdecimal() or int(now) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    if not now.isdecimal() or int(now) > limit:
+        spark.conf.set(key, str(limit))
 
 
 def add_columns(df: DataFrame, inputs: list[str], make: Callable, fields: str, drop: tuple[str, ...] = ()) -> DataFrame:

@@ -41,14 +41,18 @@ from .repair import Grammar, compress
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-PIECES = 700_000
+PIECES = 1_000_000
+#: Texts that reach a worker at once: more of them repeat more words, and are numbered in less time.
+TEXT_BYTES = 16 << 20
 _SCHEMA = ("part int, shard int, doc_ids array<long>, n_tokens long, symbols binary, ends binary, rules binary, lengths binary")
 
 
 #: Letters whose lower case is one such letter, and which are composed as they are.
 _SIMPLE = re.compile("[a-zA-Z\u00c0-\u012f\u0131-\u024f]+")
+#: A full stop or comma between such a letter, or a digit, and a blank: it is a pre-token of its own.
+_MARK = "([0-9a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,]) "
 _BARE = 64
-_DOCS = 2048
+_DOCS = 8192
 
 
 def _byte_letters() -> dict[int, str]:
@@ -100,9 +104,8 @@ class Encoder:
         words, others, marks = self.words, self.others, self.marks
         values = list(map(words.get, names))
         new_words, new_others, later = set(), set(), []
-        for i, name in enumerate(names):
-            if values[i] is not None:
-                continue
+        for i in [i for i, v in enumerate(values) if v is None]:
+            name = names[i]
             # a full stop or comma after simple letters is a pre-token of its own
             mark = marks.get(name[-1:], b"")
             word = name[:-1] if mark else name
@@ -139,7 +142,8 @@ class Encoder:
         for store in (self.words, self.others):
             if len(store) > PIECES:
                 store.clear()
-        lines = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        blanks = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+        lines = pc.split_pattern(pc.replace_substring_regex(blanks, _MARK, r"\1 \2 "), " ")
         pieces = lines.flatten().dictionary_encode()
         values = self._values(pieces.dictionary.to_pylist())
         size = np.fromiter(map(len, values), np.int64, len(values)) // 4
@@ -202,7 +206,7 @@ def _write(held, shard_tokens: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode every document and write the shards under path."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, TEXT_BYTES)
     held = docs.sparkSession.sparkContext.broadcast({"path": tokenizer})
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
     rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
