@@ -16,7 +16,7 @@ from chainfold.llm.common import Scratch, shared_folder
 from chainfold.llm.components import components
 from chainfold.llm.decontamination import Tables, words_of
 from tests.llm import tables
-from tests.llm.test_queries import encoded
+from tests.llm.test_operators import encoded
 
 
 @settings(max_examples=60, deadline=None)
