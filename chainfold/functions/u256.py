@@ -109,4 +109,6 @@ def to_text(word: Column) -> Column:
 
     digits = F.aggregate(high_first, start, step)
     text = F.array_join(F.transform(F.reverse(digits), lambda d: F.lpad(d.cast("string"), 9, "0")), "")
-    return F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.when(word.isNotNull(), F.lit("0")))
+    large = F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.when(word.isNotNull(), F.lit("0")))
+    # most amounts fit 64 bits, where one conversion does
+    return F.when(_bytes(word, 1, 24) == F.lit(bytes(24)), F.conv(F.hex(_bytes(word, 25, 8)), 16, 10)).otherwise(large)
