@@ -13,6 +13,9 @@ ever holds more than a block. A pass shuffles nothing.
 A null or empty text has no words, no hits and is clean; a null or wordless item has no windows;
 repeated items count once, repeated documents are judged alike; empty tables give empty or clean
 results.
+
+The query's column `contaminated` asks for windows of LEAST_ITEMS items. The pipeline's stage drops a
+document with a window of any item.
 """
 
 from __future__ import annotations
@@ -144,8 +147,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The clean documents, all columns as they were."""
-    return unpack(find_benchmark(docs, benchmark).where("not contaminated"), docs)
+    """The documents without a window of any item, all columns as they were."""
+    return unpack(find_benchmark(docs, benchmark).where(F.size("items") == 0), docs)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import corpus_pipeline
 from chainfold.llm import line_dedup, mixing, near_dedup, repair, sharding, tokens
 from chainfold.llm.common import Scratch, shared_folder
 from chainfold.llm.components import components
-from chainfold.llm.decontamination import Tables, words_of
+from chainfold.llm.decontamination import Tables, drop_contaminated, words_of
 from tests.llm import tables
 from tests.llm.test_operators import encoded
 
@@ -212,5 +212,12 @@ def test_pipeline(spark, tmp_path):
     assert Counter(map(tuple, digest.collect())) == Counter(map(tuple, ran.collect())) and digest.count() == docs.count()
 
 
+def test_pipeline_drops_a_single_item(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"before it {item} after it"), (2, "nothing of it here"), (3, " ".join(item.split()[:7])), (4, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, " ".join(f"r{k}" for k in range(20)))], "item_id long, text string")
+    assert {r.doc_id for r in drop_contaminated(docs, benchmark).collect()} == {2, 3, 4}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables.write(spark, tmp_path / "t", docs=[])).count() == 0
