@@ -19,7 +19,8 @@ pass for each block.
 
 Documents without words are linked with nothing; null texts have none; null ids are documents whose
 component is that of their copies, and they never name one. Repeated rows share their fate. An empty
-table gives an empty result. Other columns are not read.
+table gives an empty result. Other columns are not read. The query links at PERCENT, the pipeline's
+stage at STAGE_PERCENT.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 85
+#: What the pipeline's stage links at; PERCENT is the query's.
+STAGE_PERCENT = 80
 TREES = 24
 DEPTHS = (4, 8, 16)
 HASHES = TREES * DEPTHS[0]
@@ -127,16 +130,16 @@ def _sets():
     return lambda texts: [[shingle_set(t, held).tobytes() for t in texts]]
 
 
-def _linked():
+def _linked(percent: int):
     def one(a: bytes, b: bytes) -> bool:
         x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
         if len(x) > len(y):
             x, y = y, x
         at = np.searchsorted(y, x)
         both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        return 100 * both >= PERCENT * (len(x) + len(y) - both)
+        return 100 * both >= percent * (len(x) + len(y) - both)
 
-    return lambda a, b: [[one(*p) for p in zip(a, b, strict=True)]]
+    return lambda: lambda a, b: [[one(*p) for p in zip(a, b, strict=True)]]
 
 
 def _crowded(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -148,9 +151,9 @@ def _crowded(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
 class Forest:
     """The regions of all orders, by class: small ones give pairs of entries, large ones pairs with a centre."""
 
-    def __init__(self, classes: DataFrame, scratch: Scratch):
+    def __init__(self, classes: DataFrame, scratch: Scratch, percent: int):
         """classes: (cid, n, sig)."""
-        self.scratch = scratch
+        self.scratch, self.percent = scratch, percent
         rows = add_columns(classes, ["sig"], _orders, "orders array<struct<p:long,q:long,r:long>>", drop=("sig",))
         rows = rows.select("cid", "n", F.explode("orders").alias("o")).select("cid", "n", "o.*")
         members = scratch.save(_crowded(rows, "p", scratch), "members")
@@ -173,13 +176,13 @@ class Forest:
         pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(
             F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))
         )))).alias("p")).select("p.*")
-        return _sized(pairs)
+        return _sized(pairs, self.percent)
 
     def centred(self, large: DataFrame) -> DataFrame:
         """A pair of each entry with the entry of its region that has the best score."""
         centre = self.scratch.save(large.groupBy("region").agg(F.max(F.struct("score", "cid", "n")).alias("c")).select(
             "region", F.col("c.cid").alias("b"), F.col("c.n").alias("nb")), "centres")
-        return _sized(large.join(centre, "region").where("cid <> b").select(F.col("cid").alias("a"), "b", F.col("n").alias("na"), "nb"))
+        return _sized(large.join(centre, "region").where("cid <> b").select(F.col("cid").alias("a"), "b", F.col("n").alias("na"), "nb"), self.percent)
 
     def candidates(self) -> DataFrame:
         """Distinct pairs (a, b), a < b, and in how many regions they met."""
@@ -201,11 +204,11 @@ class Forest:
         return every, self.scratch.save(outside, "apart")
 
 
-def _sized(pairs: DataFrame) -> DataFrame:
-    return pairs.where(f"a <> b and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
+def _sized(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are near enough. texts: (cid, text), one per class."""
     pairs = scratch.save(pairs.select("a", "b"), "asked")
     ids = scratch.save(pairs.select(F.col("a").alias("_c")).unionAll(pairs.select("b")).distinct(), "ids")
@@ -214,12 +217,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.save(add_columns(wanted.select("cid", "text"), ["text"], _sets, "s binary", drop=("text",)), "sets")
     a, b = (sets.select(F.col("cid").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
-    links = scratch.save(add_columns(both, ["sa", "sb"], _linked, "linked boolean", drop=("sa", "sb")).where("linked").select("a", "b"), "links")
+    links = scratch.save(add_columns(both, ["sa", "sb"], _linked(percent), "linked boolean", drop=("sa", "sb")).where("linked").select("a", "b"), "links")
     scratch.drop("sets")
     return links
 
 
-def _against(block):
+def _against(block, percent: int):
     """Links of a row's set with the sets of a block, one for each component that it is not in."""
     def make():
         held = block.value  # the index built from it stays with the worker
@@ -240,7 +243,7 @@ def _against(block):
                 width = high - low
                 at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
                 both = np.bincount(owner[at], minlength=len(sizes))
-                for k in np.flatnonzero((100 * both >= PERCENT * (len(x) + sizes - both)) & (roots != r)):
+                for k in np.flatnonzero((100 * both >= percent * (len(x) + sizes - both)) & (roots != r)):
                     if (pair := (int(cids[k]), r)) not in seen:
                         seen.add(pair)
                         links.append(pair[0])
@@ -252,7 +255,7 @@ def _against(block):
     return make
 
 
-def exact_rest(entries: DataFrame, apart: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame | None:
+def exact_rest(entries: DataFrame, apart: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
     """Links (a, b) between entries that are apart and all entries, over components; None if none is apart."""
     if apart.isEmpty():
         return None
@@ -268,21 +271,21 @@ def exact_rest(entries: DataFrame, apart: DataFrame, texts: DataFrame, scratch:
         if not rows:
             continue
         block = spark.sparkContext.broadcast({"cids": [r.cid for r in rows], "roots": [r.root for r in rows], "sets": [bytes(r.s) for r in rows]})
-        found = add_columns(sets, ["cid", "root", "s"], _against(block), "others array<long>", drop=("root", "s"))
+        found = add_columns(sets, ["cid", "root", "s"], _against(block, percent), "others array<long>", drop=("root", "s"))
         found = scratch.save(found.select(F.col("cid").alias("a"), F.explode("others").alias("b")), "rest")
         links = found if links is None else links.unionAll(found)
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id. Sets of a similarity of percent hundredths are linked."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     signed = scratch.save(add_columns(docs.select("doc_id", "text"), ["text"], _sign, "n long, f1 long, f2 long, sig binary", drop=("text",)), "signed")
     worded = signed.where("n > 0")
     classes = scratch.save(worded.groupBy("f1", "f2").agg(
         F.coalesce(F.min("doc_id"), F.first("f1")).alias("cid"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    forest = Forest(classes.select("cid", "n", "sig"), scratch)
+    forest = Forest(classes.select("cid", "n", "sig"), scratch, percent)
     # one text of each class: that of its smallest id
     texts = docs.select(F.col("doc_id").alias("cid"), "text").where("cid is not null")
     found = scratch.save(forest.candidates(), "candidates")
@@ -290,7 +293,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sided = found.select(F.col("a").alias("x"), F.col("b").alias("y"), "met").unionAll(found.select("b", "a", "met"))
     best = sided.join(score, F.col("y") == F.col("cid")).groupBy("x").agg(F.max(F.struct("met", "score", "y")).alias("best")).select(
         F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
-    links = confirm(best, texts, scratch)
+    links = confirm(best, texts, scratch, percent)
     roots = components(links, scratch)
 
     def across(pairs: DataFrame) -> DataFrame:
@@ -299,9 +302,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return pairs.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
     rest = across(found.join(best, ["a", "b"], "left_anti"))
-    links = links.unionAll(confirm(rest, texts, scratch))
+    links = links.unionAll(confirm(rest, texts, scratch, percent))
     roots = components(links, scratch)
-    if (more := exact_rest(*forest.apart(roots), texts, scratch)) is not None:
+    if (more := exact_rest(*forest.apart(roots), texts, scratch, percent)) is not None:
         roots = components(links.unionAll(more), scratch)
     named = scratch.save(classes.join(roots, F.col("cid") == F.col("node"), "left").select(
         F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("root", "cid").alias("root"), "low"), "named")
@@ -312,7 +315,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, all columns as they were."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, STAGE_PERCENT).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept.hint("shuffle_hash"), F.expr("doc_id <=> _kept"), "left_semi")
 
 

@@ -148,6 +148,20 @@ def _near(a, b):
     return 100 * len(x & y) >= 85 * len(x | y)
 
 
+def test_the_stage_links_at_80(spark):
+    """Texts of a similarity between 0.80 and 0.85 are one document for the pipeline, and two for the query."""
+    base = [f"w{k}" for k in range(300)]
+    other = base.copy()
+    for p in range(12, 290, 50):
+        other[p] = f"e{p}"
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(f"u{k}" for k in range(300)))]
+    x, y = (set(zip(*[r[1].split()[k:] for k in range(5)], strict=False)) for r in rows[:2])
+    assert 80 * len(x | y) <= 100 * len(x & y) < 85 * len(x | y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.keep_one(docs).collect()} == {1, 3}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
+
+
 def test_line_runs_are_levelled(spark):
     scratch = Scratch(spark, "test")
     runs = line_dedup.LineRuns(scratch, fan=2)
