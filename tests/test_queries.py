@@ -45,3 +45,17 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["id", "balance"]
     assert set(driver_queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["call_chain", "call_missing", "call_dedupe"])
+def test_calls_of_large_ids(spark, tmp_path, name):
+    """Users and customers with ids beyond those of the small tables."""
+    read = {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("events", "customer", "nation")}
+    read["events"] = read["events"].selectExpr("* except (user_id)", "user_id + if(user_id % 2 = 1, 200, 0) as user_id")
+    read["customer"] = read["customer"].unionByName(read["customer"].selectExpr("* except (c_custkey)", "c_custkey + 200 as c_custkey"))
+    con = duckdb.connect()
+    for t, df in read.items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = driver_queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.execute(driver_queries.ORACLE_SQL[name]).df())
