@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -291,3 +292,20 @@ def test_op8_crowd(spark, monkeypatch):
     assert sum(r.n_turns for r in parts if r.perspective == "ann") >= 50 and len({r["sub"] for r in parts}) > 10
     said = "".join(r.rendered for r in parts)
     assert all(f"m{k}<|end|>" in said for k in range(100))
+
+
+@pytest.mark.parametrize("crowd", [4096, 10])
+def test_op8_whole_dialogue_for_each(spark, monkeypatch, crowd):
+    """The parts of a perspective add up to the dialogue, in order, also where the participant is silent."""
+    from chainfold.llm import chat
+
+    monkeypatch.setattr(chat, "CROWD", crowd)
+    said = [(1, t, "ann" if t == 150 else "system" if t < 64 else "bob", f"m{t}.") for t in range(300)]
+    said += [(2, t, "system", f"m{t}.") for t in range(100)] + [(None, t, f"s{t // 64}", f"m{t}.") for t in range(130)]
+    parts = chat.rotate(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()
+    for conv, who in ((1, {"ann", "bob"}), (2, {None}), (None, {"s0", "s1", "s2"})):
+        assert {r.perspective for r in parts if r.conv_id == conv} == who
+        for p in who:
+            of = sorted((r for r in parts if r.conv_id == conv and r.perspective == p), key=lambda r: (r.block, r["sub"]))
+            assert re.findall(r"m\d+\.(?=<.end)", "".join(r.rendered for r in of)) == [x[3] for x in said if x[0] == conv]
+            assert sum(len(r["mask"]) for r in of) == sum(x[2] == p for x in said if x[0] == conv)
