@@ -1,15 +1,21 @@
 """URL filters: path rules by host, and link-graph propagation for what no rule covers.
 
-Two personalised walks run over host edges: trust starts at hosts with explicitly allowed pages and
-follows links forward; distrust starts at blocked hosts and follows links backward, to those that
+Two personalised PageRanks run over host edges: trust starts at hosts with explicitly allowed pages
+and follows links forward; distrust starts at blocked hosts and follows links backward, to those that
 link there. A host whose distrust is above its trust, and not below LEAST, is blocked for pages that
 no rule covers.
 
+Every seed host starts with up to UNIT, the share of its pages that are seeds, so a host's masses are
+sums over the seeds that reach it: they and LEAST mean the same in a corpus of any size. A round moves
+DAMPING hundredths of what arrived in the round before, dealt out by link weights to every edge; a
+host's mass is all that arrived there, its PageRank but for a constant factor. What arrived is moved
+on while it is STILL or more at a host, so the walks end by themselves: a round halves what is under
+way, and no host keeps back more than a hundredth of LEAST of a round's arrivals.
+
 Edges are absolute links of the pages, counted for each pair of hosts, and the tie of a host to its
 parent host (both ways, weight 1), so that the hosts of a site share what is known of it. Masses are
-whole numbers of 1e-12 and shares whole millionths, so sums do not depend on their order and reruns
-agree. Pages are shuffled as sums per host and per pair of hosts; the walks move a row for each edge
-and kind of mass.
+whole numbers, so sums do not depend on their order and reruns agree. Pages are shuffled as sums per
+host and per pair of hosts; the walks move a row for each edge and kind of mass.
 
 Null urls and urls without :// have an empty host and path, no rule and no edges, and are allowed.
 A null html has no links. Repeated rows are judged alike; an empty table gives an empty result.
@@ -32,11 +38,14 @@ RULES = (
 )
 #: First labels of hosts known to be bad, beside those whose pages the rules block.
 BLOCKED_NAMES = ("spam-farm", "casino-win", "cheap-pills")
-ONE = 10**12
-SHARE = 10**6
-DAMPING = 85
-ROUNDS = 6
-LEAST = 10**5
+#: The mass of a seed host; a long holds that of 9 * 10**9 hosts.
+UNIT = 10**9
+DAMPING = 50
+#: Distrust that blocks, and mass that is moved on: hundredths and ten-thousandths of a seed host's.
+LEAST = UNIT // 100
+STILL = UNIT // 10_000
+#: Rounds between two written tables.
+WRITE_EVERY = 4
 #: A host is a distrust seed if rules block so many hundredths of its pages.
 SEED_PERCENT = 90
 BROADCAST_ROWS = 50_000
@@ -75,50 +84,55 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def host_seeds(pages: DataFrame) -> DataFrame:
-    """(host, kind, seed): t for trust and x for distrust, each kind's masses adding up to about ONE."""
+    """(host, kind, seed): t for trust and x for distrust; a host's seed is UNIT times the share of its pages."""
     bad = F.substring_index("host", ".", 1).isin(*BLOCKED_NAMES)
     for n in (1, 2):  # the name may stand after a www. or the like
         bad = bad | F.element_at(F.concat(F.split("host", r"\."), F.array(*[F.lit("")] * 3)), n + 1).isin(*BLOCKED_NAMES)
     per = pages.where("host <> ''").groupBy("host").agg(
         F.count("*").alias("n"), F.count_if(F.col("action") == "allow").alias("good"), F.count_if(F.col("action") == "block").alias("barred"))
     kinds = per.select("host", F.explode(F.array(
-        F.struct(F.lit("t").alias("kind"), F.when(bad, 0).otherwise(F.col("good")).alias("v")),
-        F.struct(F.lit("x").alias("kind"), F.when(bad | (F.col("barred") * 100 >= F.col("n") * SEED_PERCENT), F.col("n")).otherwise(0).alias("v")),
-    )).alias("s")).select("host", "s.kind", "s.v").where("v > 0")
-    total = kinds.groupBy("kind").agg(F.sum("v").alias("all"))
-    return kinds.join(F.broadcast(total), "kind").select("host", "kind", F.expr(f"{ONE}L div all * v").alias("seed"))
+        F.struct(F.lit("t").alias("kind"), F.when(bad, 0).otherwise(F.expr(f"good * {UNIT}L div n")).alias("seed")),
+        F.struct(F.lit("x").alias("kind"), F.when(bad | (F.col("barred") * 100 >= F.col("n") * SEED_PERCENT), UNIT).otherwise(0).cast("long").alias("seed")),
+    )).alias("s")).select("host", "s.kind", "s.seed").where("seed > 0")
+    return kinds
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after so many rounds, for hosts with any mass."""
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, trust, distrust) for hosts with any mass."""
     both = edges.select(F.lit("t").alias("kind"), F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionAll(
         edges.select(F.lit("x").alias("kind"), F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
     out = both.groupBy("kind", "src").agg(F.sum("w").alias("all"))
-    both = scratch.save(both.join(out, ["kind", "src"]).select(
-        "kind", "src", "dst", F.expr(f"w * {SHARE}L div all").alias("share")).where("share > 0"), "shares")
-    mass = seeds.withColumnRenamed("seed", "m")
-    base = seeds.select("kind", F.col("host").alias("dst"), F.expr(f"seed * {100 - DAMPING}L div 100").alias("m"))
-    for k in range(rounds):
-        moved = both.join(mass.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", "dst").agg(
-            F.sum(F.expr(f"m * share div {SHARE}L")).alias("m")).select("kind", "dst", F.expr(f"m * {DAMPING}L div 100").alias("m"))
-        mass = moved.unionAll(base).groupBy("kind", F.col("dst").alias("host")).agg(F.sum("m").alias("m"))
-        if k % 3 == 2 or k == rounds - 1:
-            mass = scratch.save(mass, f"mass{k}")
-    return mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("m")).otherwise(0)).alias("trust"),
-                                    F.sum(F.when(F.col("kind") == "x", F.col("m")).otherwise(0)).alias("distrust"))
-
-
-def filter_urls(pages: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    both = scratch.save(both.join(out, ["kind", "src"]), "shares")
+    # m is what arrived last, mass all that arrived
+    state = seeds.select("kind", "host", F.col("seed").alias("m"), F.col("seed").alias("mass"))
+    rounds = 0
+    while True:
+        # m * w may pass a long; what is dealt out does not
+        dealt = both.join(state.where(F.col("m") >= STILL).select("kind", F.col("host").alias("src"), "m"), ["kind", "src"]).select(
+            "kind", F.col("dst").alias("host"), F.expr("cast(m as decimal(19,0)) * cast(w as decimal(19,0)) div all").alias("m"), F.lit(0).cast("long").alias("mass"))
+        state = dealt.unionAll(state.select("kind", "host", F.lit(0).cast("long"), "mass")).groupBy("kind", "host").agg(
+            F.expr(f"sum(m) * {DAMPING} div 100").alias("m"), F.sum("mass").alias("mass")).withColumn("mass", F.expr("mass + m"))
+        rounds += 1
+        if rounds % WRITE_EVERY == 0:
+            state = scratch.save(state, f"state{rounds}")
+            if state.where(F.col("m") >= STILL).isEmpty():
+                break
+            scratch.drop(f"state{rounds - WRITE_EVERY}")
+    kept = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0))
+    return state.groupBy("host").agg(kept("t").alias("trust"), kept("x").alias("distrust"))
+
+
+def filter_urls(pages: DataFrame) -> DataFrame:
     """pages with host, path, rule, trust, distrust and verdict."""
     scratch = Scratch(pages.sparkSession, "urls")
     read = with_rules(pages)
     seeds = scratch.save(host_seeds(read), "seeds")
     edges = scratch.save(host_edges(read), "edges")
-    masses = scratch.save(propagate(edges, seeds, scratch, rounds).where(f"distrust >= {LEAST} or trust > 0"), "masses")
+    masses = scratch.save(propagate(edges, seeds, scratch).where(f"distrust >= {LEAST} or trust > 0").withColumnRenamed("host", "_host"), "masses")
     masses = F.broadcast(masses) if masses.count() <= BROADCAST_ROWS else masses
-    return read.join(masses, "host", "left").withColumns({
+    return read.join(masses, F.col("host") == F.col("_host"), "left").withColumns({
         "trust": F.coalesce("trust", F.lit(0)), "distrust": F.coalesce("distrust", F.lit(0))}).withColumn(
-        "verdict", F.coalesce("action", F.expr(f"if(distrust >= {LEAST} and distrust > trust, 'block', 'allow')"))).drop("action")
+        "verdict", F.coalesce("action", F.expr(f"if(distrust >= {LEAST} and distrust > trust, 'block', 'allow')"))).drop("action", "_host")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,21 +160,16 @@ edges AS (SELECT a, b, sum(w) AS w FROM (SELECT * FROM links UNION ALL SELECT ho
 per AS (SELECT host, count(*) AS n, count(*) FILTER (action = 'allow') AS good, count(*) FILTER (action = 'block') AS barred,
     string_split(host, '.')[1] IN ({bad}) OR coalesce(string_split(host, '.')[2], '') IN ({bad})
     OR coalesce(string_split(host, '.')[3], '') IN ({bad}) AS bad FROM ruled WHERE host <> '' GROUP BY host),
-kinds AS (SELECT host, 't' AS kind, CASE WHEN bad THEN 0 ELSE good END AS v FROM per UNION ALL
-    SELECT host, 'x', CASE WHEN bad OR barred * 100 >= n * {SEED_PERCENT} THEN n ELSE 0 END FROM per),
-mass0 AS (SELECT host, kind, ({ONE} // sum(v) OVER (PARTITION BY kind)) * v AS m FROM kinds WHERE v > 0),
+kinds AS (SELECT host, 't' AS kind, CASE WHEN bad THEN 0 ELSE good * {UNIT} // n END AS m FROM per UNION ALL
+    SELECT host, 'x', CASE WHEN bad OR barred * 100 >= n * {SEED_PERCENT} THEN {UNIT} ELSE 0 END FROM per),
 both_ways AS (SELECT 't' AS kind, a AS src, b AS dst, w FROM edges UNION ALL SELECT 'x', b, a, w FROM edges),
-shares AS (SELECT kind, src, dst, w * {SHARE} // sum(w) OVER (PARTITION BY kind, src) AS share FROM both_ways)"""]
-    for k in range(ROUNDS):
-        parts.append(f"""
-mass{k + 1} AS (SELECT host, kind, sum(m) AS m FROM (
-    SELECT s.kind, s.dst AS host, sum(p.m * s.share // {SHARE}) * {DAMPING} // 100 AS m FROM shares s
-        JOIN mass{k} p ON p.kind = s.kind AND p.host = s.src WHERE s.share > 0 GROUP BY s.kind, s.dst
-    UNION ALL SELECT kind, host, m * {100 - DAMPING} // 100 FROM mass0) GROUP BY host, kind)""")
-    parts.append(f"""
+shares AS (SELECT kind, src, dst, w, sum(w) OVER (PARTITION BY kind, src) AS whole FROM both_ways),
+walk AS (SELECT kind, host, CAST(m AS HUGEINT) AS m FROM kinds WHERE m > 0
+    UNION ALL SELECT s.kind, s.dst, CAST(sum(p.m * s.w // s.whole) * {DAMPING} // 100 AS HUGEINT)
+    FROM walk p JOIN shares s ON s.kind = p.kind AND s.src = p.host WHERE p.m >= {STILL} GROUP BY s.kind, s.dst),
 judged AS (SELECT host, sum(CASE WHEN kind = 't' THEN m ELSE 0 END) AS trust, sum(CASE WHEN kind = 'x' THEN m ELSE 0 END) AS distrust
-    FROM mass{ROUNDS} GROUP BY host)""")
-    return "WITH " + ",".join(parts) + f"""
+    FROM walk GROUP BY host)"""]
+    return "WITH RECURSIVE " + ",".join(parts) + f"""
 SELECT page_id, ruled.host, path, rule,
     coalesce(action, CASE WHEN distrust >= {LEAST} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN judged ON judged.host = ruled.host"""

@@ -276,6 +276,33 @@ def test_op10_rules(spark, odd):
     assert verdict["spam-farm.example.org"] == verdict["www.casino-win.org"] == verdict["good.org"] == "block" and verdict["q.org"] == "allow" and verdict[""] == "allow"
 
 
+def _links(spark, chain):
+    page = lambda k, host, to: (k, f"http://{host}/x", "".join(f'<a href="http://{h}/">x</a>' for h in to))
+    return spark.createDataFrame([page(k, h, to) for k, (h, to) in enumerate(chain)], "page_id long, url string, html string")
+
+
+def test_op10_reach(spark):
+    """Distrust goes back along a chain until it is below LEAST, and is moved on until it is still."""
+    from chainfold.llm import url_filters
+
+    chain = [(f"h{k}.test", [f"h{k + 1}.test"]) for k in range(12)] + [("h12.test", ["spam-farm.test"]), ("spam-farm.test", [])]
+    rows = {r.host: r for r in url_filters.filter_urls(_links(spark, chain)).collect()}
+    for k in range(13):
+        expect = url_filters.UNIT // 2 ** (13 - k)
+        assert abs(rows[f"h{k}.test"].distrust - expect) <= 13 or expect < url_filters.LEAST
+        assert rows[f"h{k}.test"].verdict == ("block" if expect >= url_filters.LEAST else "allow")
+
+
+def test_op10_does_not_depend_on_the_size(spark):
+    """Thousands of other hosts, seeds among them, leave a host's masses as they are; a hub's light edges count."""
+    from chainfold.llm import url_filters
+
+    few = [("bad.test", ["spam-farm.test"]), ("spam-farm.test", []), ("mixed.test", ["spam-farm.test", "other.test"]), ("other.test", [])]
+    more = few + [(f"casino-win.x{k}", [f"y{k}.test"]) for k in range(3000)]
+    a, b = ({r.host: (r.trust, r.distrust, r.verdict) for r in url_filters.filter_urls(_links(spark, c)).collect()} for c in (few, more))
+    assert all(a[h] == b[h] for h in a) and a["bad.test"][2] == "block"
+
+
 def test_op8_masks(spark, odd):
     for r in rows(spark, odd, "op8_chat_formatting"):
         spans = [tuple(map(int, s.split("-"))) for s in r["mask"].split(",") if s]
