@@ -1,21 +1,24 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 A document's set is its distinct five-word shingles. Equal sets are one class (by a 128-bit hash), so
-thousands of exact copies are one entry. A class has TREES sorted orders of its signature, each from
-another place of it; entries that share a prefix in an order are a region, and its depth adapts: a
-region of more than CROWD entries is followed to a longer prefix, where its entries meet nearer
-neighbours only. Entries of a small region are candidates of each other, at most CROWD squared for a
-region. In a large region every entry is a candidate of the region's centre, the entry with the most
-company over all orders, which is where a group of copies of one text has the text itself; no region
-gives more pairs than it has entries, besides those of its small parts.
-
-Candidates are confirmed on the full sets. Each class's best candidate goes first; pairs that links
-have joined by then need no look, the others are all confirmed. Links give components, by contraction.
-Entries of large regions that are still apart from their centre's component are the exact rest: in
-blocks of BLOCK_BYTES of sets they are counted against the sets of all entries of large regions, so
-every link between two entries that share a region is either confirmed or within a component. Few
-entries are apart unless many texts share half their shingles and link to none; such a corpus costs a
-pass for each block.
+thousands of exact copies are one entry. A class has TREES keys: its signature, read from another
+place for each tree, DEPTH_MOST values long. All keys are sorted, by range, so a tree lies in
+order over many tasks and no prefix, however common, has to fit one of them. One sweep over each
+sorted range takes the common prefix of every two neighbours. Entries that share DEPTH_LEAST values
+are a region. Its depth adapts: a region of more than CROWD entries is followed to longer prefixes
+until its parts hold no more, and within a part all are candidates of each other; besides, neighbours
+in the order are always candidates, since nobody shares a longer prefix with an entry than they do.
+Regions that a range ends in are swept again with what touches the same seam.
+
+An entry of a large region may have a link that no order puts near it, as in a star of copies of one
+text. So each entry of a large region is also a candidate of the region's centre, the entry with the
+most company over all trees. Candidates are confirmed on the full sets. Each class's best candidate
+goes first; pairs that links have joined by then need no look, the others are all confirmed. Links
+give components, by contraction. Entries of large regions that are still apart from their centre's
+component are the exact rest: in blocks of BLOCK_BYTES of sets they are counted against the sets of
+all entries of large regions, so every link between two entries that share a region is either
+confirmed or within a component. Few entries are apart unless many texts share half their shingles
+and link to none; such a corpus costs a pass for each block.
 
 Documents without words are linked with nothing; null texts have none; null ids are documents whose
 component is that of their copies, and they never name one. Repeated rows share their fate. An empty
@@ -25,12 +28,15 @@ stage at STAGE_PERCENT.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, add_columns, table
+from .common import LOWER, UPPER, Scratch, add_columns, pack, table, unpack
 from .components import components
 
 SHINGLE = 5
@@ -38,9 +44,11 @@ PERCENT = 85
 #: What the pipeline's stage links at; PERCENT is the query's.
 STAGE_PERCENT = 80
 TREES = 24
-DEPTHS = (4, 8, 16)
-HASHES = TREES * DEPTHS[0]
+DEPTH_LEAST, DEPTH_MOST = 4, 16
+HASHES = TREES * DEPTH_LEAST
 CROWD = 8
+#: Rows of a sorted range that are swept at once; a longer region is swept in pieces that overlap.
+HELD_ROWS = 1 << 17
 BLOCK_BYTES = 16 << 20
 WORDS_HELD = 150_000
 #: Involved ids are sent to all tasks up to this many, else joined by shuffle.
@@ -88,16 +96,6 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
-def prefixes(sig: np.ndarray) -> list[list[int]]:
-    """For each order, hashes of its prefixes of every depth."""
-    turned = np.concatenate([sig, sig[: DEPTHS[-1]]])
-    out = []
-    for t in range(TREES):
-        at = t * DEPTHS[0]
-        out.append([xxhash.xxh3_64_intdigest(turned[at : at + d].tobytes(), seed=t * 64 + d) - (1 << 63) for d in DEPTHS])
-    return out
-
-
 def _sign():
     held: dict[bytes, int] = {}
 
@@ -118,9 +116,139 @@ def _sign():
     return run
 
 
-def _orders():
-    def run(sigs):
-        return [[[dict(zip("pqr", p, strict=True)) for p in prefixes(np.frombuffer(s, np.uint32))] for s in sigs]]
+#: A key is the tree's number and its values, 16 bits each.
+_UNITS = 1 + DEPTH_MOST
+_PLACES = (np.arange(TREES)[:, None] * DEPTH_LEAST + np.arange(DEPTH_MOST)[None, :]) % HASHES
+_KEYS = "key binary, cid long, n long"
+_PAIR, _MEMBER, _SEAM = 0, 1, 2
+_SWEPT = "kind int, a long, b long, n long, region long, key binary"
+
+
+def _binary(units: np.ndarray) -> pa.Array:
+    """A row of 16-bit values as a binary value each."""
+    rows, width = units.shape[0], 2 * units.shape[1]
+    ends = np.arange(rows + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(units).tobytes())])
+
+
+def _units(keys: pa.Array) -> np.ndarray:
+    width = 2 * _UNITS
+    start = np.frombuffer(keys.buffers()[1], np.int32, count=keys.offset + 1)[keys.offset]
+    return np.frombuffer(keys.buffers()[2], np.uint16, count=len(keys) * _UNITS, offset=int(start)).reshape(-1, _UNITS) if len(keys) else np.empty((0, _UNITS), np.uint16)
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each class, one for each tree."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 4096):
+            some = batch.slice(k, 4096)
+            low = np.frombuffer(b"".join(some.column("sig").to_pylist()), np.uint32).astype(np.uint16).reshape(-1, HASHES)
+            units = np.empty((len(low), TREES, _UNITS), np.uint16)
+            units[:, :, 0], units[:, :, 1:] = np.arange(TREES), low[:, _PLACES]
+            yield pa.RecordBatch.from_arrays(
+                [_binary(units.reshape(-1, _UNITS)), *(pa.array(np.repeat(some.column(c).to_numpy(zero_copy_only=False), TREES), pa.int64()) for c in ("cid", "n"))],
+                ["key", "cid", "n"])
+
+
+def _shared(units: np.ndarray) -> np.ndarray:
+    """For each key how many units it shares with the one before."""
+    same = units[1:] == units[:-1]
+    return np.concatenate([[0], np.where(same.all(axis=1), _UNITS, same.argmin(axis=1))]) if len(units) else np.empty(0, np.int64)
+
+
+def _region_of(units: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(units[: 1 + DEPTH_LEAST].tobytes()) - (1 << 63)
+
+
+def _runs(shared: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of entries that share `depth` units, and the run of each entry."""
+    cuts = shared < depth
+    cuts[:1] = True
+    starts = np.flatnonzero(cuts)
+    return starts, np.diff(np.append(starts, len(shared))), np.cumsum(cuts) - 1
+
+
+def near_in_order(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of candidates in a stretch of sorted keys, from the units that neighbours share."""
+    least = 1 + DEPTH_LEAST
+    _, sizes, run = _runs(shared, least)
+    next_to = np.flatnonzero((shared >= least) & (sizes[run] > CROWD))
+    left, right = [next_to - 1], [next_to]
+    at, rest = np.arange(len(shared)), shared
+    for depth in range(least, _UNITS + 1):
+        _, sizes, run = _runs(rest, depth)
+        size = sizes[run]
+        for k in range(1, CROWD):
+            if k >= len(at):
+                break
+            both = np.flatnonzero((run[:-k] == run[k:]) & (size[:-k] <= CROWD))
+            left.append(at[both])
+            right.append(at[both + k])
+        deeper = size > CROWD
+        at, rest = at[deeper], rest[deeper]
+        if not len(at):
+            break
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _sweep(percent: int, seams: bool) -> Callable:
+    """Candidates, entries of large or cut regions and what touches the ends, of sorted ranges of keys."""
+    least = 1 + DEPTH_LEAST
+    names = _SWEPT.replace(" int", "").replace(" long", "").replace(" binary", "").split(", ")
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def made(kind: int, **columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, kind, np.int32)), *(columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t)
+                                                     for c, t in zip(names[1:], kinds[1:], strict=True))], names)
+
+    def piece(units, cid, n, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        shared = _shared(units)
+        i, j = near_in_order(shared)
+        fit = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (cid[i] != cid[j])
+        i, j = cid[i[fit]], cid[j[fit]]
+        pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0, return_counts=True) if len(i) else None
+        if pairs is not None:
+            yield made(_PAIR, a=pairs[0][:, 0], b=pairs[0][:, 1], n=pairs[1])
+        if not seams or not len(cid):
+            return
+        starts, sizes, run = _runs(shared, least)
+        wanted = sizes > CROWD
+        wanted[0] |= first
+        wanted[-1] |= last
+        region = np.zeros(len(starts), np.int64)
+        for r in np.flatnonzero(wanted):
+            region[r] = _region_of(units[starts[r]])
+        held = np.flatnonzero(wanted[run])
+        yield made(_MEMBER, a=cid[held], n=n[held], region=region[run[held]])
+        ends = np.zeros(len(cid), bool)
+        if first:
+            ends[: min(CROWD, sizes[0])] = True
+        if last:
+            ends[len(cid) - min(CROWD, sizes[-1]) :] = True
+        if len(ends := np.flatnonzero(ends)):
+            yield made(_SEAM, a=cid[ends], n=n[ends], region=region[run[ends]], key=_binary(units[ends]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = (_units(batch.column("key")), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "n")))
+            held = fresh if held is None else tuple(np.concatenate(x) for x in zip(held, fresh, strict=True))
+            if len(held[1]) < HELD_ROWS // 4:
+                continue
+            # whole regions go; one longer than HELD_ROWS goes in pieces that share CROWD entries
+            cuts = np.flatnonzero(_shared(held[0]) < least)
+            done = cut = int(cuts[-1])
+            if not cut and len(held[1]) >= HELD_ROWS:
+                done, cut = len(held[1]), len(held[1]) - CROWD
+            if cut:
+                yield from piece(*(x[:done] for x in held), first, False)
+                held, first = tuple(x[cut:] for x in held), False
+        if held is not None:
+            yield from piece(*held, first, True)
 
     return run
 
@@ -142,59 +270,38 @@ def _linked(percent: int):
     return lambda: lambda a, b: [[one(*p) for p in zip(a, b, strict=True)]]
 
 
-def _crowded(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """rows with n_<key>, the number of rows that share the key, without those that share it with none."""
-    counts = scratch.save(rows.groupBy(key).agg(F.count("*").alias(f"n_{key}")).where(f"n_{key} > 1"), f"counts_{key}")
-    return rows.join(counts, key)
-
-
 class Forest:
-    """The regions of all orders, by class: small ones give pairs of entries, large ones pairs with a centre."""
+    """The sorted trees: pairs (a, b) that are near in some order, and the entries of large regions."""
 
     def __init__(self, classes: DataFrame, scratch: Scratch, percent: int):
         """classes: (cid, n, sig)."""
         self.scratch, self.percent = scratch, percent
-        rows = add_columns(classes, ["sig"], _orders, "orders array<struct<p:long,q:long,r:long>>", drop=("sig",))
-        rows = rows.select("cid", "n", F.explode("orders").alias("o")).select("cid", "n", "o.*")
-        members = scratch.save(_crowded(rows, "p", scratch), "members")
-        self.score = scratch.save(members.groupBy("cid").agg(F.sum("n_p").alias("score")), "score")
-        deep = members.where(f"n_p > {CROWD}")
-        self.small = [self._pairs(members.where(f"n_p <= {CROWD}"), "p")]
-        self.large = []
-        self.deep = scratch.save(deep.select("cid", "n", "p", "q", "r").join(self.score, "cid"), "deep")
-        self.large.append(self.deep.select(F.col("p").alias("region"), "cid", "n", "score"))
-        narrowed = self.deep
-        for key in ("q", "r"):
-            narrowed = scratch.save(_crowded(narrowed.drop("n_q"), key, scratch), f"deep_{key}")
-            self.small.append(self._pairs(narrowed.where(f"n_{key} <= {CROWD}"), key))
-            narrowed = narrowed.where(f"n_{key} > {CROWD}")
-            self.large.append(narrowed.select(F.col(key).alias("region"), "cid", "n", "score"))
-
-    def _pairs(self, members: DataFrame, key: str) -> DataFrame:
-        """Pairs of a region of CROWD entries at most, whose sizes allow a link."""
-        lists = members.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cid", "n"))).alias("m"))
-        pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(
-            F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))
-        )))).alias("p")).select("p.*")
-        return _sized(pairs, self.percent)
-
-    def centred(self, large: DataFrame) -> DataFrame:
-        """A pair of each entry with the entry of its region that has the best score."""
-        centre = self.scratch.save(large.groupBy("region").agg(F.max(F.struct("score", "cid", "n")).alias("c")).select(
+        keys = classes.select("cid", "n", "sig").mapInArrow(_orders, _KEYS)
+        swept = scratch.save(keys.repartitionByRange("key", "cid").sortWithinPartitions("key", "cid").mapInArrow(_sweep(percent, True), _SWEPT), "swept")
+        # as many rows as ranges, times CROWD
+        seams = swept.where(F.col("kind") == _SEAM).select("region", "key", F.col("a").alias("cid"), "n")
+        seams = seams.repartition("region").sortWithinPartitions("key", "cid").select("key", "cid", "n")
+        self.pairs = swept.where(F.col("kind") == _PAIR).unionAll(seams.mapInArrow(_sweep(percent, False), _SWEPT)).select("a", "b", F.col("n").alias("met"))
+        members = swept.where(F.col("kind") == _MEMBER).select("region", F.col("a").alias("cid"), "n")
+        sizes = scratch.save(members.groupBy("region").agg(F.count("*").alias("size")).where(f"size > {CROWD}"), "regions")
+        self.large = scratch.save(members.join(sizes, "region").distinct(), "large")
+        self.score = scratch.save(self.large.groupBy("cid").agg(F.sum("size").alias("score")), "score")
+
+    def centred(self) -> DataFrame:
+        """A pair of each entry of a large region with the one of best score there."""
+        rows = self.large.join(self.score, "cid")
+        centre = self.scratch.save(rows.groupBy("region").agg(F.max(F.struct("score", "cid", "n")).alias("c")).select(
             "region", F.col("c.cid").alias("b"), F.col("c.n").alias("nb")), "centres")
-        return _sized(large.join(centre, "region").where("cid <> b").select(F.col("cid").alias("a"), "b", F.col("n").alias("na"), "nb"), self.percent)
+        return _sized(rows.join(centre, "region").select(F.col("cid").alias("a"), "b", F.col("n").alias("na"), "nb"), self.percent)
 
     def candidates(self) -> DataFrame:
-        """Distinct pairs (a, b), a < b, and in how many regions they met."""
-        every = self.small + [self.centred(x) for x in self.large]
-        pairs = every[0]
-        for more in every[1:]:
-            pairs = pairs.unionByName(more)
-        return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("met"))
+        """Distinct pairs (a, b), a < b, and how often they met."""
+        pairs = self.pairs.unionAll(self.centred().withColumn("met", F.lit(1).cast("long")))
+        return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("met").alias("met"))
 
     def apart(self, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(cid, root) of all entries of large regions, and of those outside their region's best-connected entry's component."""
-        rows = self.deep.select(F.col("p").alias("region"), "cid", "score").join(roots, F.col("cid") == F.col("node"), "left").select(
+        rows = self.large.select("region", "cid").join(self.score, "cid").join(roots, F.col("cid") == F.col("node"), "left").select(
             "region", "cid", "score", F.coalesce("root", "cid").alias("root"))
         rows = self.scratch.save(rows, "placed")
         centre = self.scratch.save(rows.groupBy("region").agg(F.max(F.struct("score", "cid", "root")).alias("c")).select(
@@ -291,7 +398,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = scratch.save(forest.candidates(), "candidates")
     score = forest.score
     sided = found.select(F.col("a").alias("x"), F.col("b").alias("y"), "met").unionAll(found.select("b", "a", "met"))
-    best = sided.join(score, F.col("y") == F.col("cid")).groupBy("x").agg(F.max(F.struct("met", "score", "y")).alias("best")).select(
+    best = sided.join(score, F.col("y") == F.col("cid"), "left").groupBy("x").agg(F.max(F.struct("met", "score", "y")).alias("best")).select(
         F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
     links = confirm(best, texts, scratch, percent)
     roots = components(links, scratch)
@@ -316,7 +423,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, all columns as they were."""
     kept = near_duplicates(docs, STAGE_PERCENT).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.expr("doc_id <=> _kept"), "left_semi")
+    return unpack(pack(docs, "text", "doc_id").join(kept.hint("shuffle_hash"), F.expr("doc_id <=> _kept"), "left_semi"), docs)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,3 +235,68 @@ def test_pipeline_drops_a_single_item(spark):
 
 def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables.write(spark, tmp_path / "t", docs=[])).count() == 0
+
+
+def test_forest_recall(spark):
+    """The sorted trees alone, before any exact rest, propose nearly every link that an exact join finds."""
+    rng = random.Random(11)
+    docs, k = [], 0
+    for group in range(40):
+        base = [f"w{rng.getrandbits(30)}" for _ in range(rng.randint(30, 300))]
+        for _ in range(rng.randint(1, 12)):
+            words = list(base)
+            for p in rng.sample(range(len(words)), max(1, len(words) // rng.choice([60, 100, 200]))):
+                words[p] = f"e{rng.getrandbits(30)}"
+            docs.append((k, " ".join(words)))
+            k += 1
+    links = {(a, b) for a, x in docs for b, y in docs if a < b and _near(x, y)}
+    held: dict = {}
+    sets = [(d, near_dedup.shingle_set(t, held)) for d, t in docs]
+    classes = spark.createDataFrame([(d, len(s), near_dedup.signature(s).tobytes()) for d, s in sets], "cid long, n long, sig binary")
+    forest = near_dedup.Forest(classes, Scratch(spark, "test"), 85)
+    found = {(r.a, r.b) for r in forest.candidates().collect()}
+    assert len(links) > 300 and len(links & found) >= 0.9 * len(links)
+
+
+def test_neighbours_in_order():
+    """Within CROWD entries of a prefix all pairs, beyond it those of the deepest parts and next neighbours."""
+    rng = np.random.default_rng(4)
+    units = np.sort(rng.integers(0, 3, (400, near_dedup._UNITS)).astype(np.uint16).view(f"V{2 * near_dedup._UNITS}"), axis=0)
+    keys = np.array(sorted(map(bytes, units.ravel())))
+    units = np.stack([np.frombuffer(k.ljust(2 * near_dedup._UNITS, b"\0"), np.uint16) for k in keys])
+    shared = near_dedup._shared(units)
+    i, j = near_dedup.near_in_order(shared)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    least = 1 + near_dedup.DEPTH_LEAST
+    prefix = lambda k, d: units[k, :d].tobytes()
+    for a in range(400):
+        for b in range(a + 1, 400):
+            if prefix(a, least) != prefix(b, least):
+                assert (a, b) not in found
+                continue
+            depth = next((d for d in range(least, near_dedup._UNITS + 1) if sum(prefix(a, d) == prefix(k, d) for k in range(400)) <= near_dedup.CROWD), None)
+            if depth and prefix(a, depth) == prefix(b, depth):
+                assert (a, b) in found
+            if b == a + 1:
+                assert (a, b) in found
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_forest_over_range_seams(spark, parts):
+    """Regions that end in one range and go on in the next are swept together."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        sig = np.arange(near_dedup.HASHES, dtype=np.uint32)
+        rows = [(k, 100, sig.tobytes()) for k in range(60)]
+        forest = near_dedup.Forest(spark.createDataFrame(rows, "cid long, n long, sig binary").repartition(3), Scratch(spark, "test"), 85)
+        pairs = {(r.a, r.b) for r in forest.candidates().collect()}
+        assert {(k, k + 1) for k in range(59)} <= pairs and forest.large.select("cid").distinct().count() == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_one_of_each_group_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 1), (2, "a b c d e f", 6, 2), (3, None, 7, 3)], "doc_id long, text string, _kept long, component_id long")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", 5, 1), (3, None, 7, 3)]
