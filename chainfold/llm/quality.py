@@ -1,12 +1,20 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches per language and source.
 
-Four integer features of a document (in thousandths) are counted in log-linear bins of relative
-width 1/16, an exact-merge quantile sketch: sketches of partitions, sources and languages add up bin
-by bin in any order, so results do not depend on how tasks are scheduled. Thresholds are fences
-around a group's median, as wide as FENCE times its upper or lower spread and no narrower than
-LEAST. A group of (language, source) with fewer than GROUP_ROWS documents takes its language's
-sketch, and a small language the corpus's. Only counts per bin are shuffled, after a map-side sum, so
-a source with a third of all rows costs no task more than its few hundred bins.
+Four integer features of the documents that pass the base rule (in thousandths) are counted in
+log-linear bins of relative width 1/64, an exact-merge quantile sketch: sketches of partitions, sources
+and languages add up bin by bin in any order, so results do not depend on how tasks are scheduled. A
+group of (language, source) is judged by its own quantiles, drawn towards its language's, and those
+towards the corpus's, the more the smaller it is beside a usual group; the weights are ratios of
+counts, so a table ten times as large of the same documents gives the same verdicts.
+
+Thresholds are read off these quantiles. The length of words has fences round the median, FENCE times
+the upper or lower quartile's distance from it. The shares of symbols, repeated words and copied
+lines are small nearly everywhere, with a tail; where the tail belongs to the group, quantiles
+rise by steps, and nothing is fenced off; where one step goes up JUMP times (over the feature's NOISE),
+a second kind of document begins, and the fence stands in the middle of that step.
+
+Only counts per bin are shuffled, after a map-side sum, so a source with a third of all rows costs no
+task more than its few hundred bins.
 
 A null or empty text has no words and fails the base rule; nulls of language or source form groups
 of their own; repeated rows are judged alike; an empty table gives an empty result.
@@ -22,10 +30,15 @@ from pyspark.sql.window import Window
 from .common import Scratch, add_columns, pack, table, unpack
 
 LEAST_WORDS = 50
-GROUP_ROWS = 200
 FENCE = 8
-#: Feature, least width of its fence above the median and, where small values are bad too, below it.
-LEAST = {"symbols": (200, None), "repeats": (450, None), "copies": (400, None), "length": (4000, 2500)}
+JUMP = 4
+#: Shares in thousandths: what a few chance hits make. Steps of quantiles are measured above it.
+NOISE = {"symbols": 50, "repeats": 100, "copies": 100}
+#: Lines that the share of copied lines is measured over at least, besides the document's own.
+FEW_LINES = 10
+#: Quantiles of a sketch: the quarter, then the median and ever smaller upper tails.
+QUANTILES = ((1, 4), *((2**k - 1, 2**k) for k in range(1, 8)))
+BITS = 6
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOLS = b"#*$%&|<>"
 
@@ -68,55 +81,78 @@ def _measure():
     return lambda texts: list(map(list, zip(*map(text_metrics, texts), strict=True))) if texts else [[]] * 6
 
 
+_FEATURES = {
+    "symbols": "1000 * n_symbols {div} greatest(n_words, 1)",
+    "repeats": "1000 * n_repeat_words {div} greatest(n_words, 1)",
+    "copies": f"1000 * n_dup_lines {{div}} (n_lines + {FEW_LINES})",
+    "length": "1000 * word_chars {div} greatest(n_words, 1)",
+}
+_BASE_FAILED = f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words"
+
+
 def _features() -> dict[str, Column]:
-    return {
-        "symbols": F.expr("1000 * n_symbols div greatest(n_words, 1)"),
-        "repeats": F.expr("1000 * n_repeat_words div greatest(n_words, 1)"),
-        "copies": F.expr("1000 * n_dup_lines div greatest(n_lines, 1)"),
-        "length": F.expr("1000 * word_chars div greatest(n_words, 1)"),
-    }
+    return {k: F.expr(v.format(div="div")) for k, v in _FEATURES.items()}
 
 
 def bin_of(x: str) -> str:
-    """SQL for a log-linear bin of a number from 0: itself below 16, else 16 bins for each power of two."""
+    """SQL for a log-linear bin of a number from 0: itself below 64, else 64 bins for each power of two."""
     e = f"(length(bin({x})) - 1)"
-    return f"case when {x} < 16 then cast({x} as int) else cast({e} * 16 + shiftright({x}, {e} - 4) - 64 as int) end"
+    return f"case when {x} < {1 << BITS} then cast({x} as int) else cast({e} * {1 << BITS} + shiftright({x}, {e} - {BITS}) - {BITS << BITS} as int) end"
 
 
 def least_in_bin(b: str) -> str:
-    return f"case when {b} < 16 then cast({b} as bigint) else shiftleft(cast(16 + {b} % 16 as bigint), {b} div 16 - 1) end"
+    return f"case when {b} < {1 << BITS} then cast({b} as bigint) else shiftleft(cast({1 << BITS} + {b} % {1 << BITS} as bigint), {b} div {1 << BITS} - 1) end"
+
+
+def _weight(n: str, parts: str, whole: str) -> str:
+    """SQL for the thousandths that a part of n rows has of its own, beside half a usual part's."""
+    twice = f"2 * cast({n} as double) * {parts}"
+    return f"cast(floor(1000 * ({twice}) / ({twice} + {whole})) as bigint)"
+
+
+def _fence_sql(kind: str) -> dict[str, tuple[str, str]]:
+    """SQL for the low and high fence of each feature, from quantiles q0 .. q7 of QUANTILES; null is no fence."""
+    fences = {}
+    for name, noise in NOISE.items():
+        steps = [(f"(q{k} + {noise})", f"(q{k + 1} + {noise})") for k in range(1, len(QUANTILES) - 1)]
+        cases = " ".join(f"when {above} >= {JUMP} * {below} then cast(floor(sqrt(cast({below} * {above} as double))) as {kind}) - {noise}" for below, above in steps)
+        fences[name] = (f"cast(null as {kind})", f"case {cases} end")
+    fences["length"] = (f"q1 - {FENCE} * (q1 - q0)", f"q1 + {FENCE} * (q2 - q1)")
+    return fences
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """(lang, source, feature, low, high) for each (lang, source) of rows that have the columns of METRICS."""
+    """(lang, source, feature, low, high) for each (lang, source) of rows that have the columns of METRICS; null is no threshold."""
     made = _features()
-    long = rows.where("n_words > 0").select("lang", "source", F.explode(F.array(*[
+    long = rows.where(f"not ({_BASE_FAILED})").select("lang", "source", F.explode(F.array(*[
         F.struct(F.lit(k).alias("feature"), v.cast("long").alias("x")) for k, v in made.items()])).alias("f")
     ).select("lang", "source", "f.feature", F.expr(bin_of("f.x")).alias("bin"))
     own = long.groupBy("lang", "source", "feature", "bin").agg(F.count("*").alias("n"))
-    levels = [own.select(F.lit(0).alias("level"), "lang", "source", "feature", "bin", "n"),
-              own.groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n")).select(
-                  F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"), "feature", "bin", "n"),
-              own.groupBy("feature", "bin").agg(F.sum("n").alias("n")).select(
-                  F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "feature", "bin", "n")]
-    sketch = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    none = F.lit(None).cast("string")
+    sketch = own.select(F.lit(0).alias("level"), "lang", "source", "feature", "bin", "n").unionByName(
+        own.groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "lang", none.alias("source"), "feature", "bin", "n")
+    ).unionByName(
+        own.groupBy("feature", "bin").agg(F.sum("n").alias("n")).select(F.lit(2).alias("level"), none.alias("lang"), none.alias("source"), "feature", "bin", "n"))
     key = ["level", "lang", "source", "feature"]
     upto = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_ = Window.partitionBy(*key)
-    at = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(all_))
-    value = F.expr(least_in_bin("bin"))
-    quantiles = at.groupBy(*key).agg(F.first("total").alias("total"), *[
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, value)).alias(f"q{q}") for q in (1, 2, 3)])
-    low = F.when(F.col("feature") == "length", F.col("q2") - F.greatest(F.lit(LEAST["length"][1]), FENCE * (F.col("q2") - F.col("q1")))).otherwise(-1)
-    width = F.element_at(F.create_map(*[F.lit(y) for k, v in LEAST.items() for y in (k, v[0])]), F.col("feature"))
-    fences = quantiles.select(*key, "total", low.cast("long").alias("low"),
-                              (F.col("q2") + F.greatest(width, FENCE * (F.col("q3") - F.col("q2")))).cast("long").alias("high"))
-    a = fences.where("level = 0").alias("a")
-    b, c = fences.where("level = 1").alias("b"), fences.where("level = 2").alias("c")
-    joined = (a.join(b, F.expr("a.lang <=> b.lang and a.feature = b.feature")).join(c, F.expr("a.feature = c.feature")))
-    pick = lambda x: F.expr(f"case when a.total >= {GROUP_ROWS} then a.{x} when b.total >= {GROUP_ROWS} then b.{x} else c.{x} end")
-    return joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.feature").alias("feature"),
-                         pick("low").alias("low"), pick("high").alias("high"))
+    at = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*key)))
+    at = at.withColumn("least", F.expr(least_in_bin("bin"))).withColumn("width", F.expr(least_in_bin("(bin + 1)")) - F.col("least"))
+    # the value of a rank lies evenly between the bin's ends
+    value = lambda a, b: F.expr(f"case when upto * {b} >= total * {a} and (upto - n) * {b} < total * {a} then least + (width * (total * {a} - (upto - n) * {b}) - 1) div (n * {b}) end")
+    names = [f"q{k}" for k in range(len(QUANTILES))]
+    found = at.groupBy(*key).agg(F.first("total").alias("total"), *[F.min(value(*q)).alias(k) for q, k in zip(QUANTILES, names, strict=True)])
+    group = found.where("level = 0").select("lang", "source", "feature", F.col("total").alias("n"), *names)
+    per_lang = group.groupBy(F.col("lang").alias("_lang"), F.col("feature").alias("_f")).agg(F.count("*").alias("groups"))
+    corpus = found.where("level = 2").select(F.col("feature").alias("_c"), F.col("total").alias("all"), *[F.col(q).alias(f"c{q}") for q in names])
+    langs = found.where("level = 1").groupBy("feature").agg(F.count("*").alias("langs")).withColumnRenamed("feature", "_n")
+    lang = found.where("level = 1").join(per_lang, F.expr("lang <=> _lang and feature = _f")).join(corpus, F.expr("feature = _c")).join(langs, F.expr("feature = _n"))
+    lang = lang.withColumn("w", F.expr(_weight("total", "langs", "all"))).select(
+        "_lang", "_f", "groups", F.col("total").alias("of"), *[F.expr(f"(w * {q} + (1000 - w) * c{q}) div 1000").alias(f"l{q}") for q in names])
+    drawn = group.join(lang, F.expr("lang <=> _lang and feature = _f")).withColumn("w", F.expr(_weight("n", "groups", "of"))).select(
+        "lang", "source", "feature", *[F.expr(f"(w * {q} + (1000 - w) * l{q}) div 1000").alias(q) for q in names])
+    fences = _fence_sql("bigint")
+    side = lambda i: F.expr("case feature " + " ".join(f"when '{k}' then {v[i]}" for k, v in fences.items()) + " end")
+    return drawn.select("lang", "source", "feature", side(0).alias("low"), side(1).alias("high"))
 
 
 def judge(docs: DataFrame, carry_text: bool = False) -> DataFrame:
@@ -130,9 +166,9 @@ def judge(docs: DataFrame, carry_text: bool = False) -> DataFrame:
         "fences")
     fences = F.broadcast(fences) if fences.count() <= 20_000 else fences
     rows = rows.join(fences, F.expr("lang <=> _lang and source <=> _source"), "left")
-    broken = F.array_compact(F.array(*[
-        F.when((v > F.col("_fence")[k]["high"]) | (v < F.col("_fence")[k]["low"]), F.lit(k)) for k, v in _features().items()]))
-    rows = rows.withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words"))
+    beyond = lambda k, v: F.coalesce(v > F.col("_fence")[k]["high"], F.lit(False)) | F.coalesce(v < F.col("_fence")[k]["low"], F.lit(False))
+    broken = F.array_compact(F.array(*[F.when(beyond(k, v), F.lit(k)) for k, v in _features().items()]))
+    rows = rows.withColumn("base_failed", F.expr(_BASE_FAILED))
     return rows.withColumn("failed", broken).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop(
         "_fence", "_lang", "_source")
 
@@ -149,17 +185,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     word = r"[^\x20\x09-\x0D]"
-    feature = {"symbols": "n_symbols // greatest(n_words, 1)", "repeats": "n_repeat_words // greatest(n_words, 1)",
-               "copies": "n_dup_lines // greatest(n_lines, 1)", "length": "word_chars // greatest(n_words, 1)"}
-    feature = {k: "1000 * " + v for k, v in feature.items()}
-    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, CAST({v} AS BIGINT) AS x FROM metrics WHERE n_words > 0" for k, v in feature.items())
-    power = "(length(bin(x)) - 1)"
-    width = " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in LEAST.items())
-    quarter = ", ".join(f"min(CASE WHEN upto * 4 >= total * {q} THEN value END) AS q{q}" for q in (1, 2, 3))
-    bad = " OR ".join(f"({v}) > (SELECT high FROM pick p WHERE p.lang IS NOT DISTINCT FROM m.lang AND p.source IS NOT DISTINCT FROM m.source AND feature = '{k}')"
-                      f" OR ({v}) < (SELECT low FROM pick p WHERE p.lang IS NOT DISTINCT FROM m.lang AND p.source IS NOT DISTINCT FROM m.source AND feature = '{k}')"
-                      for k, v in feature.items())
-    pick = lambda c: f"CASE WHEN a.total >= {GROUP_ROWS} THEN a.{c} WHEN b.total >= {GROUP_ROWS} THEN b.{c} ELSE c.{c} END"
+    feature = {k: v.format(div="//") for k, v in _FEATURES.items()}
+    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, CAST({v} AS BIGINT) AS x FROM metrics WHERE NOT ({_BASE_FAILED})" for k, v in feature.items())
+    power, side = "(length(bin(x)) - 1)", 1 << BITS
+    least = lambda b: f"CASE WHEN {b} < {side} THEN {b} ELSE ({side} + {b} % {side}) << ({b} // {side} - 1) END"
+    names = [f"q{k}" for k in range(len(QUANTILES))]
+    quantiles = ", ".join(f"min(CASE WHEN upto * {b} >= total * {a} AND (upto - n) * {b} < total * {a} THEN least + (width * (total * {a} - (upto - n) * {b}) - 1) // (n * {b}) END) AS {q}"
+                          for (a, b), q in zip(QUANTILES, names, strict=True))
+    fences = _fence_sql("BIGINT")
+    of = lambda i: "CASE feature " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in fences.items()) + " END"
+    same = "p.lang IS NOT DISTINCT FROM m.lang AND p.source IS NOT DISTINCT FROM m.source"
+    bad = " OR ".join(f"coalesce(({v}) > (SELECT high FROM pick p WHERE {same} AND feature = '{k}'), false)"
+                      f" OR coalesce(({v}) < (SELECT low FROM pick p WHERE {same} AND feature = '{k}'), false)" for k, v in feature.items())
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 split AS (SELECT *, regexp_extract_all(t, '{word}+') AS words,
@@ -171,17 +208,22 @@ metrics AS (SELECT split.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) A
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines FROM split LEFT JOIN covered USING (rid)),
 long AS ({long}),
-binned AS (SELECT lang, source, feature, CASE WHEN x < 16 THEN x ELSE {power} * 16 + (x >> ({power} - 4)) - 64 END AS b FROM long),
+binned AS (SELECT lang, source, feature, CASE WHEN x < {side} THEN x ELSE {power} * {side} + (x >> ({power} - {BITS})) - {BITS << BITS} END AS b FROM long),
 sketch AS (SELECT 0 AS level, lang, source, feature, b, count(*) AS n FROM binned GROUP BY ALL UNION ALL
     SELECT 1, lang, NULL, feature, b, count(*) FROM binned GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, feature, b, count(*) FROM binned GROUP BY ALL),
-ranked AS (SELECT level, lang, source, feature, CASE WHEN b < 16 THEN b ELSE (16 + b % 16) << (b // 16 - 1) END AS value,
+ranked AS (SELECT level, lang, source, feature, n, {least('b')} AS least, ({least('(b + 1)')}) - ({least('b')}) AS width,
     sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, feature) AS total FROM sketch),
-quarters AS (SELECT level, lang, source, feature, max(total) AS total, {quarter} FROM ranked GROUP BY ALL),
-fences AS (SELECT level, lang, source, feature, total, CASE feature WHEN 'length' THEN q2 - greatest({LEAST['length'][1]}, {FENCE} * (q2 - q1)) ELSE -1 END AS low,
-    q2 + greatest(CASE feature {width} END, {FENCE} * (q3 - q2)) AS high FROM quarters),
-pick AS (SELECT a.lang, a.source, a.feature, {pick('low')} AS low, {pick('high')} AS high FROM fences a
-    JOIN fences b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM a.lang AND b.feature = a.feature JOIN fences c ON c.level = 2 AND c.feature = a.feature WHERE a.level = 0),
-judged AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce({bad}, false) AS broken FROM metrics m)
+found AS (SELECT level, lang, source, feature, max(total) AS total, {quantiles} FROM ranked GROUP BY ALL),
+counted AS (SELECT l.*, (SELECT count(*) FROM found g WHERE level = 0 AND g.lang IS NOT DISTINCT FROM l.lang AND g.feature = l.feature) AS groups,
+    (SELECT count(*) FROM found g WHERE level = 1 AND g.feature = l.feature) AS langs FROM found l WHERE l.level = 1),
+weighed AS (SELECT l.lang, l.feature, l.total AS whole, groups, {_weight("l.total", "langs", "c.total")} AS w,
+    {", ".join(f"l.{q} AS {q}, c.{q} AS c{q}" for q in names)} FROM counted l JOIN found c ON c.level = 2 AND c.feature = l.feature),
+langs AS (SELECT lang, feature, whole, groups, {", ".join(f"(w * {q} + (1000 - w) * c{q}) // 1000 AS {q}" for q in names)} FROM weighed),
+own AS (SELECT *, {_weight("n", "groups", "whole")} AS w FROM (SELECT g.lang, g.source, g.feature, g.total AS n, l.whole, l.groups, {", ".join(f"g.{q} AS g{q}, l.{q} AS l{q}" for q in names)}
+    FROM found g JOIN langs l ON l.lang IS NOT DISTINCT FROM g.lang AND l.feature = g.feature WHERE g.level = 0)),
+drawn AS (SELECT lang, source, feature, {", ".join(f"(w * g{q} + (1000 - w) * l{q}) // 1000 AS {q}" for q in names)} FROM own),
+pick AS (SELECT lang, source, feature, {of(0)} AS low, {of(1)} AS high FROM drawn),
+judged AS (SELECT *, {_BASE_FAILED} AS base_failed, ({bad}) AS broken FROM metrics m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT broken AS kept FROM judged"""
 
 

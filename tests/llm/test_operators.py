@@ -205,22 +205,39 @@ def test_op7(spark, odd):
     assert not any(r["kept"] and r["base_failed"] for r in got) and any(r["kept"] for r in got)
 
 
+def _measured(spark, groups):
+    """Rows of METRICS: (lang, source, number of documents, symbols in a hundred words of the k-th)."""
+    made = [(lang, source, 100, length(k), symbols(k), 0, 0, 5) for lang, source, n, symbols, length in groups for k in range(n)]
+    return spark.createDataFrame(made, f"lang string, source string, {quality.METRICS}")
+
+
+HABITS = [("en", "code", 300, lambda k: 30 + k % 6, lambda k: 700 + k % 60), ("en", "news", 3000, lambda k: 40 if k % 20 == 0 else 0, lambda k: 500 + k % 30),
+          ("en", "tiny", 3, lambda k: 40, lambda k: 500), ("de", "news", 2000, lambda k: k % 3, lambda k: 600 + k % 90)]
+
+
 def test_op7_thresholds(spark):
-    """A group's fences come from its own sketch, a small group's from its language."""
-    row = lambda k, lang, source, symbols: (lang, source, 100, 500, symbols, 0, 0, 5)
-    made = [row(k, "en", "code", 300 + k % 50) for k in range(300)] + [row(k, "en", "news", k % 3) for k in range(300)] + [row(k, "en", "tiny", 0) for k in range(5)]
-    fences = quality.thresholds(spark.createDataFrame(made, f"lang string, source string, {quality.METRICS}")).where("feature = 'symbols'").collect()
-    high = {r.source: r.high for r in fences}
-    assert high["code"] > 3300 and high["news"] < 500 and high["news"] < high["tiny"]
+    """Fences come from a group's own quantiles: code may have symbols, news with as many is of another kind; a tiny group follows its language."""
+    fences = {(r.lang, r.source, r.feature): r for r in quality.thresholds(_measured(spark, HABITS)).collect()}
+    high = lambda *k: fences[k].high
+    assert high("en", "code", "symbols") is None and 0 < high("en", "news", "symbols") < 400 and 0 < high("en", "tiny", "symbols") < 400
+    assert high("de", "news", "symbols") is None and high("en", "news", "repeats") is None
+    assert len({(r.low, r.high) for k, r in fences.items() if k[2] == "length"}) == 4
+    assert high("en", "news", "length") < 7000 < high("en", "code", "length")
+
+
+def test_op7_thresholds_do_not_depend_on_the_size(spark):
+    rows = _measured(spark, HABITS)
+    many = rows.crossJoin(spark.range(7)).select(rows.columns)
+    assert sorted(map(tuple, quality.thresholds(many).collect()), key=str) == sorted(map(tuple, quality.thresholds(rows).collect()), key=str)
 
 
 def test_op7_bins(spark):
     rng = np.random.default_rng(1)
-    xs = sorted({0, 1, 15, 16, 17, 31, 32, *map(int, rng.integers(0, 1 << 40, 300))})
+    xs = sorted({0, 1, 15, 16, 63, 64, 65, 127, 128, *map(int, rng.integers(0, 1 << 40, 300))})
     df = spark.createDataFrame([(x,) for x in xs], "x long").selectExpr("x", f"{quality.bin_of('x')} as b")
     found = df.selectExpr("x", "b", f"{quality.least_in_bin('b')} as least", f"{quality.least_in_bin('(b + 1)')} as next").orderBy("x").collect()
     for r in found:
-        assert r.least <= r.x < r.next and (r.next - r.least) * 16 <= max(16, r.least)
+        assert r.least <= r.x < r.next and (r.next - r.least) * 64 <= max(64, r.least)
 
 
 def test_op9(spark, odd):
