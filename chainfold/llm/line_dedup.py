@@ -1,24 +1,30 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 Documents are taken in batches of descending ids. A batch is reduced to one row for each line key
-that counts (hash, documents of the batch that hold it, largest of their ids) and merge-anti-joined
-with the runs so far: keys that no run has are new, and the batch's largest document keeps the line,
-since later batches hold smaller ids only; of keys already held only the count is added. The batch's
-rows then become a run of level 0, sorted by hash. Whenever FAN runs of a level have gathered they
-are merged into one sorted run of the next level, so a table of any size leaves few runs.
-
-A second pass takes from the merged runs the keys found in LEAST_DOCUMENTS documents or more, joins
+that counts (hash, documents of the batch that hold it, largest of their ids), in as many buckets of
+the hash as the runs have, and merge-joined with every run so far: keys that an anti-join would leave
+are new, and the batch's largest document keeps the line, since later batches hold smaller ids only; of
+keys already held only the count is added. The batch's rows then become a run of level 0. Whenever
+FAN runs of a level have gathered they are merged into one run of the next level, so many batches
+leave few runs. Runs are bucketed and sorted by hash, a file for each bucket, so joins with them and
+merges of them read both sides in order, without an exchange or a sort.
+
+A second pass takes from the merged run the keys found in LEAST_DOCUMENTS documents or more, joins
 them to the documents' lines by hash, and rebuilds each text without the lines to drop. A line that a
 third of all documents hold is one row a task after the map-side sum; in the join its matches are
 left to the skew-join splitting of adaptive execution.
 
-Keys are compared by two chained 64-bit hashes. A null or empty text is one empty line. Repeated rows
-are documents of their own; those that share the largest id all keep the line. Null ids come before
-all others. An empty table gives an empty result. Other columns are not read.
+Keys are compared by two chained 64-bit hashes. A null or empty text is one empty line. A document is
+an id: rows that share one count once for a key, and are judged and returned each for itself; rows
+without an id count as one document before all others. An empty table gives an empty result. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,15 +34,18 @@ from .common import LOWER, UPPER, Scratch, ascii_lower, table
 
 LEAST_POINTS = 20
 LEAST_DOCUMENTS = 3
-FAN = 3
+FAN = 2
+#: A table is taken in so many batches, or as many more as hold this many lines each.
 BATCHES = 4
-#: Lists of dropped lines beyond this many rows are joined by shuffle, not broadcast.
+BATCH_LINES = 1 << 31
+#: Lists of dropped lines, and of repeated ids, beyond this many rows are joined by shuffle, not broadcast.
 BROADCAST_ROWS = 20_000
-_STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: ASCII white space.
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    return F.regexp_replace(ascii_lower(line), _STRIP, "")
+    return F.btrim(ascii_lower(line), F.lit(_BLANKS))
 
 
 def _lines(text: str = "text") -> Column:
@@ -60,47 +69,97 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
         F.coalesce((before["h1"] != F.col("x.h1")) | (before["h2"] != F.col("x.h2")), F.lit(True)).alias("first"))
 
 
-class LineRuns:
-    """The runs: sorted tables of (h1, h2, n, keeper) by level; keeper is null where a run only adds to the count."""
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Within it, a bucket of one file counts as sorted."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    def __init__(self, scratch: Scratch, fan: int = FAN):
-        self.scratch, self.fan, self.made = scratch, fan, 0
-        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        self.made += 1
-        name = f"run{level}.{self.made}"
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append((name, self.scratch.save(rows.sortWithinPartitions("h1", "h2"), name)))
+class LineRuns:
+    """The runs: bucketed, sorted tables of (h1, h2, n, keeper) by level; keeper is null where a run only adds to the count."""
 
-    def all_rows(self) -> DataFrame | None:
-        runs = [run for level in self.levels for _, run in level]
-        return reduce(DataFrame.unionAll, runs) if runs else None
+    def __init__(self, scratch: Scratch, fan: int = FAN):
+        self.scratch, self.spark, self.fan = scratch, scratch.spark, fan
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+
+    def run(self, name: str) -> DataFrame:
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame) -> str:
+        """rows lie in buckets of their hash already, by an aggregation or as runs do."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        path = self.scratch.path(name)
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").saveAsTable(name)
+        self.scratch.paths[name] = path
+        return name
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        self.scratch.drop(name)
+
+    def against(self, batch: DataFrame) -> DataFrame:
+        """A batch's rows with no keeper where some run holds the key."""
+        for name in [name for level in self.levels for name in level]:
+            held = self.run(name).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).hint("merge")
+            batch = batch.join(held, F.expr("h1 = _h1 and h2 = _h2"), "left").select(
+                "h1", "h2", "n", F.when(F.col("_h1").isNull(), F.col("keeper")).alias("keeper"))
+        return batch
+
+    def merged(self, one: str, other: str) -> DataFrame:
+        """Two runs as one, in order, bucket by bucket."""
+        a, b = (self.run(name).select(*[F.col(c).alias(f"{c}_{side}") for c in ("h1", "h2", "n", "keeper")]) for name, side in ((one, "a"), (other, "b")))
+        zero = F.lit(0).cast("long")
+        return a.join(b.hint("merge"), F.expr("h1_a = h1_b and h2_a = h2_b"), "full").select(
+            F.coalesce("h1_a", "h1_b").alias("h1"), F.coalesce("h2_a", "h2_b").alias("h2"),
+            (F.coalesce("n_a", zero) + F.coalesce("n_b", zero)).alias("n"), F.greatest("keeper_a", "keeper_b").alias("keeper"))
 
     def add(self, lines: DataFrame) -> None:
-        """Take in a batch of keyed lines whose ids are all below those of the batches before."""
-        batch = lines.where("first").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        if (held := self.all_rows()) is not None:
-            batch = self.scratch.save(batch, f"batch{self.made}")
-            keys = held.select("h1", "h2").hint("merge")
-            fresh = batch.join(keys, ["h1", "h2"], "left_anti")
-            again = batch.join(keys, ["h1", "h2"], "left_semi").withColumn("keeper", F.lit(None).cast("long"))
-            batch = fresh.unionAll(again)
-        self._write(batch, 0)
-        self._compact()
-
-    def _compact(self) -> None:
+        """Take in a batch of (h1, h2, doc_id), a row for each document that holds a key; all ids are below those of the batches before."""
+        batch = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+        with _sorted_scans(self.spark):
+            self.levels[0].append(self._write(self.against(batch)))
         for level in range(len(self.levels)):
-            if len(runs := self.levels[level]) >= self.fan:
-                self._write(merged(reduce(DataFrame.unionAll, [run for _, run in runs])), level + 1)
-                for name, _ in runs:
-                    self.scratch.drop(name)
+            if len(self.levels[level]) >= self.fan:
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(self._merge(self.levels[level]))
                 self.levels[level] = []
 
+    def _merge(self, names: list[str]) -> str:
+        """One run of several, two at a time."""
+        def two(one: str, other: str) -> str:
+            with _sorted_scans(self.spark):
+                made = self._write(self.merged(one, other))
+            self.drop(one)
+            self.drop(other)
+            return made
+
+        return reduce(two, names)
+
+    def all_rows(self) -> DataFrame:
+        """One run of all runs, smaller levels first."""
+        names = [name for level in self.levels for name in level]
+        self.levels = [[] for _ in self.levels]
+        self.levels[-1] = [self._merge(names)]
+        return self.run(self.levels[-1][0])
+
 
-def merged(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+def holders(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h1, h2, doc_id), a row for each document that holds a key: rows that share an id are one."""
+    once = lines.where("first").select("h1", "h2", "doc_id")
+    repeated = scratch.save(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "repeated")
+    if not (n := repeated.count()):
+        return once
+    repeated = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    same = F.expr("doc_id <=> _id")
+    return once.join(repeated, same, "left_anti").unionAll(once.join(repeated, same, "left_semi").distinct())
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -108,14 +167,17 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     lines = scratch.save(keyed_lines(docs), "lines")
-    ends = lines.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    held = holders(lines, docs, scratch)
+    batches = max(batches, -(-lines.count() // BATCH_LINES))
+    cuts = lines.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)]).alias("cuts")).first().cuts or []
     runs = LineRuns(scratch)
-    low, high = ends.low or 0, ends.high or 0
-    cuts = [low + (high - low + 1) * k // batches for k in range(batches + 1)]
-    for k in reversed(range(batches)):
-        part = (F.col("doc_id") >= cuts[k]) & (F.col("doc_id") < cuts[k + 1])
-        runs.add(lines.where(part | F.col("doc_id").isNull() if k == 0 else part))
-    many = scratch.save(merged(runs.all_rows()).where(F.col("n") >= LEAST_DOCUMENTS).select("h1", "h2", "keeper"), "many")
+    upto = [*sorted(set(cuts)), None]
+    for k in reversed(range(len(upto))):
+        part = F.lit(True) if upto[k] is None else F.col("doc_id") <= upto[k]
+        part = part & (F.col("doc_id") > upto[k - 1]) if k else F.col("doc_id").isNull() | part
+        runs.add(held.where(part))
+    many = scratch.save(runs.all_rows().where(F.col("n") >= LEAST_DOCUMENTS).select("h1", "h2", "keeper"), "many")
+    runs.drop(runs.levels[-1][0])
     drops = lines.join(many, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "whole").agg(
         F.collect_set("at").alias("drop"))
     drops = scratch.save(drops, "drops").withColumnsRenamed({"doc_id": "_id", "whole": "_whole"})
@@ -134,12 +196,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line
-    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-keyed AS (SELECT *, regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '{_STRIP}', '', 'g') AS key FROM lines),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT rid, doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM docs),
+keyed AS (SELECT *, trim(translate(line, '{UPPER}', '{LOWER}'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM lines),
 many AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= {LEAST_POINTS}
-    GROUP BY key HAVING count(DISTINCT doc_id) >= {LEAST_DOCUMENTS}),
-judged AS (SELECT doc_id, pos, line, many.key IS NOT NULL AND doc_id <> keeper AS dropped FROM keyed LEFT JOIN many ON many.key = keyed.key)
-SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_dropped,
+    GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= {LEAST_DOCUMENTS}),
+judged AS (SELECT rid, doc_id, pos, line, many.key IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS dropped FROM keyed LEFT JOIN many ON many.key = keyed.key)
+SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
-FROM judged GROUP BY doc_id"""
+FROM judged GROUP BY rid"""

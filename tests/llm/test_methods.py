@@ -167,9 +167,24 @@ def test_line_runs_are_levelled(spark):
     runs = line_dedup.LineRuns(scratch, fan=2)
     for k in reversed(range(5)):
         docs = spark.createDataFrame([(10 * k + j, "a line that is held by everyone\n" + f"a line that is held by {k % 2} only") for j in range(3)], "doc_id long, text string")
-        runs.add(line_dedup.keyed_lines(docs))
+        runs.add(line_dedup.holders(line_dedup.keyed_lines(docs), docs, scratch))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert sorted((r.n, r.keeper) for r in line_dedup.merged(runs.all_rows()).collect()) == [(6, 32), (9, 42), (15, 42)]
+    assert sorted((r.n, r.keeper) for r in runs.all_rows().collect()) == [(6, 32), (9, 42), (15, 42)]
+    assert sum(map(len, runs.levels)) == 1
+
+
+def test_line_runs_meet_without_exchange_or_sort(spark):
+    scratch = Scratch(spark, "test")
+    runs = line_dedup.LineRuns(scratch, fan=9)
+    for k in (2, 1):
+        docs = spark.createDataFrame([(k, f"a line that only {k} and its copies hold\nand a second line for both")], "doc_id long, text string")
+        runs.add(line_dedup.holders(line_dedup.keyed_lines(docs), docs, scratch))
+    one, other = runs.levels[0]
+    with line_dedup._sorted_scans(spark):
+        merge = runs.merged(one, other)._jdf.queryExecution().executedPlan().toString()
+        batch = runs.against(runs.run(one))._jdf.queryExecution().executedPlan().toString()
+    for plan in (merge, batch):
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
 
 
 @settings(max_examples=60, deadline=None)
