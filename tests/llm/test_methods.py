@@ -14,7 +14,7 @@ import corpus_pipeline
 from chainfold.llm import line_dedup, mixing, near_dedup, repair, sharding, tokens
 from chainfold.llm.common import Scratch, shared_folder
 from chainfold.llm.components import components
-from chainfold.llm.decontamination import Tables, drop_contaminated, words_of
+from chainfold.llm.decontamination import blocks, drop_contaminated, joined, words_of
 from tests.llm import tables
 from tests.llm.test_operators import encoded
 
@@ -70,8 +70,9 @@ def test_token_files(spark, tmp_path):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcde"), max_size=12), max_size=5), st.lists(st.sampled_from("abcdef"), max_size=80), st.integers(1, 4))
 def test_wu_manber_against_every_place(items, text, window):
-    t = Tables([(str(k), " ".join(x)) for k, x in enumerate(items)], window)
-    n, spans, found = t.search(" ".join(text), None, None)
+    (t,) = blocks(((str(k), " ".join(x)) for k, x in enumerate(items)), window)
+    n, spans, found = t.search(" ".join(text))
+    spans, found = joined(spans), sorted(found)
     hit, owners = set(), set()
     for k, x in enumerate(items):
         m = min(window, len(x))
@@ -84,6 +85,17 @@ def test_wu_manber_against_every_place(items, text, window):
     assert all(a["e"] < b["s"] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_blocks_are_bounded():
+    """No block holds more windows than it may, an item of any length is cut, and all of its windows are in some block."""
+    text = " ".join(f"w{k}" for k in range(100))
+    made = list(blocks(iter([("a", text), ("b", "short one"), ("c", text)]), 8, 40))
+    assert [t.size for t in made] == [40, 40, 40, 40, 27]
+    hit = [joined(t.search(text)[1]) for t in made]
+    assert {k for h in hit for s in h for k in range(s["s"], s["e"])} == set(range(100))
+    assert set().union(*(t.search(text + " short one")[2] for t in made)) == {"a", "b", "c"}
+    assert [t.size for t in blocks(iter([]))] == [0]
+
+
 def test_words():
     assert words_of("It's É-tude 42\x7fz\u00a0y") == [b"it", b"s", "É".encode(), b"tude", b"42", "z\u00a0y".encode()] and words_of(None) == []
 

@@ -85,12 +85,12 @@ def windows(spark, path):
     return found
 
 
-@pytest.mark.parametrize("block_bytes", [None, 200])
-def test_op2(spark, odd, block_bytes, monkeypatch):
+@pytest.mark.parametrize("block_windows", [None, 7])
+def test_op2(spark, odd, block_windows, monkeypatch):
     from chainfold.llm import decontamination
 
-    if block_bytes:
-        monkeypatch.setattr(decontamination.find_benchmark, "__defaults__", (8, block_bytes))
+    if block_windows:
+        monkeypatch.setattr(decontamination.find_benchmark, "__defaults__", (8, block_windows))
     found = windows(spark, odd)
     lengths = {len(x) for x in found}
     expect = []
