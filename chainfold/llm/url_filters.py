@@ -10,7 +10,7 @@ sums over the seeds that reach it: they and LEAST mean the same in a corpus of a
 DAMPING hundredths of what arrived in the round before, dealt out by link weights to every edge; a
 host's mass is all that arrived there, its PageRank but for a constant factor. What arrived is moved
 on while it is STILL or more at a host, so the walks end by themselves: a round halves what is under
-way, and no host keeps back more than a hundredth of LEAST of a round's arrivals.
+way, and no host keeps back more than a tenth of LEAST of a round's arrivals.
 
 Edges are absolute links of the pages, counted for each pair of hosts, and the tie of a host to its
 parent host (both ways, weight 1), so that the hosts of a site share what is known of it. Masses are
@@ -41,9 +41,9 @@ BLOCKED_NAMES = ("spam-farm", "casino-win", "cheap-pills")
 #: The mass of a seed host; a long holds that of 9 * 10**9 hosts.
 UNIT = 10**9
 DAMPING = 50
-#: Distrust that blocks, and mass that is moved on: hundredths and ten-thousandths of a seed host's.
+#: Distrust that blocks, and mass that is moved on: hundredths and thousandths of a seed host's.
 LEAST = UNIT // 100
-STILL = UNIT // 10_000
+STILL = UNIT // 1_000
 #: Rounds between two written tables.
 WRITE_EVERY = 4
 #: A host is a distrust seed if rules block so many hundredths of its pages.
