@@ -109,7 +109,7 @@ def test_hilbert_is_a_curve(spark):
 
 def test_hilbert_prunes(spark, tmp_path):
     rng = random.Random(6)
-    docs = [(k, "x" * rng.choice([5, 50, 5000]), rng.choice(["en", "de", "fr"]), f"s{rng.randint(0, 7)}") for k in range(2000)]
+    docs = [(k, f"{k:04}" + "x" * rng.choice([5, 50, 5000]), rng.choice(["en", "de", "fr"]), f"s{rng.randint(0, 7)}") for k in range(2000)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
     cut = sharding.hilbert_shards(df, 40).groupBy("shard").agg(F.count_distinct("source").alias("s"), F.count_distinct("lang").alias("l")).collect()
     assert sum(r.s for r in cut) / 40 < 5 and sum(r.l for r in cut) / 40 < 2.5

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -174,6 +175,35 @@ def test_op5(spark, odd):
     assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
 
 
+def _spread(pairs):
+    """(size, number of shards) of each group of equal texts."""
+    shards = defaultdict(list)
+    for text, shard in pairs:
+        shards[text].append(shard)
+    return [(len(s), len(set(s))) for s in shards.values()]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op5_keeps_equal_texts_together(spark, seed):
+    """Groups that a shard can hold lie in one, whatever their ids and sources; counts, slots and reruns stay as they were."""
+    from chainfold.llm import sharding
+
+    rng = random.Random(seed)
+    texts_ = [f"group {g}" for g in range(60) for _ in range(rng.choice([2, 3, 8, 20]))] + [f"large"] * 70 + [f"single {k}" for k in range(900)] + [None, ""]  # noqa: F541
+    rng.shuffle(texts_)
+    docs = [(10**9 if k == 5 else k, t, rng.choice(["en", "de"]), f"s{rng.randint(0, 9)}") for k, t in enumerate(texts_)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(5)
+    for n in (1, 7, 40):
+        got = sharding.hilbert_shards(df, n, keep=("text",)).collect()
+        shards = defaultdict(list)
+        for r in got:
+            shards[r.shard].append(r.slot)
+        assert len(got) == len(docs) and all(sorted(s) == list(range(len(s))) for s in shards.values())
+        assert len(shards) == n and max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+        held = len(docs) // n
+        assert all(k == 1 if size <= held else k <= size // held + 2 for size, k in _spread((r.text or "", r.shard) for r in got))
+
+
 def shingles(t):
     w = WHITE.findall(t.translate(LOWER))
     k = min(5, len(w))
