@@ -7,8 +7,9 @@ shard spans a narrow range of all four and a reader that filters on any of them
 
 Equal texts are a group and share a cell, that of their smallest id, so they lie in a row. Where a cut
 goes through a group that a shard can hold, the smaller part changes places with single texts of the
-shard that holds the rest, and counts stay as they are. A group stays apart only if it is larger than a
-shard, or if the shard has too few single texts to give.
+shard that holds the rest, or all of it with single texts of the nearest shard that has as many; counts
+stay as they are. A group stays apart only if it is larger than a shard, or than what any shard has of
+single texts.
 
 Nulls are a value of their own (last for strings, 0 for numbers); a null text counts no bytes and
 has checksum 0, and is equal to an empty one; repeated rows are separate rows; an empty table gives an
@@ -118,6 +119,11 @@ def _swaps(ranked: DataFrame, total: int, n_shards: int, scratch: Scratch) -> Da
                 moves.append((start, n, free[1] - n + 1))
                 free[1] -= n
             break
+        else:  # neither shard has room: the nearest that has takes all of it
+            size, near = high - low + 1, shard(low)
+            if (to := next((t for t in sorted(room, key=lambda t: abs(t - near)) if room[t][1] - room[t][0] + 1 >= size), None)) is not None:
+                moves.append((low, size, room[to][0]))
+                room[to][0] += size
     if not moves:
         return None
     table_ = F.broadcast(spark.createDataFrame(moves, "_start long, _n long, _from long"))
