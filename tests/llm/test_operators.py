@@ -76,6 +76,21 @@ def test_op1_base(spark, odd):
     assert any("all-rights-reserved" in r["labels"] for r in got) and any(r["labels"] == "mit" and not r["base_labels"] for r in got)
 
 
+def test_op1_full_texts(spark):
+    """Long templates score by what stands in place; a key phrase far from the rare word has to be there; long texts of licence words are cheap."""
+    from chainfold.llm import licenses
+
+    mit, isc = (next(t for label, t, _ in licenses.MORE if label == x) for x in ("mit", "isc"))
+    changed = mit.replace("sublicense", "lend")
+    broken = isc.replace("fee is hereby granted", "fee is not granted")
+    docs = [(0, f"x {mit}. y"), (1, changed), (2, isc.title()), (3, broken), (4, "license software copyright notice " * 100_000), (5, mit[mit.index("of charge"):])]
+    docs += [(k, "nothing here") for k in range(10, 200)]
+    found = {r.doc_id: r.found for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(f.start, f.label, f.score) for f in found[0]] == [(1, "mit", 1.0)]
+    assert [(f.label, 0.8 < f.score < 1) for f in found[1]] == [("mit", True)]
+    assert [f.label for f in found[2]] == ["isc"] and not found[3] and not found[4] and not found[5]
+
+
 def windows(spark, path):
     found = defaultdict(set)
     for r in spark.read.parquet(f"{path}/benchmark.parquet").collect():
