@@ -2,8 +2,10 @@
 
 A round counts the adjacent pairs of the sequence (never across the end of a document), gives the
 most frequent ones a nonterminal each, and replaces their occurrences from left to right; rounds
-repeat on the shortened sequence until no pair is frequent. Pairs of one round are replaced together,
-so a shard takes a few passes of sorting instead of one for each rule. Every rule stores the length
+repeat on the shortened sequence until no pair is frequent, or a round shortens it by less than one
+part in GAIN. So repeats of any length fold up, by halves, and text without them takes few rounds.
+Pairs of one round are replaced together, so a shard takes a few passes of sorting instead of one for
+each rule. Every rule stores the length
 of its expansion, so the token at any place of a document is found by a running sum over the
 document's part of the sequence and a descent into one rule.
 """
@@ -14,32 +16,34 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Nonterminals are numbered from here, or from the number of ids where there are more.
 FIRST_RULE = 1 << 16
-ROUNDS = 4
+GAIN = 4096
 RULES_A_ROUND = 4096
 LEAST_COUNT = 8
 
 
 @dataclass
 class Grammar:
-    """symbols: the compressed sequence; ends: where each document ends in it; rule k is FIRST_RULE + k."""
+    """symbols: the compressed sequence; ends: where each document ends in it; rule k is first_rule + k."""
 
     symbols: np.ndarray
     ends: np.ndarray
     left: np.ndarray
     right: np.ndarray
     lengths: np.ndarray
+    first_rule: int = FIRST_RULE
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of a stretch of the sequence; each pass unfolds all nonterminals that are left."""
         out = symbols
-        while len(at := np.flatnonzero(out >= FIRST_RULE)):
+        while len(at := np.flatnonzero(out >= self.first_rule)):
             width = np.ones(len(out), np.int64)
             width[at] = 2
             start = np.cumsum(width) - width
             made = np.empty(int(start[-1] + width[-1]), out.dtype)
             made[start] = out
-            rule = out[at] - FIRST_RULE
+            rule = out[at] - self.first_rule
             made[start[at]] = self.left[rule]
             made[start[at] + 1] = self.right[rule]
             out = made
@@ -47,8 +51,8 @@ class Grammar:
 
     def widths(self, symbols: np.ndarray) -> np.ndarray:
         w = np.ones(len(symbols), np.int64)
-        at = np.flatnonzero(symbols >= FIRST_RULE)
-        w[at] = self.lengths[symbols[at] - FIRST_RULE]
+        at = np.flatnonzero(symbols >= self.first_rule)
+        w[at] = self.lengths[symbols[at] - self.first_rule]
         return w
 
     def document(self, k: int) -> np.ndarray:
@@ -61,10 +65,10 @@ class Grammar:
         at = int(np.searchsorted(upto, i, side="right"))
         i -= int(upto[at - 1]) if at else 0
         symbol = int(part[at])
-        while symbol >= FIRST_RULE:
-            first = int(self.left[symbol - FIRST_RULE])
-            size = int(self.lengths[first - FIRST_RULE]) if first >= FIRST_RULE else 1
-            symbol, i = (first, i) if i < size else (int(self.right[symbol - FIRST_RULE]), i - size)
+        while symbol >= self.first_rule:
+            first = int(self.left[symbol - self.first_rule])
+            size = int(self.lengths[first - self.first_rule]) if first >= self.first_rule else 1
+            symbol, i = (first, i) if i < size else (int(self.right[symbol - self.first_rule]), i - size)
         return symbol
 
 
@@ -82,14 +86,14 @@ def _bar(counts: np.ndarray, least: int, wanted: int) -> int:
     return least if len(many) <= wanted else max(least, int(np.partition(many, len(many) - wanted)[len(many) - wanted]))
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT) -> Grammar:
-    """ids below FIRST_RULE; ends: the running sum of the documents' lengths, none of which is 0."""
+def compress(ids: np.ndarray, ends: np.ndarray, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_COUNT, first_rule: int = FIRST_RULE, gain: int = GAIN) -> Grammar:
+    """ids below first_rule; ends: the running sum of the documents' lengths, none of which is 0."""
+    if len(ids) and int(ids.max()) >= first_rule:
+        raise ValueError(f"id {int(ids.max())} is not below the first rule, {first_rule}")
     seq = ids.astype(np.uint32)
     ends = ends.astype(np.int64)
     lefts, rights, lengths = [], [], np.empty(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         slot = _slots(seq[:-1], seq[1:])
         slot[ends[:-1] - 1] = 1 << SLOT_BITS  # pairs across documents share a slot that is not counted
         counts = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)
@@ -118,16 +122,18 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, rules_a_ro
         hit, rule = hit[alone], rule[alone]
         used = np.flatnonzero(np.bincount(rule, minlength=len(chosen)))
         number = np.empty(len(chosen), np.uint32)
-        number[used] = np.arange(len(used), dtype=np.uint32) + np.uint32(FIRST_RULE + len(lengths))
+        number[used] = np.arange(len(used), dtype=np.uint32) + np.uint32(first_rule + len(lengths))
         left, right = left[used], right[used]
-        size = np.concatenate([np.ones(FIRST_RULE, np.int64), lengths])
+        size = np.concatenate([np.ones(first_rule, np.int64), lengths])
         lefts.append(left)
         rights.append(right)
         lengths = np.concatenate([lengths, size[left] + size[right]])
         seq[hit] = number[rule]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq = seq[keep]
+        before, seq = len(seq), seq[keep]
         ends = ends - np.searchsorted(hit, ends - 1)
+        if len(hit) * gain < before:
+            break
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.uint32)
-    return Grammar(seq, ends, join(lefts), join(rights), lengths)
+    return Grammar(seq, ends, join(lefts), join(rights), lengths, first_rule)

@@ -9,8 +9,9 @@ attempt leaves neither gaps nor copies, and any file system that Spark writes to
     n_tokens         ids in the shard, end ids included
     symbols          little-endian unsigned 32-bit symbols of the compressed sequence
     ends             where each document ends in it (little-endian unsigned 32-bit)
-    rules            pairs (left, right) of the nonterminals from 65536 on
+    rules            pairs (left, right) of the nonterminals, numbered from first_rule on
     lengths          the length of each nonterminal's expansion
+    first_rule       65536, or the size of a larger vocabulary
 
 A word is encoded once a worker and then looked up: the tokenizer's pre-tokenizer never joins what
 white space parts, so the ids of a text are those of its space-separated pieces. The store of pieces
@@ -37,14 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, bound_batches, table
-from .repair import Grammar, compress
+from .repair import FIRST_RULE, Grammar, compress
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 PIECES = 1_000_000
 #: Texts that reach a worker at once: more of them repeat more words, and are numbered in less time.
 TEXT_BYTES = 16 << 20
-_SCHEMA = ("part int, shard int, doc_ids array<long>, n_tokens long, symbols binary, ends binary, rules binary, lengths binary")
+_SCHEMA = ("part int, shard int, doc_ids array<long>, n_tokens long, symbols binary, ends binary, rules binary, lengths binary, first_rule int")
 
 
 #: Letters whose lower case is one such letter, and which are composed as they are.
@@ -168,15 +169,16 @@ def _write(held, shard_tokens: int):
         part, shard = TaskContext.get().partitionId(), 0
         held_ids, held_sizes, held_keys, total = [], [], [], 0
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64())]
-                           + [(n, pa.binary()) for n in ("symbols", "ends", "rules", "lengths")])
+                           + [(n, pa.binary()) for n in ("symbols", "ends", "rules", "lengths")] + [("first_rule", pa.int32())])
+        first_rule = max(FIRST_RULE, len(encoder.closes))
 
         def flush():
             nonlocal held_ids, held_sizes, held_keys, total, shard
             ends = np.cumsum(np.concatenate(held_sizes))
-            g = compress(np.concatenate(held_ids), ends)
+            g = compress(np.concatenate(held_ids), ends, first_rule=first_rule)
             row = {"part": part, "shard": shard, "doc_ids": held_keys, "n_tokens": int(ends[-1]),
                    "symbols": g.symbols.astype("<u4").tobytes(), "ends": g.ends.astype("<u4").tobytes(),
-                   "rules": np.stack([g.left, g.right], 1).astype("<u4").tobytes(), "lengths": g.lengths.astype("<u4").tobytes()}
+                   "rules": np.stack([g.left, g.right], 1).astype("<u4").tobytes(), "lengths": g.lengths.astype("<u4").tobytes(), "first_rule": first_rule}
             held_ids, held_sizes, held_keys, total, shard = [], [], [], 0, shard + 1
             return pa.RecordBatch.from_pylist([row], schema)
 
@@ -213,10 +215,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, shard_tokens: int =
     rows.mapInArrow(_write(held, shard_tokens), _SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def load(symbols: bytes, ends: bytes, rules: bytes, lengths: bytes) -> Grammar:
+def load(symbols: bytes, ends: bytes, rules: bytes, lengths: bytes, first_rule: int = FIRST_RULE) -> Grammar:
     pairs = np.frombuffer(rules, "<u4").reshape(-1, 2)
     return Grammar(np.frombuffer(symbols, "<u4"), np.frombuffer(ends, "<u4").astype(np.int64), pairs[:, 0], pairs[:, 1],
-                   np.frombuffer(lengths, "<u4").astype(np.int64))
+                   np.frombuffer(lengths, "<u4").astype(np.int64), first_rule)
 
 
 def _read(with_ids: bool):
@@ -225,7 +227,7 @@ def _read(with_ids: bool):
             columns = {n: batch.column(n) for n in batch.schema.names}
             for k in range(batch.num_rows):  # one shard at a time in memory
                 get = lambda n: columns[n][k].as_py()  # noqa: B023, E731
-                g = load(get("symbols"), get("ends"), get("rules"), get("lengths"))
+                g = load(get("symbols"), get("ends"), get("rules"), get("lengths"), get("first_rule"))
                 raw = g.expand(g.symbols).astype("<u4").tobytes()
                 if len(raw) != 4 * get("n_tokens"):
                     raise ValueError(f"shard {get('part')}.{get('shard')}: {len(raw) // 4} ids, {get('n_tokens')} expected")

@@ -20,10 +20,10 @@ from tests.llm.test_operators import encoded
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=60), min_size=1, max_size=12), st.integers(1, 8), st.integers(2, 3))
-def test_repair_round_trip(docs, rounds, least):
+@given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=60), min_size=1, max_size=12), st.integers(1, 200), st.integers(2, 3))
+def test_repair_round_trip(docs, gain, least):
     ids, ends = np.array([x for d in docs for x in d], np.uint32), np.cumsum([len(d) for d in docs])
-    g = repair.compress(ids, ends, rounds=rounds, rules_a_round=5, least=least)
+    g = repair.compress(ids, ends, rules_a_round=5, least=least, first_rule=7, gain=gain)
     assert g.expand(g.symbols).tolist() == ids.tolist()
     for k, d in enumerate(docs):
         assert g.document(k).tolist() == d and [g.token(k, i) for i in range(len(d))] == d
@@ -34,7 +34,13 @@ def test_repair_compresses():
     rng = np.random.default_rng(1)
     ids = np.tile(rng.integers(0, 50_000, 400), 50).astype(np.uint32)
     g = repair.compress(ids, np.array([len(ids)]))
-    assert len(g.symbols) < len(ids) / 8 and (g.expand(g.symbols) == ids).all()
+    # 50 copies of 400 ids: a few symbols for each copy
+    assert len(g.symbols) < 200 and (g.expand(g.symbols) == ids).all()
+    large = (ids + 100_000).astype(np.uint32)
+    g = repair.compress(large, np.array([len(ids)]), first_rule=200_000)
+    assert (g.expand(g.symbols) == large).all() and g.token(0, 777) == large[777]
+    with pytest.raises(ValueError, match="not below the first rule"):
+        repair.compress(large, np.array([len(ids)]))
 
 
 def test_encoder_against_the_library():
@@ -63,7 +69,7 @@ def test_token_files(spark, tmp_path):
     shards = spark.read.parquet(f"{tmp_path}/t").collect()
     assert len(shards) > 10
     s = shards[3]
-    g = tokens.load(*(bytes(s[n]) for n in ("symbols", "ends", "rules", "lengths")))
+    g = tokens.load(*(bytes(s[n]) for n in ("symbols", "ends", "rules", "lengths")), s.first_rule)
     assert g.document(0).tolist() == got[s.doc_ids[0]] and g.token(0, 0) == got[s.doc_ids[0]][0]
 
 
