@@ -4,18 +4,19 @@ Each source has a target in words; a document's expected copies are target / wor
 Whole copies are taken as they are; the fractions are rounded so that a source's words are kept:
 two documents with fractional copies meet, words move at random from one to the other until one is
 integral, and what is left meets the next. The expectation of every document is unchanged, and the
-words of a source differ from its target by less than one document. The root of a source's tree then
-flips a few of the documents that it holds, largest first, while that brings the words nearer to the
-target; this touches no more than one node's documents.
+words of a source differ from its target by less than one document. Each node also hands CARRY of its
+settled documents, of all sizes, up to the next; the root of a source's tree flips a few of those that
+it holds, largest first, while that brings the words nearer to the target. So a source ends within
+about its smallest documents of the target, and expectations are exact for all but one node's documents.
 
 The pairing is a reduction tree. Leaves are buckets of about LEAF documents by a hash of the id, so
-a source of any size is spread over many tasks; each leaf leaves one document at most, and LEAF
-leaves meet in a node of the next level. The randomness is a hash of the ids that meet, so reruns
-agree.
+a source of any size is spread over many tasks; each leaf leaves one document at most, and those it
+carries, and LEAF leaves meet in a node of the next level. The randomness is a hash of the ids that
+meet, so reruns agree.
 
 Nulls: a null source is a source of its own, after all others; a null text has no words. Documents
-without words, and sources without words, take nothing. Repeated rows are separate documents. An
-empty table gives an empty result. Other columns are not read.
+without words, and sources without words, take nothing. Repeated rows are separate documents; those
+without an id are told apart by their place in the table. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .common import WHITE_WORD, Scratch, table
 WEIGHTS = (5, 2, 1)
 CAP = 3
 LEAF = 256
+CARRY = 32
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -108,17 +110,27 @@ def settle(p: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return p
 
 
-_NODE = "_key string, _node long, _rid long, _hash long, size long, _p double"
+_NODE = "_key string, _node long, _rid long, _hash long, size long, _p double, _docs long, _up boolean"
 
 
-def _node_rounder(level: int, last: bool):
+def carried(p: np.ndarray, size: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Which rows go on to the next level: those still fractional, and n others evenly from the smallest to the largest."""
+    up = (p > 0) & (p < 1)
+    done = np.flatnonzero(~up)
+    done = done[np.lexsort((key[done], size[done]))]
+    up[done[np.linspace(0, len(done) - 1, n).astype(int)] if len(done) > n else done] = True
+    return up
+
+
+def _node_rounder(level: int, held: int, carry: int):
+    """held: how many documents a node of the level stands for; a source of no more has its root here."""
     def round_node(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_hash", "_rid"], kind="stable", ignore_index=True)
-        key = rows["_hash"].to_numpy(np.int64).view(np.uint64)
-        p = pivot(rows["_p"].to_numpy(float), rows["size"].to_numpy(float), key, level)
-        if last:
-            p = settle(p, rows["size"].to_numpy(float), key)
-        return rows.assign(_p=p)
+        key, size = rows["_hash"].to_numpy(np.int64).view(np.uint64), rows["size"].to_numpy(float)
+        p = pivot(rows["_p"].to_numpy(float), size, key, level)
+        if rows["_docs"].iloc[0] <= held:
+            return rows.assign(_p=settle(p, size, key), _up=False)
+        return rows.assign(_p=p, _up=carried(p, size, key, carry))
 
     return round_node
 
@@ -137,17 +149,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, k
     rows = rows.withColumn("_whole", F.floor(rate).cast("int")).withColumn("_p", rate - F.floor(rate))
     loose = rows.where("size > 0 and _p > 0").select(
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"),
-        F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / LEAF)).alias("_node"),
-        "_rid", F.xxhash64("doc_id", "size").alias("_hash"), "size", "_p",
+        F.pmod(F.xxhash64(F.coalesce("doc_id", "_rid")), F.ceil(F.col("n_docs") / LEAF)).alias("_node"),
+        "_rid", F.xxhash64(F.coalesce("doc_id", "_rid"), "size").alias("_hash"), "size", "_p", F.col("n_docs").alias("_docs"), F.lit(True).alias("_up"),
     )
     nodes, level, settled = max(1, -(-(few.docs or 1) // LEAF)), 0, []
     while True:
         done = nodes <= 1
-        out = scratch.save(loose.groupBy("_key", "_node").applyInPandas(_node_rounder(level, done), _NODE), f"level{level}")
-        settled.append(out.where("_p = 0 or _p = 1").select("_rid", F.col("_p").cast("int").alias("_extra")))
+        out = scratch.save(loose.groupBy("_key", "_node").applyInPandas(_node_rounder(level, LEAF ** (level + 1), CARRY), _NODE), f"level{level}")
+        settled.append(out.where("not _up").select("_rid", F.col("_p").cast("int").alias("_extra")))
         if done:
             break
-        loose = out.where("_p > 0 and _p < 1").withColumn("_node", F.expr(f"_node div {LEAF}"))
+        loose = out.where("_up").withColumn("_node", F.expr(f"_node div {LEAF}"))
         nodes, level = -(-nodes // LEAF), level + 1
     extra = settled[0]
     for more in settled[1:]:
