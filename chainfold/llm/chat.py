@@ -112,19 +112,20 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["s"].cast("string"), m["e"].cast("string"))), ",").alias("mask"))
 
 
-# the tables of the driver have no crowded parts, so the SQL leaves `sub` at 0 and fails the comparison where one appears
 ORACLE = f"""
 WITH rows AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
     replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 placed AS (SELECT *, coalesce(CAST(floor(turn / {TURNS}) AS BIGINT), -1) AS block FROM rows),
-speakers AS (SELECT DISTINCT conv_id, block, role AS perspective FROM placed WHERE role <> 'system'
-    UNION ALL SELECT conv_id, block, NULL FROM placed GROUP BY conv_id, block HAVING bool_and(role = 'system')),
-pieces AS (SELECT p.conv_id, p.block, perspective, turn, role, text, coalesce(role = perspective, false) AS mine,
+cut AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY conv_id, block) > {CROWD}
+    THEN CAST((row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, role, text) - 1) // {CROWD // 2} AS INTEGER) ELSE 0 END AS sub FROM placed),
+speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM placed WHERE role <> 'system'
+    UNION ALL SELECT conv_id, NULL FROM placed GROUP BY conv_id HAVING bool_and(role = 'system')),
+pieces AS (SELECT p.conv_id, p.block, p.sub, perspective, turn, role, text, coalesce(role = perspective, false) AS mine,
     CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head,
-    text || '{END}' AS body FROM placed p JOIN speakers s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.block = p.block),
-located AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, block, perspective
+    text || '{END}' AS body FROM cut p JOIN speakers s ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+located AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, block, sub, perspective
     ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS s FROM pieces)
-SELECT conv_id, block, CAST(0 AS INTEGER) AS sub, perspective, count(*) AS n_turns,
+SELECT conv_id, block, sub, perspective, count(*) AS n_turns,
     string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
     coalesce(string_agg(CAST(s AS VARCHAR) || '-' || CAST(s + length(body) AS VARCHAR), ',' ORDER BY s) FILTER (mine), '') AS mask
-FROM located GROUP BY conv_id, block, perspective"""
+FROM located GROUP BY conv_id, block, sub, perspective"""

@@ -72,6 +72,8 @@ def conversations():
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hello"), (1, 2, "bob", "hi <|end|>"), (1, 3, "ann", None), (1, 3, "bob", "same turn"), (1, 4, None, "who"),
             (2, 0, "system", "alone"), (3, None, "ann", "no turn"), (3, 5, "ann", ""), (None, 0, "bob", "no id"), (None, 1, "ann", "é" * 5_000)]
     rows += [(4, t, "ann" if t % 2 else "bob", f"turn {t}") for t in range(200)]
+    rows += [(5, t, "system" if t < 70 else "ann" if t == 150 else "bob", f"turn {t}") for t in range(180)]
+    rows += [(6, t // 40, ["ann", "bob", "cy"][t % 3], f"crowd {t:05}") for t in range(4_500)]
     return [(*r, "m", 1) for r in rows + rows[:3]]
 
 
