@@ -51,12 +51,33 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def clean_up() -> None:
+    """Remove every scratch table of this process; results that still read them are lost. Runs at exit."""
+    while _roots:
+        _delete(*_roots.pop())
+
+
+atexit.register(clean_up)
+
+
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no more than the tasks it ran."""
+    """Tables written to the shared folder, so that a lost executor costs no more than the tasks it ran.
+
+    They go when they are dropped, or all of them with clean_up().
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        _roots.append((spark, self.root))
         self.paths: dict[str, str] = {}
         self.made = 0
 
@@ -73,9 +94,7 @@ class Scratch:
     def drop(self, name: str) -> None:
         """Remove a table that no later plan reads."""
         if path := self.paths.pop(name, None):
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(self.spark, path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -92,7 +111,10 @@ BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
-    """Lower the session's limit on Arrow batches, so that long texts cannot fill a worker's memory."""
+    """Lower the session's limit on Arrow batches, so that long texts cannot fill a worker's memory.
+
+    Plans read the setting when they run, after the operator has returned, so it is not raised again.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).lower().removesuffix("b")
     if not now.isdecimal() or int(now) > limit:

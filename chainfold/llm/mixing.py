@@ -4,7 +4,7 @@ Each source has a target in words; a document's expected copies are target / wor
 Whole copies are taken as they are; the fractions are rounded so that a source's words are kept:
 two documents with fractional copies meet, words move at random from one to the other until one is
 integral, and what is left meets the next. The expectation of every document is unchanged, and the
-words of a source differ from its target by less than one document. Each node also hands CARRY of its
+words of a source differ from its target by less than one document. Each node also hands some of its
 settled documents, of all sizes, up to the next; the root of a source's tree flips a few of those that
 it holds, largest first, while that brings the words nearer to the target. So a source ends within
 about its smallest documents of the target, and expectations are exact for all but one node's documents.
@@ -32,7 +32,8 @@ from .common import WHITE_WORD, Scratch, table
 WEIGHTS = (5, 2, 1)
 CAP = 3
 LEAF = 256
-CARRY = 32
+#: Settled documents that the nodes below one node hand up to it together, one each at least.
+CARRY = 128
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -130,7 +131,8 @@ def _node_rounder(level: int, held: int, carry: int):
         p = pivot(rows["_p"].to_numpy(float), size, key, level)
         if rows["_docs"].iloc[0] <= held:
             return rows.assign(_p=settle(p, size, key), _up=False)
-        return rows.assign(_p=p, _up=carried(p, size, key, carry))
+        siblings = min(LEAF, -(-int(rows["_docs"].iloc[0]) // held))
+        return rows.assign(_p=p, _up=carried(p, size, key, max(1, carry // siblings)))
 
     return round_node
 
