@@ -153,7 +153,7 @@ def candidate_blocks(blooms: DataFrame, addresses: Iterable[bytes] = (), topics:
         found = found.where(hit("topic_bits", keys, TOPIC_BITS))
     if keys := list(addresses):
         found = found.where(hit("address_bits", keys, ADDRESS_BITS))
-    return found.select("block_number")
+    return found.select("block_number").distinct()
 
 
 def require_dense(blocks: DataFrame, start: int, end: int) -> None:

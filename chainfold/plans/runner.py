@@ -35,6 +35,12 @@ class Delta:
     key: str
     adds: str | None = None
 
+    def changed(self, committed: DataFrame | None) -> DataFrame:
+        """The new rows of the keys that the delta names, as a commit writes them."""
+        if self.adds:
+            return folds.changed_sums(committed, self.rows, self.key, self.adds)
+        return self.rows if committed is None else self.rows.select(committed.columns)
+
     def onto(self, committed: DataFrame | None) -> DataFrame:
         if self.adds:
             return folds.add_balances(committed, self.rows, self.key, self.adds)
@@ -101,26 +107,45 @@ class Indexer:
         meta = json.loads(text) if text else {}
         return meta if meta.get("fingerprint") == self.manifest.fingerprint() else {"fingerprint": self.manifest.fingerprint(), "parts": [], "scanned_to": None}
 
+    def _children(self, meta: dict) -> DataFrame:
+        """The children that the parts before discovered: a table of their addresses."""
+        folders = [f"{p}-children" for p in meta["parts"]]
+        return self.spark.read.schema("address binary").parquet(*folders) if folders else self.spark.createDataFrame([], "address binary")
+
     def build_index(self) -> int | None:
-        """Filter what the store has beyond the index; another manifest starts it anew. Returns the last block scanned."""
+        """Filter what the store has beyond the index; another manifest starts it anew. Returns the last block scanned.
+
+        Only folders of new blocks in which some block's filters allow a match are read, and history only for
+        children that are new.
+        """
         meta, m = self._index_meta(), self.manifest
-        last = self.blocks.meta["last_final"]
+        stored = self.blocks.meta
+        last = stored["last_final"]
         if last is None:
             return meta["scanned_to"]
         end = last if m.end_block is None else min(last, m.end_block)
         start = m.start_block if meta["scanned_to"] is None else meta["scanned_to"] + 1
         if start > end:
             return meta["scanned_to"]
-        if m.wants_tx and not filtering.covers(self.blocks.blocks, max(start, self.blocks.meta["first"]), end):
-            raise TxFieldsUnavailable(f"blocks {start} to {end} are not all there")
-        logs = self.blocks.logs
-        kept = filtering.filtered(logs, m, start, end)
-        if meta["scanned_to"] is not None and m.factories:
-            # children that this range discovered may have emitted before it
-            old = filtering.children_of(filtering.primary_logs(logs, m, m.start_block, start - 1), m)
-            new = filtering.children_of(filtering.primary_logs(logs, m, start, end), m).join(old, "address", "left_anti")
-            kept = kept.unionByName(filtering.child_logs(logs, new, m, m.start_block, start - 1).withColumn("bucket", F.lit("children")))
+        low = max(start, stored["first"])
+        if m.wants_tx and low <= end and not filtering.covers(self.blocks.tx_blocks, low, end):
+            raise TxFieldsUnavailable(f"transactions of blocks {low} to {end} are not all there")
         folder = f"{self.path}/index-{m.fingerprint()[:12]}/part={len(meta['parts'])}"
+        kept = filtering.primary_logs(self.blocks.read_matching(start, end, m.known_addresses, m.primary_topics), m, start, end).withColumn("bucket", F.lit("primary"))
+        if m.factories and m.child_topics:
+            old = self._children(meta)
+            found = filtering.children_of(kept.drop("bucket"), m).join(old, "address", "left_anti")
+            found.write.mode("overwrite").parquet(f"{folder}-children")
+            new = self.spark.read.schema("address binary").parquet(f"{folder}-children")
+            known = old.unionByName(new)
+            logs = self.blocks.read_matching(start, end, [], m.child_topics)
+            kept = kept.unionByName(filtering.child_logs(logs, known, m, start, end).withColumn("bucket", F.lit("children")))
+            if start > m.start_block and not new.isEmpty():
+                # children that this range discovered may have emitted before it
+                earlier = self.blocks.read_matching(m.start_block, start - 1, [], m.child_topics)
+                kept = kept.unionByName(filtering.child_logs(earlier, new, m, m.start_block, start - 1).withColumn("bucket", F.lit("children")))
+        else:
+            self.spark.createDataFrame([], "address binary").write.mode("overwrite").parquet(f"{folder}-children")
         kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.mode("overwrite").partitionBy("bucket").parquet(folder)
         written = self.spark.read.parquet(folder).agg(F.count("*").alias("n"), F.count_distinct("block_number").alias("b")).first()
         self.stats |= {"scanned_blocks": end - start + 1, "matched_blocks": written.b, "kept_logs": written.n}
@@ -139,7 +164,7 @@ class Indexer:
         return out
 
     def children(self) -> DataFrame:
-        return filtering.children_of(self.index(), self.manifest)
+        return self._children(self._index_meta())
 
     # calls
 
@@ -172,9 +197,7 @@ class Indexer:
 
     def _commit(self, state: State, cursor: int, scanned_to: int, batch_id: int = -1) -> store.Version:
         view = self.state.view()
-        mutable = {name: (delta.onto(view.table(name)), delta.key) for name, delta in state.mutable.items()}
-        for name, rows in state.immutable.items():
-            folds.require_increasing(view.table(name), rows)
+        mutable = {name: (delta.changed(view.table(name)), delta.key) for name, delta in state.mutable.items()}
         return self.state.commit(mutable, {n: (df, "id") for n, df in state.immutable.items()}, cursor, scanned_to, self.manifest.fingerprint(), batch_id)
 
     def run(self) -> store.Version:
@@ -194,7 +217,7 @@ class Indexer:
     def reset(self) -> store.Version:
         """Forget the state of another manifest."""
         old = self.state.current()
-        empty = store.Version(number=old.number)
+        empty = store.Version(number=old.number, dropped=[*old.dropped, *([old.number, p] for paths in old.tables.values() for p in paths)])
         store.publish(self.spark, f"{self.state.path}/CURRENT.json", json.dumps(empty.__dict__))
         return empty
 
@@ -207,8 +230,8 @@ class Indexer:
         at = max(version.scanned_to, self.manifest.start_block - 1)
 
         def commit(final: DataFrame, children: DataFrame, cursor: int, batch_id: int) -> None:
-            if batch_id <= self.state.current().batch_id:
-                return
+            if cursor <= self.state.current().scanned_to:
+                return  # a run that stopped after its commit comes back to it
             self.run_prefetch(final)
             self._commit(self.fold(final, self.pending_txs), cursor, cursor, batch_id)
 
@@ -220,8 +243,14 @@ class Indexer:
             children.write.mode("overwrite").parquet(folder)
             return self.spark.read.parquet(folder)
 
+        def fill(start: int, end: int) -> tuple[DataFrame, DataFrame]:
+            blocks = self.blocks.blocks.where(F.col("block_number").between(start, end))
+            if not filtering.covers(blocks, start, end):
+                raise live.StaleBaseline(f"blocks {start} to {end} are neither pending nor all in the store")
+            return blocks, self.blocks.read_range(start, end)
+
         self.pending_txs: DataFrame | None = None
-        self.follower = live.Follower(self.spark, self.manifest, keep_children(self.children()), at, commit, keep_children=keep_children)
+        self.follower = live.Follower(self.spark, self.manifest, keep_children(self.children()), at, commit, keep_children=keep_children, fill=fill)
         return self.follower
 
     def spawn(self, source: DataFrame, read: Callable, checkpoint: str, head: int | None = None, **trigger):
@@ -236,6 +265,8 @@ class Indexer:
         logs = self.follower.tip_logs() if self.follower else None
         if logs is None:
             return committed
+        if self.manifest.prefetch:
+            self.run_prefetch(logs)
         state = self.fold(logs, self.pending_txs)
         if name in state.mutable:
             return state.mutable[name].onto(committed)

@@ -4,6 +4,9 @@ Every write makes new files; CURRENT.json names those that count. A crash before
 files that no reader sees and the next write ignores. The pointer is replaced with os.replace on a
 local path and by Hadoop's rename elsewhere, so a store needs a file system whose rename replaces
 atomically (local or HDFS, not an object store).
+
+A mutable table is a base and up to DELTAS layers of changed rows above it; the next commit folds
+them into a new base. Layers of versions that are more than KEEP behind are removed.
 """
 
 from __future__ import annotations
@@ -14,12 +17,21 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chainfold.operators.filtering import require_dense
+from chainfold.operators import folds
+from chainfold.operators.filtering import block_blooms, candidate_blocks, require_dense
 
 from .schemas import BLOCKS, BUCKET, LOGS, ORDER, TXS
 
 
+#: Layers of changed rows above a base, and versions that old readers may still hold.
+DELTAS, KEEP = 8, 16
+#: Sets of more keys than this are not tested against the blocks' filters.
+TESTED = 64
+BLOOMS = "block_number long, topic_bits array<int>, address_bits array<int>"
+
+
 class StoreError(RuntimeError):
     """A table that is missing, foreign, or would be left with a gap."""
 
@@ -65,23 +77,33 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
+_STORED = T.StructType([*LOGS.fields, T.StructField("block_bucket", T.LongType())])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class BlockStore:
-    """logs, blocks and txs of final blocks, in folders of BUCKET blocks, sorted in log order."""
+    """logs, blocks, txs and block filters of final blocks, in folders of BUCKET blocks, sorted in log order."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     @property
     def meta(self) -> dict:
-        """first, last_final and parts: the batch numbers that count."""
+        """first, last_final, parts (the batch numbers that count) and with_txs, those of them that have transactions."""
         text = read_text(self.spark, f"{self.path}/_meta.json")
-        found = json.loads(text) if text else {"first": None, "last_final": None, "parts": []}
-        if not {"first", "last_final", "parts"} <= found.keys():
+        found = json.loads(text) if text else {"first": None, "last_final": None, "parts": [], "with_txs": []}
+        if not {"first", "last_final", "parts", "with_txs"} <= found.keys():
             raise StoreError(f"{self.path}/_meta.json is not of this store")
+        if found["parts"] and (found["first"] is None or found["last_final"] is None or found["last_final"] < found["first"]):
+            raise StoreError(f"{self.path}/_meta.json names no span of blocks")
         return found
 
-    def _read(self, name: str, schema) -> DataFrame:
-        parts = [f"{self.path}/{name}/part={n}" for n in self.meta["parts"]]
+    def _read(self, name: str, schema, parts: list[int] | None = None) -> DataFrame:
+        parts = [f"{self.path}/{name}/part={n}" for n in (self.meta["parts"] if parts is None else parts)]
         if not parts:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.option("basePath", f"{self.path}/{name}").schema(schema).parquet(*parts).select(*schema.names)
@@ -98,15 +120,35 @@ class BlockStore:
     def txs(self) -> DataFrame:
         return self._read("txs", TXS)
 
-    def read_range(self, start: int, end: int) -> DataFrame:
-        """Logs of the blocks, both ends included; folders outside are not listed in the scan."""
+    @property
+    def tx_blocks(self) -> DataFrame:
+        """The blocks whose transactions are there, if only to say that there are none."""
+        return self._read("blocks", BLOCKS, self.meta["with_txs"])
+
+    @property
+    def blooms(self) -> DataFrame:
+        """(block_number, topic_bits, address_bits) of every block, one without logs included."""
+        return self._read("blooms", T.StructType.fromDDL(BLOOMS))
+
+    def read_range(self, start: int, end: int, buckets: list[int] | None = None) -> DataFrame:
+        """Logs of the blocks, both ends included; folders outside, or not among the buckets, are not read."""
         low, high = start // BUCKET, end // BUCKET
         parts = [f"{self.path}/logs/part={n}" for n in self.meta["parts"]]
         if not parts:
             return self.logs
-        rows = self.spark.read.option("basePath", f"{self.path}/logs").parquet(*parts)
+        rows = self.spark.read.option("basePath", f"{self.path}/logs").schema(_STORED).parquet(*parts)
+        if buckets is not None:
+            rows = rows.where(F.col("block_bucket").isin(buckets) if buckets else F.lit(False))
         return rows.where(F.col("block_bucket").between(low, high) & F.col("block_number").between(start, end)).select(*LOGS.names)
 
+    def read_matching(self, start: int, end: int, addresses: list[bytes], topics: list[bytes]) -> DataFrame:
+        """Logs of the folders in which some block's filters allow a log of both sets."""
+        few = lambda keys: keys if len(keys) <= TESTED else []
+        found = candidate_blocks(self.blooms, few(addresses), few(topics), start, end)
+        # a row for each folder
+        buckets = [r.b for r in found.select(F.floor(F.col("block_number") / BUCKET).alias("b")).distinct().collect()]
+        return self.read_range(start, end, sorted(buckets))
+
     def read_block(self, block: int) -> DataFrame:
         return self.read_range(block, block)
 
@@ -131,12 +173,20 @@ class BlockStore:
          .option("parquet.bloom.filter.enabled#address", "true").option("parquet.bloom.filter.enabled#topic0", "true")
          .parquet(f"{self.path}/logs/part={part}"))
         new.sortWithinPartitions("block_number").write.mode("overwrite").parquet(f"{self.path}/blocks/part={part}")
+        every = new.select("block_number").join(block_blooms(self._part_logs(part)), "block_number", "left")
+        empty = F.expr("cast(array() as array<int>)")
+        every.select("block_number", *[F.coalesce(c, empty).alias(c) for c in ("topic_bits", "address_bits")]).sortWithinPartitions(
+            "block_number").write.mode("overwrite").parquet(f"{self.path}/blooms/part={part}")
         rows = after(txs) if txs is not None else self.spark.createDataFrame([], TXS)
         rows.sortWithinPartitions("block_number", "tx_index").write.mode("overwrite").parquet(f"{self.path}/txs/part={part}")
         first = span.low if meta["first"] is None else meta["first"]
-        publish(self.spark, f"{self.path}/_meta.json", json.dumps({"first": first, "last_final": span.high, "parts": [*meta["parts"], part]}))
+        publish(self.spark, f"{self.path}/_meta.json", json.dumps({
+            "first": first, "last_final": span.high, "parts": [*meta["parts"], part], "with_txs": [*meta["with_txs"], *([part] if txs is not None else [])]}))
         return span.high
 
+    def _part_logs(self, part: int) -> DataFrame:
+        return self.spark.read.schema(LOGS).parquet(f"{self.path}/logs/part={part}")
+
     def status(self) -> DataFrame:
         """One row for each table: rows, first and last block, distinct blocks."""
         out = None
@@ -182,23 +232,26 @@ class PendingStore:
         txs = self.spark.read.schema(TXS).parquet(f"{folder}/txs") if meta["txs"] else None
         return self.spark.read.schema(BLOCKS).parquet(f"{folder}/blocks"), self.spark.read.schema(LOGS).parquet(f"{folder}/logs"), txs
 
-    def insert(self, blocks: DataFrame, logs: DataFrame) -> int:
-        """Add blocks on top; those of a number that is there replace it and all above."""
-        old_blocks, old_logs, _ = self.read()
+    def insert(self, blocks: DataFrame, logs: DataFrame, txs: DataFrame | None = None) -> int:
+        """Add blocks on top; those of a number that is there replace it and all above. Transactions stay only if all blocks have them."""
+        old_blocks, old_logs, old_txs = self.read()
         low = blocks.agg(F.min("block_number")).first()[0]
         below = F.col("block_number") < low
-        return self.write(old_blocks.where(below).unionByName(blocks), old_logs.where(below).unionByName(logs))
+        if old_txs is None and old_blocks.isEmpty():
+            old_txs = self.spark.createDataFrame([], TXS)
+        both = old_txs.where(below).unionByName(txs) if old_txs is not None and txs is not None else None
+        return self.write(old_blocks.where(below).unionByName(blocks), old_logs.where(below).unionByName(logs), both)
+
+    def _only(self, kept) -> int:
+        blocks, logs, txs = self.read()
+        return self.write(blocks.where(kept), logs.where(kept), None if txs is None else txs.where(kept))
 
     def truncate(self, start: int) -> int:
         """Drop blocks from a number on."""
-        blocks, logs, _ = self.read()
-        below = F.col("block_number") < start
-        return self.write(blocks.where(below), logs.where(below))
+        return self._only(F.col("block_number") < start)
 
     def drop_final(self, last_final: int) -> int:
-        blocks, logs, _ = self.read()
-        above = F.col("block_number") > last_final
-        return self.write(blocks.where(above), logs.where(above))
+        return self._only(F.col("block_number") > last_final)
 
 
 @dataclass
@@ -210,6 +263,9 @@ class Version:
     counts: dict[str, int] = field(default_factory=dict)
     fingerprint: str = ""
     batch_id: int = -1
+    #: The key of each mutable table, and folders that no later version reads, with the version that dropped them.
+    keys: dict[str, str] = field(default_factory=dict)
+    dropped: list[list] = field(default_factory=list)
 
 
 class StateStore:
@@ -225,26 +281,40 @@ class StateStore:
     def view(self, version: Version | None = None) -> "View":
         return View(self, version or self.current())
 
+    def _write(self, df: DataFrame, name: str, number: int, key: str) -> str:
+        path = f"{self.path}/{name}/v={number}"
+        df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+        return path
+
     def commit(self, mutable: dict[str, tuple[DataFrame, str]], immutable: dict[str, tuple[DataFrame, str]], cursor: int, scanned_to: int,
                fingerprint: str = "", batch_id: int = -1) -> Version:
-        """Write whole snapshots of mutable tables and new rows of immutable ones, then publish all at once.
+        """Write the changed rows of mutable tables and new rows of immutable ones, check them, then publish all at once.
 
-        Each table comes with its key; files are sorted by it. counts are of immutable tables.
+        Each table comes with its key; files are sorted by it. A mutable table's rows replace those of
+        the same key; an immutable table's keys must increase. counts are of immutable tables.
         """
         old = self.current()
         number = old.number + 1
-        tables, counts = dict(old.tables), dict(old.counts)
+        tables, counts, keys, dropped = dict(old.tables), dict(old.counts), dict(old.keys), list(old.dropped)
+        before = self.view(old)
         for name, (df, key) in mutable.items():
-            path = f"{self.path}/{name}/v={number}"
-            df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
-            tables[name] = [path]
+            layers = [*tables.get(name, []), self._write(df, name, number, key)]
+            if len(layers) > DELTAS + 1:
+                merged = folds.newest([self.spark.read.parquet(p) for p in layers], key)
+                dropped += [[number, p] for p in layers]
+                layers = [self._write(merged, f"{name}/base", number, key)]
+            tables[name], keys[name] = layers, key
         for name, (df, key) in immutable.items():
-            path = f"{self.path}/{name}/v={number}"
-            df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+            path = self._write(df, name, number, key)
+            added = self.spark.read.parquet(path)
+            folds.require_increasing(before.table(name), added, key)
             tables[name] = [*tables.get(name, []), path]
-            counts[name] = counts.get(name, 0) + self.spark.read.parquet(path).count()
-        new = Version(number, cursor, scanned_to, tables, counts, fingerprint or old.fingerprint, batch_id)
+            counts[name] = counts.get(name, 0) + added.count()
+        due = [p for n, p in dropped if n <= number - KEEP]
+        new = Version(number, cursor, scanned_to, tables, counts, fingerprint or old.fingerprint, batch_id, keys, [x for x in dropped if x[0] > number - KEEP])
         publish(self.spark, f"{self.path}/CURRENT.json", json.dumps(new.__dict__))
+        for path in due:
+            remove(self.spark, path)
         return new
 
 
@@ -256,7 +326,12 @@ class View:
 
     def table(self, name: str) -> DataFrame | None:
         paths = self.version.tables.get(name)
-        return self.store.spark.read.parquet(*paths) if paths else None
+        if not paths:
+            return None
+        key = self.version.keys.get(name)
+        if key is None:
+            return self.store.spark.read.parquet(*paths)
+        return folds.newest([self.store.spark.read.parquet(p) for p in paths], key)
 
 
 def page(rows: DataFrame, key: str, start: int, n: int) -> DataFrame:

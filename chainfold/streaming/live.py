@@ -30,6 +30,10 @@ class StaleBaseline(RuntimeError):
     """The store is too far behind the head to follow it."""
 
 
+class BrokenChain(RuntimeError):
+    """Blocks that do not follow each other."""
+
+
 def can_finalize(block: int, head: int, depth: int = FINALITY) -> bool:
     return head >= block + depth
 
@@ -113,21 +117,59 @@ class Pending:
     logs: DataFrame
 
 
+#: (blocks, logs) of a span of final blocks that a follower has not seen.
+Fill = Callable[[int, int], tuple[DataFrame, DataFrame]]
+
+
+def require_chain(blocks: DataFrame, parent: bytes | None = None) -> None:
+    """Raise unless blocks (FINALITY at most) are dense and linked, the first to `parent`; unknown hashes link to anything."""
+    rows = blocks.select("block_number", "block_hash", "parent_hash").orderBy("block_number").collect()
+    if rows and parent is not None and rows[0].parent_hash is not None and bytes(rows[0].parent_hash) != parent:
+        raise BrokenChain(f"block {rows[0].block_number} does not follow the block before it")
+    for one, other in zip(rows, rows[1:], strict=False):
+        if other.block_number != one.block_number + 1:
+            raise BrokenChain(f"block {other.block_number} stands after {one.block_number}")
+    if (broken := linked(blocks).first()) is not None:
+        raise BrokenChain(f"block {broken.block_number} does not follow the block before it")
+
+
 class Follower:
     """The live loop: promote what became final, then take in new blocks or a reorganisation.
 
-    fold(logs, children) makes the state of a set of final logs and hands it to commit; the follower
-    calls commit(final_logs, children, cursor, batch_id) once for each batch that made blocks final.
+    The follower calls commit(final_logs, children, cursor, batch_id) for logs that became final, in
+    order and without a gap: blocks that neither snapshot holds come from fill(start, end), which has
+    final ones. Without fill, following starts at the first snapshot's first block.
     """
 
     def __init__(self, spark: SparkSession, manifest: Manifest, children: DataFrame, cursor: int,
                  commit: Callable[[DataFrame, DataFrame, int, int], None], depth: int = FINALITY,
-                 keep_children: Callable[[DataFrame], DataFrame] | None = None):
+                 keep_children: Callable[[DataFrame], DataFrame] | None = None, fill: Fill | None = None):
         """keep_children writes the set of children and reads it back, so that its plan does not grow with every tick."""
         self.spark, self.manifest, self.children, self.cursor = spark, manifest, children, cursor
-        self.commit, self.depth, self.batch_id = commit, depth, -1
+        self.commit, self.depth, self.batch_id, self.fill = commit, depth, -1, fill
         self.keep_children = keep_children or (lambda df: df)
         self.pending: Pending | None = None
+        self.final_hash: bytes | None = None
+
+    def _promote(self, blocks: DataFrame, logs: DataFrame, upto: int, batch_id: int | None) -> None:
+        """Commit the logs of final blocks from the cursor to a block."""
+        window = F.col("block_number").between(self.cursor + 1, upto)
+        final = self.relevant(logs.where(window))
+        if self.manifest.factories:
+            fresh = children_of(final, self.manifest).join(self.children, "address", "left_anti")
+            if not fresh.isEmpty():
+                self.children = self.keep_children(self.children.unionByName(fresh))
+        self.commit(final, self.children, upto, batch_id if batch_id is not None else self.batch_id + 1)
+        last = blocks.where(F.col("block_number") == upto).select("block_hash").first()
+        self.cursor, self.final_hash = upto, bytes(last.block_hash) if last is not None and last.block_hash is not None else None
+
+    def _fill(self, low: int, last_final: int, batch_id: int | None) -> None:
+        """Commit what lies between the cursor and the first pending block."""
+        if low - 1 > last_final:
+            raise BrokenChain(f"blocks {self.cursor + 1} to {low - 1} are not pending and not final")
+        if self.fill is None:
+            raise BrokenChain(f"blocks {self.cursor + 1} to {low - 1} are in neither snapshot, and there is nothing to fill the gap from")
+        self._promote(*self.fill(self.cursor + 1, low - 1), low - 1, batch_id)
 
     def relevant(self, logs: DataFrame) -> DataFrame:
         """Logs of a batch that the manifest wants; creations in the batch count, so a child's first logs are caught."""
@@ -138,9 +180,10 @@ class Follower:
         return primary.unionByName(child_logs(logs, known, self.manifest))
 
     def tick(self, blocks: DataFrame, logs: DataFrame, last_final: int, batch_id: int | None = None) -> Changes:
-        """Take in a snapshot of all blocks above the store's end. A batch id seen before is ignored."""
-        if batch_id is not None and batch_id <= self.batch_id:
+        """Take in a snapshot of all blocks above the store's end. A batch that comes twice is ignored."""
+        if batch_id is not None and batch_id == self.batch_id:
             return Changes()
+        require_chain(blocks)
         found = changes(self.pending.blocks if self.pending else seed(blocks, self.cursor), blocks, last_final)
         lost = [b for b in (found.reorg_from, *found.reorged_out) if b is not None and b <= self.cursor]
         if lost:
@@ -152,14 +195,13 @@ class Follower:
                 # what became final is taken from the snapshot before, unless the reorganisation reached it
                 if found.reorg_from is not None and found.reorg_from <= upto:
                     raise ReorgExceedsFinalityDepth(f"block {found.reorg_from} changed while {upto} is final")
-                window = F.col("block_number").between(self.cursor + 1, upto)
-                final = self.relevant(self.pending.logs.where(window))
-                if self.manifest.factories:
-                    fresh = children_of(final, self.manifest).join(self.children, "address", "left_anti")
-                    if not fresh.isEmpty():
-                        self.children = self.keep_children(self.children.unionByName(fresh))
-                self.commit(final, self.children, upto, batch_id if batch_id is not None else self.batch_id + 1)
-                self.cursor = upto
+                self._promote(self.pending.blocks, self.pending.logs, upto, batch_id)
+        above = blocks.where(F.col("block_number") > self.cursor)
+        first = above.orderBy("block_number").select("block_number", "parent_hash").first()
+        if first is not None and first.block_number > self.cursor + 1 and (self.pending is not None or self.fill is not None):
+            self._fill(first.block_number, last_final, batch_id)
+        if first is not None and first.block_number == self.cursor + 1 and None not in (self.final_hash, first.parent_hash) and bytes(first.parent_hash) != self.final_hash:
+            raise ReorgExceedsFinalityDepth(f"block {first.block_number} does not follow block {self.cursor}, which is committed")
         keep = F.col("block_number") > self.cursor
         self.pending = Pending(blocks.where(keep), logs.where(keep))
         self.batch_id = batch_id if batch_id is not None else self.batch_id + 1

@@ -27,8 +27,11 @@ def logs_of(spark, rows):
     return spark.createDataFrame(rows, LOGS)
 
 
-def blocks_of(spark, numbers, salt=b""):
-    rows = [(n, f"h{n}".encode() + salt, f"h{n - 1}".encode() + salt, 1_700_000_000 + 12 * n) for n in numbers]
+def blocks_of(spark, numbers, salt=b"", parent=None):
+    """Blocks whose hashes end in salt; the first one's parent ends in `parent`, if that is given."""
+    numbers = list(numbers)
+    before = lambda n: salt if parent is None or n != numbers[0] else parent
+    rows = [(n, f"h{n}".encode() + salt, f"h{n - 1}".encode() + before(n), 1_700_000_000 + 12 * n) for n in numbers]
     return spark.createDataFrame(rows, BLOCKS)
 
 

@@ -62,10 +62,11 @@ def test_promote_and_reorg(spark):
     f = follower(spark, seen)
     f.tick(*snapshot(spark, [100, 101, 102]), last_final=99, batch_id=0)
     assert f.tip_logs().count() == 3 and seen == []
-    blocks = blocks_of(spark, [100, 101]).unionAll(blocks_of(spark, [102], b"x"))
+    blocks = blocks_of(spark, [100, 101]).unionAll(blocks_of(spark, [102], b"x", parent=b""))
     changed = f.tick(blocks, snapshot(spark, [], logs=[100, 101, 102, 102])[1].dropDuplicates(["block_number"]), last_final=99, batch_id=1)
     assert changed.reorg_from == 102 and f.tip_logs().count() == 3
-    f.tick(*snapshot(spark, [101, 102, 103]), last_final=100, batch_id=2)
+    later = blocks_of(spark, [101]).unionAll(blocks_of(spark, [102, 103], b"x", parent=b""))
+    f.tick(later, snapshot(spark, [101, 102, 103])[1], last_final=100, batch_id=2)
     assert seen == [([100], 100)] and f.cursor == 100 and f.tip_logs().count() == 3
     # a repeated batch is ignored
     f.tick(*snapshot(spark, [102, 103]), last_final=101, batch_id=2)

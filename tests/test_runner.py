@@ -71,7 +71,7 @@ def test_another_manifest_starts_anew(spark, setup, tmp_path):
 def test_tip_and_reorganisation(spark, setup):
     _, indexer = setup
     f = indexer.start(head=103)
-    pending = lambda rows, salt=b"": (blocks_of(spark, [103], salt), logs_of(spark, rows))
+    pending = lambda rows, salt=b"": (blocks_of(spark, [103], salt, parent=b""), logs_of(spark, rows))
     f.tick(*pending([ROWS[4]]), last_final=102)
     assert accounts(indexer.tip("accounts"))[A] == 90 and indexer.tip("transfers").count() == 4
     f.tick(*pending([ROWS[4], transfer(103, C, A, 5, log=5)], b"x"), last_final=102)
