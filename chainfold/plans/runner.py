@@ -200,6 +200,10 @@ class Indexer:
         mutable = {name: (delta.changed(view.table(name)), delta.key) for name, delta in state.mutable.items()}
         return self.state.commit(mutable, {n: (df, "id") for n, df in state.immutable.items()}, cursor, scanned_to, self.manifest.fingerprint(), batch_id)
 
+    def commit(self, state: State, cursor: int) -> store.Version:
+        """Commit what a fold of logs up to a block made."""
+        return self._commit(state, cursor, cursor)
+
     def run(self) -> store.Version:
         """Bring the state up to the store's end: a second run with nothing new changes nothing."""
         current = self.state.current()

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainfold.functions.keccak import keccak256
 
@@ -110,8 +112,8 @@ def decode_senders(value: bytes) -> list[tuple[bytes | None, bool]]:
 _PLACES = {0: (3, 4, 6, 6), 1: (4, 5, 8, 8), 2: (5, 6, 9, 9), 3: (5, 6, 11, 11), 4: (5, 6, 10, 10)}
 
 
-def decode_transaction(raw: bytes) -> dict:
-    """to (None for a creation), value, type, and the hash that was signed with v, r and s."""
+def decode_transaction(raw: bytes, signed: bool = True) -> dict:
+    """to (None for a creation), value, type, and if `signed` the hash that was signed with v, r and s."""
     if not raw:
         raise RlpError("an empty transaction")
     kind = 0 if raw[0] >= 0xC0 else raw[0]
@@ -129,7 +131,7 @@ def decode_transaction(raw: bytes) -> dict:
             parity -= 27
     prefix = bytes([kind]) if kind else b""
     return {"tx_type": kind, "to": fields[to] or None, "value": _uint(fields[value]).to_bytes(32, "big"),
-            "hash": keccak256(prefix + rlp_encode(unsigned)), "parity": parity, "r": _uint(fields[v + 1]), "s": _uint(fields[v + 2])}
+            "hash": keccak256(prefix + rlp_encode(unsigned)) if signed else None, "parity": parity, "r": _uint(fields[v + 1]), "s": _uint(fields[v + 2])}
 
 
 # secp256k1: fixed values
@@ -202,7 +204,7 @@ def block_transactions(block: int, receipts: bytes, body: bytes) -> list[tuple]:
     rows = []
     for k, ((sender, has_logs), raw) in enumerate(zip(senders, raws, strict=True)):
         if has_logs:
-            tx = decode_transaction(raw)
+            tx = decode_transaction(raw, signed=sender is None)
             sender = sender or recover_sender(tx["hash"], tx["parity"], tx["r"], tx["s"])
             rows.append((block, k, tx["tx_type"], sender, tx["to"], tx["value"], sender is None))
     return rows
@@ -229,17 +231,65 @@ def block_txs(dump: DataFrame) -> DataFrame:
     return _rows(dump.select("block_number", "receipts", "body"), lambda r: block_transactions(r.block_number, bytes(r.receipts), bytes(r.body)), TXS)
 
 
-def header_blocks(dump: DataFrame) -> DataFrame:
-    """(block_number, block_hash, parent_hash, ts) from (block_number, header); of repeated blocks the least hash's row stands."""
+def header_blocks(dump: DataFrame, hashes: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(block_number, block_hash, parent_hash, ts) from (block_number, header), without blocks that are known.
+
+    Of repeated blocks the one with the canonical hash stands, or without `hashes` the least.
+    """
     def decode(r):
         header = bytes(r.header)
         fields, _ = rlp_item(header)
         yield r.block_number, keccak256(header), fields[0], header_timestamp(header)
 
+    if known is not None:
+        dump = dump.join(known.select("block_number"), "block_number", "left_anti")
     rows = _rows(dump.select("block_number", "header"), decode, BLOCKS)
+    if hashes is not None:
+        rows = canonical(rows, hashes)
     return rows.groupBy("block_number").agg(F.min(F.struct("block_hash", "parent_hash", "ts")).alias("b")).select("block_number", "b.*")
 
 
+def with_hash(dump: DataFrame) -> DataFrame:
+    """The dump's rows with block_hash, that of their header."""
+    out = T.StructType([*dump.schema.fields, T.StructField("block_hash", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([keccak256(h) for h in batch.column("header").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "block_hash"])
+
+    return dump.mapInArrow(run, out)
+
+
+def resolved(dump: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """One row of a dump for each block: of repeated ones that of the canonical chain. Only their headers are hashed."""
+    if dump.groupBy("block_number").count().where("count > 1").isEmpty():
+        return dump
+    if hashes is None or "header" not in dump.columns:
+        return canonical(dump, None)
+    many = dump.groupBy("block_number").count().where("count > 1").select("block_number")
+    picked = canonical(with_hash(dump.join(many, "block_number", "left_semi")), hashes).drop("block_hash").dropDuplicates(["block_number"])
+    return dump.join(many, "block_number", "left_anti").unionByName(picked)
+
+
+def matching_rows(dump: DataFrame, logs: DataFrame) -> DataFrame:
+    """The rows of a dump whose receipts have the (transaction, log, address) shape of the stored logs, one for each block.
+
+    For passes over a dump that come after its logs, without canonical hashes: repeated blocks are told
+    apart by what was stored of them.
+    """
+    marked = dump.withColumn("_row", F.monotonically_increasing_id())
+    shape = lambda rows, *by: rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tx_index", "log_index", "address"))).alias("_shape"))
+    fields = T.StructType([T.StructField("_row", T.LongType()), *LOGS.fields])
+    decoded = _rows(marked.select(F.col("_row").alias("number"), "block_number", "receipts"),
+                    lambda r: ((r.number, *x) for x in decode_receipts(r.block_number, bytes(r.receipts))), fields)
+    empty = F.expr("cast(array() as array<struct<tx_index:int,log_index:int,address:binary>>)")
+    theirs = marked.join(shape(decoded, "_row"), "_row", "left").withColumn("_shape", F.coalesce("_shape", empty))
+    stored = shape(logs, F.col("block_number").alias("_block")).withColumnRenamed("_shape", "_stored")
+    return theirs.join(stored, F.col("block_number") == F.col("_block"), "left").where(F.col("_shape") == F.coalesce("_stored", empty)).dropDuplicates(
+        ["block_number"]).select(*dump.columns)
+
+
 def canonical(dump: DataFrame, hashes: DataFrame | None) -> DataFrame:
     """The rows of (block_number, block_hash, ...) on the canonical chain; repeated blocks need `hashes` to choose by."""
     if hashes is None:

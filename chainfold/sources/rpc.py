@@ -6,6 +6,7 @@ import json
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -14,6 +15,7 @@ from .schemas import LOGS, TXS
 
 LEAST_SPAN, MOST_SPAN, TRIES = 512, 8192, 5
 LOG_JSON = "blockNumber string, transactionIndex string, logIndex string, address string, topics array<string>, data string, transactionHash string"
+TX_STRUCT = "blockNumber:string,transactionIndex:string,type:string,`from`:string,`to`:string,value:string"
 TX_JSON = "blockNumber string, transactionIndex string, type string, `from` string, `to` string, value string"
 
 
@@ -67,6 +69,9 @@ def head_number(message: Column) -> Column:
 
 
 def call_node(url: str, method: str, params: list) -> object:
+    """The node's answer. A `file:` url is a recording: JSON with head, blocks (with their transactions) and logs."""
+    if url.startswith("file:"):
+        return _recorded(url.removeprefix("file:"), method, params)
     body = json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params}).encode()
     request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
     with urllib.request.urlopen(request, timeout=60) as answer:
@@ -76,6 +81,23 @@ def call_node(url: str, method: str, params: list) -> object:
     return found["result"]
 
 
+def _recorded(path: str, method: str, params: list) -> object:
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    match method:
+        case "eth_blockNumber":
+            return hex(held["head"])
+        case "eth_getBlockByNumber":
+            return next((b for b in held["blocks"] if b["number"] == params[0]), None)
+        case "eth_getLogs":
+            low, high = (int(params[0][k], 16) for k in ("fromBlock", "toBlock"))
+            if high - low >= held.get("most", MOST_SPAN):
+                raise OSError("too many blocks")
+            wanted = params[0].get("address")
+            return [r for r in held["logs"] if low <= int(r["blockNumber"], 16) <= high and (not wanted or r["address"] in wanted)]
+    raise OSError(f"{method} was not recorded")
+
+
 def fetch_logs(ask: Callable[[int, int], list[dict]], start: int, end: int) -> Iterator[dict]:
     """Logs of the blocks in order. Spans double from LEAST_SPAN to MOST_SPAN and halve on errors; a block that fails TRIES times fails."""
     at, span, failed = start, LEAST_SPAN, 0
@@ -154,9 +176,6 @@ class HeadReader(DataSourceStreamReader):
         self.url, self.start = options["url"], int(options.get("start", "-1"))
 
     def head(self) -> int:
-        if self.url.startswith("file:"):  # recorded heads, for tests and replays
-            with open(self.url.removeprefix("file:"), encoding="utf-8") as file:
-                return int(json.load(file)["head"])
         return int(call_node(self.url, "eth_blockNumber", []), 16)
 
     def initialOffset(self) -> dict:
@@ -179,6 +198,59 @@ def register(spark) -> None:
         spark.dataSource.register(source)
 
 
+BLOCK_JSON = "number string, hash string, parentHash string, timestamp string"
+
+
+def _blocks(spark, url: str, start: int, end: int, full: bool) -> DataFrame:
+    """A JSON text for each block, asked for on the executors; one that the node lacks fails the job."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                found = call_node(url, "eth_getBlockByNumber", [hex(n), full])
+                if found is None:
+                    raise LookupError(f"the node has no block {n}")
+                yield pa.RecordBatch.from_pydict({"json": [json.dumps(found)]})
+
+    return spark.range(start, end + 1).mapInArrow(ask, "json string")
+
+
+def chain(spark, url: str, with_txs: bool = False):
+    """A node's chain as (blocks, logs, transactions or None) of a span, as head ingestion asks for it."""
+    register(spark)
+
+    def span(start: int, end: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        raw = _blocks(spark, url, start, end, with_txs)
+        j = raw.select(F.from_json("json", BLOCK_JSON + f", transactions array<struct<{TX_STRUCT}>>" * with_txs).alias("j"))
+        blocks = j.select(quantity(F.col("j.number")).alias("block_number"), hex_bytes(F.col("j.hash")).alias("block_hash"),
+                          hex_bytes(F.col("j.parentHash")).alias("parent_hash"), quantity(F.col("j.timestamp")).alias("ts"))
+        logs = spark.read.format("chain_rpc").options(url=url, start=str(start), end=str(end)).load()
+        if not with_txs:
+            return blocks, logs, None
+        from chainfold.operators.enrich import tx_mask
+
+        return blocks, logs, to_txs(j.select(F.explode("j.transactions").alias("t")).select("t.*"), tx_mask(logs))
+
+    return span
+
+
+def import_txs(store, url: str, span: int = 128) -> int:
+    """Fetch the transactions of stored blocks that have none, span by span, from where an earlier run stopped. Returns how many blocks."""
+    done, meta = 0, store.meta
+    for part in [p for p in meta["parts"] if p not in meta["with_txs"]]:
+        blocks, logs = store.part(part)
+        low, high = blocks.agg(F.min("block_number"), F.max("block_number")).first()
+        for start in range(low, high + 1, span):
+            end = min(high, start + span - 1)
+            here = F.col("block_number").between(start, end)
+            found = _blocks(store.spark, url, start, end, True).select(F.from_json("json", f"transactions array<struct<{TX_STRUCT}>>").alias("j"))
+            from chainfold.operators.enrich import tx_mask
+
+            store.add_txs(part, start, to_txs(found.select(F.explode("j.transactions").alias("t")).select("t.*"), tx_mask(logs.where(here))))
+            done += end - start + 1
+        store.txs_done(part)
+    return done
+
+
 def missing_txs(logs: DataFrame, txs: DataFrame) -> DataFrame:
     """(block_number, tx_index) of transactions with logs that are not fetched yet: where an interrupted import goes on."""
     from chainfold.operators.enrich import tx_mask

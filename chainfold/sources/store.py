@@ -118,7 +118,7 @@ class BlockStore:
 
     @property
     def txs(self) -> DataFrame:
-        return self._read("txs", TXS)
+        return self._read("txs", TXS, self.meta["with_txs"])
 
     @property
     def tx_blocks(self) -> DataFrame:
@@ -177,8 +177,8 @@ class BlockStore:
         empty = F.expr("cast(array() as array<int>)")
         every.select("block_number", *[F.coalesce(c, empty).alias(c) for c in ("topic_bits", "address_bits")]).sortWithinPartitions(
             "block_number").write.mode("overwrite").parquet(f"{self.path}/blooms/part={part}")
-        rows = after(txs) if txs is not None else self.spark.createDataFrame([], TXS)
-        rows.sortWithinPartitions("block_number", "tx_index").write.mode("overwrite").parquet(f"{self.path}/txs/part={part}")
+        if txs is not None:
+            after(txs).sortWithinPartitions("block_number", "tx_index").write.mode("overwrite").parquet(f"{self.path}/txs/part={part}/from={span.low}")
         first = span.low if meta["first"] is None else meta["first"]
         publish(self.spark, f"{self.path}/_meta.json", json.dumps({
             "first": first, "last_final": span.high, "parts": [*meta["parts"], part], "with_txs": [*meta["with_txs"], *([part] if txs is not None else [])]}))
@@ -187,6 +187,18 @@ class BlockStore:
     def _part_logs(self, part: int) -> DataFrame:
         return self.spark.read.schema(LOGS).parquet(f"{self.path}/logs/part={part}")
 
+    def part(self, part: int) -> tuple[DataFrame, DataFrame]:
+        """Blocks and logs of one batch."""
+        return self._read("blocks", BLOCKS, [part]), self._read("logs", LOGS, [part])
+
+    def add_txs(self, part: int, start: int, txs: DataFrame) -> None:
+        """Transactions of a batch's blocks from one on, which count once the batch is done; asked again they replace themselves."""
+        txs.sortWithinPartitions("block_number", "tx_index").write.mode("overwrite").parquet(f"{self.path}/txs/part={part}/from={start}")
+
+    def txs_done(self, part: int) -> None:
+        meta = self.meta
+        publish(self.spark, f"{self.path}/_meta.json", json.dumps(meta | {"with_txs": sorted({*meta["with_txs"], part})}))
+
     def status(self) -> DataFrame:
         """One row for each table: rows, first and last block, distinct blocks."""
         out = None

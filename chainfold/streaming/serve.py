@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainfold.operators.filtering import keep
+from chainfold.operators.filtering import keep, sized
 from chainfold.operators.enrich import select_by_mask, tx_mask
 
 from .live import ReorgExceedsFinalityDepth, changes
@@ -40,9 +40,17 @@ class Subscription:
         if not self.addresses and not self.topics:
             raise ValueError("a subscription without a filter would send everything")
         self._seen: DataFrame | None = None
+        self.children: DataFrame | None = None
 
-    def _push(self, logs: DataFrame, txs: DataFrame | None, start: int, end: int) -> Frame:
+    def _kept(self, logs: DataFrame, start: int, end: int) -> DataFrame:
         kept = keep(logs, self.addresses, self.topics, start=start, end=end)
+        if self.children is None:
+            return kept
+        others = keep(logs, (), self.topics, self.addresses, start, end)
+        return kept.unionByName(others.join(sized(self.children), "address", "left_semi"))
+
+    def _push(self, logs: DataFrame, txs: DataFrame | None, start: int, end: int) -> Frame:
+        kept = self._kept(logs, start, end)
         return Frame("push", end, kept, select_by_mask(txs, tx_mask(kept)) if self.with_txs and txs is not None else None)
 
     def backfill(self, logs: DataFrame, last_final: int, txs: DataFrame | None = None) -> list[Frame]:
@@ -73,3 +81,9 @@ class Subscription:
         if self.addresses and address not in self.addresses:
             self.addresses.append(address)
         return Frame("push", self.cursor, keep(logs, [address], self.topics, start=since, end=self.cursor))
+
+    def add_children(self, found: DataFrame, logs: DataFrame, since: int) -> Frame:
+        """Follow a table of addresses, with their logs from the block of the first creation up to the cursor."""
+        self.children = found if self.children is None else self.children.unionByName(found).distinct()
+        fresh = keep(logs, (), self.topics, self.addresses, since, self.cursor)
+        return Frame("push", self.cursor, fresh.join(sized(found), "address", "left_semi"))
