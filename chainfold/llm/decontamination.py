@@ -17,7 +17,8 @@ repeated items count once, repeated documents are judged alike; empty tables giv
 results.
 
 The query's column `contaminated` asks for windows of LEAST_ITEMS items. The pipeline's stage drops a
-document with a window of any item.
+document with a whole window of any item; items shorter than a window are common phrases as well, and
+do not condemn a document by themselves.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD_BREAK, Scratch, add_columns, pack, table, unpack
+from .common import LOWER, UPPER, WORD_BREAK, Scratch, add_columns, ascii_lower, pack, table, unpack, word_array
 
 WINDOW = 8
 LEAST_ITEMS = 2
@@ -226,8 +227,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a window of any item, all columns as they were."""
-    return unpack(find_benchmark(docs, benchmark).where(F.size("items") == 0), docs)
+    """The documents without WINDOW consecutive words of any item, all columns as they were."""
+    long = benchmark.where(F.size(word_array(ascii_lower(F.col("text")))) >= WINDOW)
+    return unpack(find_benchmark(docs, long).where(F.size("items") == 0), docs)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
