@@ -120,14 +120,6 @@ def block_range(spark, d):
     return filtering.keep(event_logs(spark, d), start=142_010_000, end=142_050_000).select(F.col("log_index").cast("long").alias("event_id"), "block_number")
 
 
-@query(f"{_E} SELECT event_id FROM e WHERE event_type = 'error' AND user_id IN (3, 4, 5)")
-def bloom_superset(spark, d):
-    logs = event_logs(spark, d)
-    addresses, topics = [addr(3), addr(4), addr(5)], [EVENT["error"].topic0]
-    blocks = filtering.candidate_blocks(filtering.block_blooms(logs), addresses, topics)
-    return filtering.keep(logs.join(blocks, "block_number", "left_semi"), addresses, topics).select(F.col("log_index").cast("long").alias("event_id"))
-
-
 @query("""SELECT l_orderkey AS "order", count(*) AS n, CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS BIGINT) AS quantity FROM lineitem
     WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey""")
 def factory_children(spark, d):
@@ -265,11 +257,6 @@ def newest_page(spark, d):
     return store.newest_page(rows, "id", offset=5).select("event_id", "user_id")
 
 
-@query(f"{_E} SELECT event_id, user_id, event_type FROM e WHERE event_id = 123")
-def point_read(spark, d):
-    return event_logs(spark, d).where(F.col("log_index") == 123).select(F.col("log_index").cast("long").alias("event_id"), "user_id", "event_type")
-
-
 @query("""SELECT l_orderkey AS block_number, o_custkey AS sender, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, o_custkey""")
 def tx_enrich(spark, d):
@@ -396,15 +383,6 @@ def hex_address(spark, d):
     return event_logs(spark, d).select("user_id", text.hex_address(F.col("address")).alias("address")).distinct()
 
 
-@query(f"""{_E} SELECT 'logs' AS store, count(*) AS rows, min(block_number) AS first, max(block_number) AS last, count(DISTINCT block_number) AS blocks FROM e
-    UNION ALL SELECT 'purchases', count(*), min(block_number), max(block_number), count(DISTINCT block_number) FROM e WHERE event_type = 'purchase'""")
-def store_status(spark, d):
-    logs = event_logs(spark, d)
-    one = lambda name, rows: rows.agg(F.lit(name).alias("store"), F.count("*").alias("rows"), F.min("block_number").alias("first"),
-                                      F.max("block_number").alias("last"), F.count_distinct("block_number").alias("blocks"))
-    return one("logs", logs).unionByName(one("purchases", filtering.keep(logs, (), [EVENT["purchase"].topic0])))
-
-
 @query(f"{_E} SELECT event_id, user_id, cents, block_number FROM e WHERE event_type = 'error'")
 def json_logs(spark, d):
     logs = filtering.keep(event_logs(spark, d), (), [EVENT["error"].topic0])

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from chainfold.operators import folds
 from chainfold.operators.filtering import block_blooms, candidate_blocks, require_dense
 
-from .schemas import BLOCKS, BUCKET, LOGS, ORDER, TXS
+from .schemas import BLOCKS, BUCKET, FINALITY, LOGS, ORDER, TXS
 
 
 #: Layers of changed rows above a base, and versions that old readers may still hold.
@@ -212,13 +212,13 @@ class BlockStore:
 class PendingStore:
     """The snapshot of blocks above finality, replaced as a whole: readers see one snapshot or the next."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, depth: int = FINALITY):
+        self.spark, self.path, self.depth = spark, path.rstrip("/"), depth
 
     def write(self, blocks: DataFrame, logs: DataFrame, txs: DataFrame | None = None) -> int:
         from chainfold.streaming.live import require_snapshot
 
-        require_snapshot(blocks)
+        require_snapshot(blocks, self.depth)
         number = self.number() + 1
         folder = f"{self.path}/snapshot={number}"
         blocks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/blocks")
