@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from chainfold.functions.keccak import keccak256
+from chainfold.functions.keccak import keccak256, keccak256_all
 
 from .schemas import BLOCKS, LOGS, TXS
 
@@ -236,14 +237,18 @@ def header_blocks(dump: DataFrame, hashes: DataFrame | None = None, known: DataF
 
     Of repeated blocks the one with the canonical hash stands, or without `hashes` the least.
     """
-    def decode(r):
-        header = bytes(r.header)
-        fields, _ = rlp_item(header)
-        yield r.block_number, keccak256(header), fields[0], header_timestamp(header)
+    schema = to_arrow_schema(BLOCKS)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            headers = batch.column("header").to_pylist()
+            fields = [rlp_item(h)[0] for h in headers]
+            yield pa.RecordBatch.from_arrays([batch.column("block_number"), pa.array(keccak256_all(headers), pa.binary()), pa.array([f[0] for f in fields], pa.binary()),
+                                              pa.array(map(header_timestamp, headers), pa.int64())], schema=schema)
 
     if known is not None:
         dump = dump.join(known.select("block_number"), "block_number", "left_anti")
-    rows = _rows(dump.select("block_number", "header"), decode, BLOCKS)
+    rows = dump.select(F.col("block_number").cast("long").alias("block_number"), "header").mapInArrow(decode, BLOCKS)
     if hashes is not None:
         rows = canonical(rows, hashes)
     return rows.groupBy("block_number").agg(F.min(F.struct("block_hash", "parent_hash", "ts")).alias("b")).select("block_number", "b.*")
@@ -255,7 +260,7 @@ def with_hash(dump: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([keccak256(h) for h in batch.column("header").to_pylist()], pa.binary())
+            made = pa.array(keccak256_all(batch.column("header").to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "block_hash"])
 
     return dump.mapInArrow(run, out)

@@ -146,3 +146,11 @@ def test_call_returns(spark):
     assert (got[2].ok, got[2].v0) == (False, None) and got[3].ok is False
     name = spark.createDataFrame([(w(32) + w(3) + b"abc".ljust(32, b"\0"),), (w(32) + w(99),)], "v binary").select(abi.decode_returns(F.col("v"), "string").alias("x")).collect()
     assert [(r.x.ok, r.x.v0) for r in name] == [(True, "abc"), (False, None)]
+
+
+def test_many_hashes_at_once():
+    from chainfold.functions.keccak import keccak256, keccak256_all
+
+    messages = [bytes((7 * k + j) % 256 for j in range(n)) for k, n in enumerate([0, 1, 31, 135, 136, 137, 271, 272, 273, 600, 600, 5])]
+    assert keccak256_all(messages) == [keccak256(m) for m in messages] and keccak256_all([]) == []
+    assert keccak256_all([b""])[0].hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
