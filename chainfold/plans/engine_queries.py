@@ -658,14 +658,14 @@ def rpc_chain(spark, d):
     return blocks.join(txs, "block_number").select("block_number", "ts", number("from").alias("sender"), unsigned("value").alias("value"))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS block_number, 1 AS tx_index FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS block_number, 1 AS tx_index, CAST(n_regionkey + 1 AS BIGINT) AS sender FROM nation")
 def rpc_import_txs(spark, d):
     """Transactions of a store that has none, fetched in spans, then there for every block."""
     url, blocks = _recording(spark, d), BlockStore(spark, folder(spark, "txs"))
     found, logs, _ = rpc.chain(spark, url)(0, 24)
     blocks.append(logs, found)
     rpc.import_txs(blocks, url, span=10)
-    return blocks.txs.join(blocks.tx_blocks.select("block_number"), "block_number").select("block_number", "tx_index")
+    return blocks.txs.join(blocks.tx_blocks.select("block_number"), "block_number").select("block_number", "tx_index", number("from").alias("sender"))
 
 
 @query("SELECT c_custkey AS block_number, c_custkey * 12 AS ts FROM customer")
@@ -689,7 +689,7 @@ def missing_txs(spark, d):
     return rpc.missing_txs(logs, have)
 
 
-@query(f"{_E}, top AS (SELECT max(block_number) AS t FROM e) SELECT DISTINCT block_number, 0 AS tx_index, block_number AS value FROM e, top WHERE block_number BETWEEN t - 3000 AND t - 64")
+@query(f"{_E}, top AS (SELECT max(block_number) AS t FROM e) SELECT DISTINCT block_number, 0 AS tx_index, block_number AS value, block_number AS sender FROM e, top WHERE block_number BETWEEN t - 3000 AND t - 64")
 def mirrored_txs(spark, d):
     """Transactions of blocks that became final came with them through the ring."""
     top, home = span(token_logs(spark, d))[1], folder(spark, "mirror")
@@ -698,7 +698,7 @@ def mirrored_txs(spark, d):
     ingest.advance(top - 30, start=top - 3_000)
     ingest.advance(top)
     covered = blocks.txs.join(blocks.tx_blocks.select("block_number"), "block_number", "left_semi")
-    return covered.select("block_number", "tx_index", unsigned("value").alias("value"))
+    return covered.select("block_number", "tx_index", unsigned("value").alias("value"), number("from").alias("sender"))
 
 
 # decoding
@@ -925,8 +925,8 @@ def pairs_state(spark, d):
 
     indexer = Indexer(spark, blocks, f"{home}/run", pairs.manifest(factory), pairs.handler, answer)
     indexer.run()
-    return indexer.state.view().table(pairs.ENTITIES[0].store_name).select(
-        number("id").alias("id"), number("token0").alias("token0"), F.col("token0_decimals").cast("int").alias("token0_decimals"), F.coalesce(F.col("reserve0").cast("long"), F.lit(-1)).alias("reserve0"))
+    return indexer.state.view().table("pools").select(
+        number("id").alias("id"), number("first_token").alias("token0"), F.col("first_decimals").cast("int").alias("token0_decimals"), F.coalesce(F.col("first_reserve").cast("long"), F.lit(-1)).alias("reserve0"))
 
 
 @query("SELECT c_custkey AS label, c_name AS name, c_custkey % 7 AS owner FROM customer")
@@ -946,8 +946,7 @@ def registry_names(spark, d):
     blocks.append(registered(1, F.lit(b"an earlier name that is longer than a word of thirty-two bytes"), F.lit(3)).unionByName(registered(2, name, F.col("c_custkey") % 7)), dense_blocks(spark, 1, 2))
     indexer = Indexer(spark, blocks, f"{home}/run", registry.manifest(TOKEN), registry.handler)
     indexer.run()
-    key = registry.ENTITIES[0].key
-    return indexer.state.view().table(registry.ENTITIES[0].store_name).select(number(key).alias("label"), F.col("name").cast("string").alias("name"), number("owner").alias("owner"))
+    return indexer.state.view().table("labels").select(number("label").alias("label"), F.col("text").cast("string").alias("name"), number("holder").alias("owner"))
 
 
 @query(f"{_LEGS} SELECT id, CAST(sum(v) AS BIGINT) AS balance FROM legs GROUP BY id")

@@ -178,7 +178,7 @@ class BlockStore:
         every.select("block_number", *[F.coalesce(c, empty).alias(c) for c in ("topic_bits", "address_bits")]).sortWithinPartitions(
             "block_number").write.mode("overwrite").parquet(f"{self.path}/blooms/part={part}")
         if txs is not None:
-            after(txs).sortWithinPartitions("block_number", "tx_index").write.mode("overwrite").parquet(f"{self.path}/txs/part={part}/from={span.low}")
+            after(txs).sortWithinPartitions("block_number", "tx_index").write.mode("overwrite").parquet(f"{self.path}/txs/part={part}/start={span.low}")
         first = span.low if meta["first"] is None else meta["first"]
         publish(self.spark, f"{self.path}/_meta.json", json.dumps({
             "first": first, "last_final": span.high, "parts": [*meta["parts"], part], "with_txs": [*meta["with_txs"], *([part] if txs is not None else [])]}))
@@ -193,7 +193,7 @@ class BlockStore:
 
     def add_txs(self, part: int, start: int, txs: DataFrame) -> None:
         """Transactions of a batch's blocks from one on, which count once the batch is done; asked again they replace themselves."""
-        txs.sortWithinPartitions("block_number", "tx_index").write.mode("overwrite").parquet(f"{self.path}/txs/part={part}/from={start}")
+        txs.sortWithinPartitions("block_number", "tx_index").write.mode("overwrite").parquet(f"{self.path}/txs/part={part}/start={start}")
 
     def txs_done(self, part: int) -> None:
         meta = self.meta
