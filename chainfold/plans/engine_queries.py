@@ -145,7 +145,7 @@ def bloom_blocks(spark, d):
     blocks, keys = built(spark, d)[0], ([addr(3), addr(4), addr(5)], [EVENT["error"].topic0])
     found = filtering.candidate_blocks(blocks.blooms, *keys)
     true = filtering.keep(blocks.logs, *keys).select("block_number").distinct()
-    return true.join(found, "block_number", "left_semi").agg(F.count("*").alias("missed_none")).withColumn("filters", F.lit(blocks.blooms.count()))
+    return true.join(found, "block_number", "left_semi").agg(F.count("*").alias("missed_none")).withColumn("filters", F.lit(blocks.blooms.count()).cast("long"))
 
 
 @query(values([("a gap", "StoreError"), ("below the end", "142221000 kept"), ("a foreign file", "StoreError"), ("not there", "nothing")], '"case", outcome').replace("142221000 kept", "ignored"))
