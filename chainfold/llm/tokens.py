@@ -42,9 +42,9 @@ from .repair import FIRST_RULE, Grammar, compress
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-PIECES = 1_000_000
+PIECES = 500_000
 #: Texts that reach a worker at once: more of them repeat more words, and are numbered in less time.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 _SCHEMA = ("part int, shard int, doc_ids array<long>, n_tokens long, symbols binary, ends binary, rules binary, lengths binary, first_rule int")
 
 
@@ -147,16 +147,17 @@ class Encoder:
         lines = pc.split_pattern(pc.replace_substring_regex(blanks, _MARK, r"\1 \2 "), " ")
         pieces = lines.flatten().dictionary_encode()
         values = self._values(pieces.dictionary.to_pylist())
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        first = np.cumsum(size) - size
+        # a batch has far fewer than 2**31 ids, and these are its largest arrays
+        size = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
         flat = np.frombuffer(b"".join(values), "<u4")
         which = pieces.indices.to_numpy()
         width = size[which]
-        upto = np.cumsum(width)
+        upto = np.cumsum(width, dtype=np.int32)
         total = int(upto[-1]) if len(upto) else 0
-        ids = flat[np.repeat(first[which] - upto + width, width) + np.arange(total)]
-        ends = np.concatenate([[0], upto])[lines.offsets.to_numpy() - lines.offsets[0].as_py()]
-        return ids, np.diff(ends)
+        ids = flat[np.repeat(first[which] - upto + width, width) + np.arange(total, dtype=np.int32)]
+        ends = np.concatenate([np.zeros(1, np.int32), upto])[lines.offsets.to_numpy() - lines.offsets[0].as_py()]
+        return ids, np.diff(ends).astype(np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
