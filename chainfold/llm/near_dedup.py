@@ -334,11 +334,11 @@ def _against(block, percent: int):
     def make():
         held = block.value  # the index built from it stays with the worker
         if "values" not in held:
-            raw = [np.frombuffer(x, np.uint64) for x in held["sets"]]
+            raw = [np.frombuffer(x, np.uint64) for x in held.pop("sets")]
             held["sizes"] = np.array([len(x) for x in raw])
             every = np.concatenate(raw)
-            order = np.argsort(every, kind="stable")
-            held["values"], held["owner"] = every[order], np.repeat(np.arange(len(raw)), held["sizes"])[order]
+            order = np.argsort(every, kind="stable").astype(np.int32)
+            held["values"], held["owner"] = every[order], np.repeat(np.arange(len(raw), dtype=np.int32), held["sizes"])[order]
         values, owner, sizes = held["values"], held["owner"], held["sizes"]
         cids, roots, seen = np.array(held["cids"]), np.array(held["roots"]), set()
 
