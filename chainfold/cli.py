@@ -24,7 +24,8 @@ from chainfold.streaming.remote import Server
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="chainfold")
-    top.add_argument("--verbose", action="store_true")
+    top.add_argument("--verbose", action="store_true", help="say what is scanned, filled and committed, besides reorganisations")
+    top.add_argument("--quiet", action="store_true", help="say errors only")
     sub = top.add_subparsers(dest="command", required=True)
     load = sub.add_parser("import", help="take receipts, bodies and headers from a Parquet dump into a store")
     load.add_argument("dump", help="Parquet with block_number, receipts, header and perhaps body")
@@ -109,7 +110,8 @@ def follow(spark: SparkSession, indexer: Indexer, store: BlockStore, args: argpa
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=logging.INFO if args.verbose else logging.WARNING)
+    logging.basicConfig(level=logging.INFO if args.verbose else logging.ERROR if args.quiet else logging.WARNING)
+    logging.getLogger("chainfold").setLevel(logging.INFO if args.verbose else logging.ERROR if args.quiet else logging.WARNING)
     spark = spark or SparkSession.builder.appName("chainfold").getOrCreate()
     store = BlockStore(spark, args.store)
     if args.command == "import":

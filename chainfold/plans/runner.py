@@ -151,6 +151,7 @@ class Indexer:
         self.stats |= {"scanned_blocks": end - start + 1, "matched_blocks": written.b, "kept_logs": written.n}
         meta |= {"parts": [*meta["parts"], folder], "scanned_to": end}
         store.publish(self.spark, f"{self.path}/index.json", json.dumps(meta))
+        log.info("blocks %d to %d: %d logs of %d blocks kept", start, end, written.n, written.b)
         return end
 
     def index(self) -> DataFrame:
@@ -198,7 +199,9 @@ class Indexer:
     def _commit(self, state: State, cursor: int, scanned_to: int, batch_id: int = -1) -> store.Version:
         view = self.state.view()
         mutable = {name: (delta.changed(view.table(name)), delta.key) for name, delta in state.mutable.items()}
-        return self.state.commit(mutable, {n: (df, "id") for n, df in state.immutable.items()}, cursor, scanned_to, self.manifest.fingerprint(), batch_id)
+        made = self.state.commit(mutable, {n: (df, "id") for n, df in state.immutable.items()}, cursor, scanned_to, self.manifest.fingerprint(), batch_id)
+        log.info("version %d: blocks to %d, rows %s", made.number, scanned_to, made.counts)
+        return made
 
     def commit(self, state: State, cursor: int) -> store.Version:
         """Commit what a fold of logs up to a block made."""

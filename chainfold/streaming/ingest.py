@@ -8,6 +8,7 @@ between the two repeats itself without harm. Blocks further behind go to the sto
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from chainfold.sources.store import BlockStore, PendingStore
 
 from .live import BrokenChain, ReorgExceedsFinalityDepth, fork_point, require_chain
 
+log = logging.getLogger("chainfold")
+
 #: Blocks that are appended to the store at once.
 SPAN = 10_000
 #: How often a span is asked for again if the chain moved meanwhile.
@@ -41,6 +44,7 @@ class HeadIngest:
             raise ReorgExceedsFinalityDepth(f"the head is {head}, below all pending blocks from {low}")
         fork = fork_point(ring, self.chain(low, min(high, head))[0])
         if fork is not None:
+            log.warning("pending blocks from %d left the chain", fork)
             self.pending.truncate(fork)
         return fork
 
@@ -60,6 +64,7 @@ class HeadIngest:
             return
         self.store.append(logs.where(upto), blocks.where(upto), None if txs is None else txs.where(upto))
         self.pending.drop_final(last_final)
+        log.info("blocks to %d are final", last_final)
 
     def _take(self, start: int, end: int, to_store: bool) -> None:
         blocks, logs, txs = self.chain(start, end)
@@ -87,9 +92,10 @@ class HeadIngest:
                 if at <= head:
                     self._take(at, head, to_store=False)
                 return last_final
-            except BrokenChain:
+            except BrokenChain as error:
                 if attempt + 1 == TRIES:
                     raise
+                log.warning("%s; asking again", error)
         raise AssertionError("not reached")
 
     def snapshot(self) -> tuple[DataFrame, DataFrame, int]:

@@ -7,6 +7,7 @@ replaces pending blocks, so there is nothing to undo: the next read folds what i
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -18,6 +19,8 @@ from chainfold.operators.filtering import child_logs, children_of, primary_logs
 from chainfold.plans.manifest import Manifest
 from chainfold.sources.schemas import FINALITY
 
+log = logging.getLogger("chainfold")
+
 #: A follower whose store is further behind than this is refused: import first.
 GAP_LIMIT = 1_000
 
@@ -169,6 +172,7 @@ class Follower:
             raise BrokenChain(f"blocks {self.cursor + 1} to {low - 1} are not pending and not final")
         if self.fill is None:
             raise BrokenChain(f"blocks {self.cursor + 1} to {low - 1} are in neither snapshot, and there is nothing to fill the gap from")
+        log.info("filling blocks %d to %d", self.cursor + 1, low - 1)
         self._promote(*self.fill(self.cursor + 1, low - 1), low - 1, batch_id)
 
     def relevant(self, logs: DataFrame) -> DataFrame:
@@ -202,6 +206,8 @@ class Follower:
             self._fill(first.block_number, last_final, batch_id)
         if first is not None and first.block_number == self.cursor + 1 and None not in (self.final_hash, first.parent_hash) and bytes(first.parent_hash) != self.final_hash:
             raise ReorgExceedsFinalityDepth(f"block {first.block_number} does not follow block {self.cursor}, which is committed")
+        if found.reorg_from is not None:
+            log.warning("a reorganisation from block %d", found.reorg_from)
         keep = F.col("block_number") > self.cursor
         self.pending = Pending(blocks.where(keep), logs.where(keep))
         self.batch_id = batch_id if batch_id is not None else self.batch_id + 1

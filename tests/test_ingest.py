@@ -57,11 +57,14 @@ def test_head_goes_through_the_ring(spark, chain):
     assert ingest.advance(45) == 37 and 34 in numbers(ingest.store.blocks) and 34 not in numbers(ingest.store.tx_blocks)
 
 
-def test_forks_are_found_by_hashes(spark, chain):
+def test_forks_are_found_by_hashes(spark, chain, caplog):
     fake, ingest = chain
-    ingest.advance(30, start=0)
+    with caplog.at_level("INFO", "chainfold"):
+        ingest.advance(30, start=0)
+    assert caplog.messages == []  # nothing was pending that could become final
     fake.fork = 28
     assert ingest.resolve(31) == 28 and numbers(ingest.pending.read()[0]) == [23, 24, 25, 26, 27]
+    assert "from 28 left the chain" in caplog.text
     ingest.advance(31)
     logs = {r.block_number: number(r.data) for r in ingest.pending.read()[1].collect()}
     assert logs == {n: 1 if n < 28 else 100 for n in range(24, 32)} and numbers(ingest.store.blocks) == list(range(24))
