@@ -887,6 +887,61 @@ def prefetch_batches(spark, d):
     return asked.agg(F.count("*").alias("calls")).crossJoin(F.broadcast(done.agg(F.count("*").alias("answered"))))
 
 
+@query(values([("no transactions", "TxFieldsUnavailable"), ("transactions of all blocks", "taken"), ("a log without its transaction", "refused")], '"case", outcome'))
+def tx_refusals(spark, d):
+    """A manifest that wants transactions needs them for every block, and every log needs its own."""
+    from .runner import TxFieldsUnavailable
+
+    home, out = folder(spark, "refused"), []
+    paid = Event("Transfer(address indexed from, address indexed to, uint256 value)", tx_fields=True)
+    m = Manifest("paid", 1, 0, contracts=(Contract("t", TOKEN, (paid,)),))
+    top = span(token_logs(spark, d))[1]
+    blocks, logs, txs = _chain(spark, d)(top - 500, top)
+    for case, given in {"no transactions": None, "transactions of all blocks": txs}.items():
+        there = BlockStore(spark, f"{home}/{len(out)}")
+        there.append(logs, blocks, given)
+        try:
+            Indexer(spark, there, f"{home}/run{len(out)}", m, erc20.handler).build_index()
+            out.append((case, "taken"))
+        except TxFieldsUnavailable:
+            out.append((case, "TxFieldsUnavailable"))
+    try:
+        enrich.with_transactions(logs, txs.limit(0)).write.format("noop").mode("overwrite").save()
+        out.append(("a log without its transaction", "taken"))
+    except Exception as error:
+        out.append(("a log without its transaction", "refused" if "MissingTxRecord" in str(error) else "failed"))
+    return told(spark, out, "case string, outcome string")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey + 50000000 AS BIGINT) AS token, CASE WHEN n_nationkey % 2 = 0 THEN 6 ELSE 18 END AS decimals FROM nation")
+def tip_prefetch(spark, d):
+    """Pools of pending blocks: their tokens are asked for when the tip is read."""
+    home, factory = folder(spark, "tip"), b"\xfa" * 20
+    made = _table(spark, d, "nation").select(
+        F.lit(11).cast("long").alias("block_number"), F.lit(0).alias("tx_index"), F.col("n_nationkey").cast("int").alias("log_index"), F.lit(factory).alias("address"),
+        F.array(F.lit(pairs.CREATED.topic0), as_word(F.lit(1)), as_word(F.lit(2))).alias("topics"), F.lit(pairs.CREATED.topic0).alias("topic0"),
+        F.concat(F.lit(bytes(12)), as_address(F.col("n_nationkey")), as_word(F.lit(1))).alias("data"), F.lit(None).cast("binary").alias("tx_hash"))
+    blocks = BlockStore(spark, f"{home}/store")
+    blocks.append(spark.createDataFrame([], LOGS), dense_blocks(spark, 1, 10))
+    indexer = Indexer(spark, blocks, f"{home}/run", pairs.manifest(factory, start_block=1), pairs.handler, _pool_answer)
+    indexer.start().tick(dense_blocks(spark, 11, 12), made, 10)
+    return indexer.tip("pools").select(number("id").alias("id"), number("first_token").alias("token"), F.col("first_decimals").cast("int").alias("decimals"))
+
+
+def _pool_answer(calls):
+    """token0() of a pool is its number and fifty million; decimals() of even tokens are 6; nothing else answers."""
+    out = []
+    for target, data in calls:
+        n = int.from_bytes(target, "big")
+        if data == selector("token0()"):
+            out.append((0, (n + 50_000_000).to_bytes(32, "big")))
+        elif data == selector("decimals()") and n % 2 == 0:
+            out.append((0, (6).to_bytes(32, "big")))
+        else:
+            out.append((1, b""))
+    return out
+
+
 # the other indexers
 
 @query("""WITH s AS (SELECT l_orderkey AS id, arg_max(CAST(round(l_quantity * 100) AS BIGINT), k) AS reserve0 FROM (SELECT l_orderkey, l_quantity,
@@ -911,19 +966,7 @@ def pairs_state(spark, d):
     blocks = BlockStore(spark, f"{home}/store")
     blocks.append(made.unionByName(synced), dense_blocks(spark, 1, 2))
 
-    def answer(calls):
-        out = []
-        for target, data in calls:
-            n = int.from_bytes(target, "big")
-            if data == selector("token0()"):
-                out.append((0, (n + 50_000_000).to_bytes(32, "big")))
-            elif data == selector("decimals()") and n % 2 == 0:
-                out.append((0, (6).to_bytes(32, "big")))
-            else:
-                out.append((1, b""))
-        return out
-
-    indexer = Indexer(spark, blocks, f"{home}/run", pairs.manifest(factory), pairs.handler, answer)
+    indexer = Indexer(spark, blocks, f"{home}/run", pairs.manifest(factory), pairs.handler, _pool_answer)
     indexer.run()
     return indexer.state.view().table("pools").select(
         number("id").alias("id"), number("first_token").alias("token0"), F.col("first_decimals").cast("int").alias("token0_decimals"), F.coalesce(F.col("first_reserve").cast("long"), F.lit(-1)).alias("reserve0"))

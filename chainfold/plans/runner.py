@@ -14,17 +14,20 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainfold.functions import abi
 from chainfold.functions.keccak import selector
 from chainfold.operators import enrich, filtering, folds, prefetch
 from chainfold.sources import store
-from chainfold.sources.schemas import CALL_CACHE, ORDER
+from chainfold.sources.schemas import CALL_CACHE, LOGS, ORDER
 from chainfold.streaming import live
 
 from .manifest import Entity, Manifest, ManifestError
 
 log = logging.getLogger("chainfold")
+#: Kept logs; a part without any has no file to tell its schema.
+_INDEXED = T.StructType([*LOGS.fields, T.StructField("bucket", T.StringType())])
 
 
 @dataclass
@@ -147,7 +150,7 @@ class Indexer:
         else:
             self.spark.createDataFrame([], "address binary").write.mode("overwrite").parquet(f"{folder}-children")
         kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        written = self.spark.read.parquet(folder).agg(F.count("*").alias("n"), F.count_distinct("block_number").alias("b")).first()
+        written = self.spark.read.schema(_INDEXED).parquet(folder).agg(F.count("*").alias("n"), F.count_distinct("block_number").alias("b")).first()
         self.stats |= {"scanned_blocks": end - start + 1, "matched_blocks": written.b, "kept_logs": written.n}
         meta |= {"parts": [*meta["parts"], folder], "scanned_to": end}
         store.publish(self.spark, f"{self.path}/index.json", json.dumps(meta))
@@ -156,7 +159,7 @@ class Indexer:
 
     def index(self) -> DataFrame:
         parts = self._index_meta()["parts"]
-        frames = [self.spark.read.parquet(p) for p in parts]
+        frames = [self.spark.read.schema(_INDEXED).parquet(p) for p in parts]
         if not frames:
             return self.blocks.logs.withColumn("bucket", F.lit("primary")).limit(0)
         out = frames[0]

@@ -199,3 +199,12 @@ def test_transactions_have_to_cover_the_range(spark, tmp_path):
     other = BlockStore(spark, f"{tmp_path}/other")
     other.append(logs_of(spark, [transfer(1, A, B, 1)]), blocks_of(spark, [1]), spark.createDataFrame([(1, 0, 2, A, B, word(1), False)], TXS))
     assert Indexer(spark, other, f"{tmp_path}/run2", m, lambda events, context: None).build_index() == 1
+
+
+def test_a_run_that_keeps_nothing(spark, tmp_path):
+    store = BlockStore(spark, f"{tmp_path}/store")
+    store.append(logs_of(spark, [transfer(1, A, B, 1, token=addr(9))]), blocks_of(spark, [1]))
+    indexer = Indexer(spark, store, f"{tmp_path}/run", erc20.manifest(T, start_block=1), erc20.handler)
+    assert indexer.run().scanned_to == 1 and indexer.index().count() == 0
+    store.append(logs_of(spark, [transfer(2, A, B, 1)]), blocks_of(spark, [2]))
+    assert indexer.run().cursor == 2 and balances(indexer)[B] == 1
