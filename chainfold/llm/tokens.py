@@ -42,7 +42,7 @@ from .repair import FIRST_RULE, Grammar, compress
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-PIECES = 500_000
+PIECES = 800_000
 #: Texts that reach a worker at once: more of them repeat more words, and are numbered in less time.
 TEXT_BYTES = 8 << 20
 _SCHEMA = ("part int, shard int, doc_ids array<long>, n_tokens long, symbols binary, ends binary, rules binary, lengths binary, first_rule int")
@@ -82,8 +82,7 @@ class Encoder:
         self.closes = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), bool)
         for token, k in self.whole.get_vocab(with_added_tokens=False).items():
             self.closes[k] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}  # of simple letters only
-        self.others: dict[str, bytes] = {}
+        self.store: dict[str, bytes] = {}  # the ids of each piece seen
         self.marks = {m: self._whole(m).tobytes() for m in ".,"}
 
     def _learn_words(self, words: list[str]) -> bool:
@@ -93,39 +92,42 @@ class Encoder:
         cuts = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
         if len(cuts) != len(words):
             return False
-        self.words.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        self.store.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
         return True
 
-    def _learn_others(self, pieces: list[str], into: dict[str, bytes]) -> None:
-        for piece, e in zip(pieces, self.whole.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            into[piece] = np.array(e.ids, "<u4").tobytes()
+    def _learn_others(self, pieces: list[str]) -> None:
+        made = [e.ids for e in self.whole.encode_batch_fast(pieces, add_special_tokens=False)]
+        raw = np.array([i for ids in made for i in ids], "<u4").tobytes()
+        at = 0
+        for piece, ids in zip(pieces, made, strict=True):
+            self.store[piece] = raw[at : at + 4 * len(ids)]
+            at += 4 * len(ids)
 
     def _values(self, names: list[str]) -> list[bytes]:
-        """The ids of each piece, from the stores or learnt."""
-        words, others, marks = self.words, self.others, self.marks
-        values = list(map(words.get, names))
-        new_words, new_others, later = set(), set(), []
-        for i in [i for i, v in enumerate(values) if v is None]:
+        """The ids of each piece, from the store or learnt."""
+        store, marks = self.store, self.marks
+        values = list(map(store.get, names))
+        missing = [i for i, v in enumerate(values) if v is None]
+        new_words, new_others, later = [], [], []
+        for i in missing:
             name = names[i]
+            if name.isalpha() and (name.isascii() or _SIMPLE.fullmatch(name)):
+                new_words.append(name)  # the names of a batch are distinct
             # a full stop or comma after simple letters is a pre-token of its own
-            mark = marks.get(name[-1:], b"")
-            word = name[:-1] if mark else name
-            if mark and (value := words.get(word)) is not None:
-                values[i] = value + mark
-            elif (value := others.get(name)) is not None:
-                values[i] = value
-            elif word.isalpha() and (word.isascii() or _SIMPLE.fullmatch(word)):
-                new_words.add(word)
-                later.append((i, word, mark, words))
+            elif (mark := marks.get(name[-1:])) is not None and (word := name[:-1]).isalpha() and (word.isascii() or _SIMPLE.fullmatch(word)):
+                later.append((i, word, mark))
             else:
-                new_others.add(name)
-                later.append((i, name, b"", others))
-        if new_words and not self._learn_words(list(new_words)):
-            self._learn_others(list(new_words), words)
+                new_others.append(name)
+        if later:
+            new_words += {word for _, word, _ in later}.difference(new_words, store)
+        if new_words and not self._learn_words(new_words):
+            self._learn_others(new_words)
         if new_others:
-            self._learn_others(list(new_others), others)
-        for i, key, mark, store in later:
-            values[i] = store[key] + mark
+            self._learn_others(new_others)
+        for i, word, mark in later:
+            store[names[i]] = store[word] + mark
+        for i in missing:
+            values[i] = store[names[i]]
         return values
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +142,8 @@ class Encoder:
         if special.any():
             found = [self._whole(t) if odd else self.encode(pa.array([t], pa.string()))[0] for t, odd in zip(texts.to_pylist(), special, strict=True)]
             return np.concatenate(found), np.array([len(f) for f in found])
-        for store in (self.words, self.others):
-            if len(store) > PIECES:
-                store.clear()
+        if len(self.store) > PIECES:
+            self.store.clear()
         blanks = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
         lines = pc.split_pattern(pc.replace_substring_regex(blanks, _MARK, r"\1 \2 "), " ")
         pieces = lines.flatten().dictionary_encode()
