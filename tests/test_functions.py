@@ -148,6 +148,18 @@ def test_call_returns(spark):
     assert [(r.x.ok, r.x.v0) for r in name] == [(True, "abc"), (False, None)]
 
 
+def test_dynamic_values_name_their_data_once(spark):
+    """An expression that repeats its places nests their copies: a list named its data some two hundred times."""
+    df = spark.range(1).select(F.lit(w(64) + w(224) + w(0) + w(1)).alias("payload"))
+    event = abi.parse_event("E(uint48[] list, uint48[2] fixed, string note)")
+    for made, most in ((abi.decode_event(event, F.array().cast("array<binary>"), F.col("payload")), 3), (abi.decode_returns(F.col("payload"), "uint48[]", "string"), 1)):
+        plan = df.select(made.alias("x"))._jdf.queryExecution().analyzed().toString().splitlines()[0]
+        assert plan.count("payload#") <= most, plan.count("payload#")
+    whole = w(32) + w(2) + w(5) + w(6)
+    cut = spark.createDataFrame([(whole,), (whole[:96],), (w(32) + w(2**31) + w(5),), (w(2**255) + w(1),), (b"",), (None,)], "v binary").select(abi.decode_value(F.col("v"), 0, abi.parse_type("uint48[]")).alias("x"))
+    assert [r.x for r in cut.collect()] == [[5, 6], [5], [5], [], [], []]
+
+
 def test_many_hashes_at_once():
     from chainfold.functions.keccak import keccak256, keccak256_all
 
