@@ -6,9 +6,10 @@ sets become IN lists, large ones a semi join. Children are found and joined in o
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,19 +124,60 @@ def bloom_positions(key: bytes, bits: int) -> list[int]:
     return [int.from_bytes(padded[2 * k : 2 * k + 2], "big") % bits for k in range(PROBES)]
 
 
-def _positions(key: Column, bits: int) -> Column:
-    padded = F.rpad(F.hex(key), 4 * PROBES, "0")
-    return F.array(*[(F.conv(F.substring(padded, 4 * k + 1, 4), 16, 10).cast("int") % bits) for k in range(PROBES)])
+def _positions(keys: list[bytes], bits: int):
+    """bloom_positions of many keys, a row for each."""
+    import numpy as np
+
+    padded = b"".join([k[: 2 * PROBES].ljust(2 * PROBES, b"\0") for k in keys])
+    return np.frombuffer(padded, ">u2").astype("int64").reshape(-1, PROBES) % bits
+
+
+def _block_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of each block of a partition; a block that goes on in the next batch is carried there, so a large one is few rows."""
+    import numpy as np
+
+    width, held = TOPIC_BITS + ADDRESS_BITS, None
+
+    def made(blocks, codes) -> pa.RecordBatch:
+        owner, bit = np.divmod(codes, width)
+        lists = []
+        for here, low in ((bit < TOPIC_BITS, 0), (bit >= TOPIC_BITS, TOPIC_BITS)):
+            offsets = np.searchsorted(owner[here], np.arange(len(blocks) + 1)).astype("int32")
+            lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array((bit[here] - low).astype("int32"))))
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *lists], ["block_number", "topic_bits", "address_bits"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks, place = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        found = []
+        for column, bits, low in ((1, TOPIC_BITS, 0), (2, ADDRESS_BITS, TOPIC_BITS)):
+            there = batch.column(column).is_valid().to_numpy(zero_copy_only=False)
+            keys = batch.column(column).drop_null().to_pylist()
+            found.append((place[there][:, None] * width + low + _positions(keys, bits)).ravel())
+        if held is not None:
+            k = int(np.searchsorted(blocks, held[0]))
+            if k < len(blocks) and blocks[k] == held[0]:
+                found.append(k * width + held[1])
+            else:
+                yield made(np.array([held[0]]), held[1])
+        codes = np.unique(np.concatenate(found))
+        last = len(blocks) - 1
+        cut = np.searchsorted(codes, last * width)
+        held = (blocks[last], codes[cut:] - last * width)
+        if last:
+            yield made(blocks[:last], codes[:cut])
+    if held is not None:
+        yield made(np.array([held[0]]), held[1])
 
 
 def block_blooms(logs: DataFrame) -> DataFrame:
-    """(block_number, topic_bits, address_bits): the set bits of each block's two filters."""
-    bits = logs.select("block_number", F.explode(F.array_union(
-        F.transform(F.coalesce(_positions(F.col("topic0"), TOPIC_BITS), F.array().cast("array<int>")), lambda p: p),
-        F.transform(_positions(F.col("address"), ADDRESS_BITS), lambda p: p + TOPIC_BITS))).alias("bit")).distinct()
-    return bits.groupBy("block_number").agg(
-        F.array_sort(F.collect_list(F.when(F.col("bit") < TOPIC_BITS, F.col("bit")))).alias("topic_bits"),
-        F.array_sort(F.collect_list(F.when(F.col("bit") >= TOPIC_BITS, F.col("bit") - TOPIC_BITS))).alias("address_bits"))
+    """(block_number, topic_bits, address_bits): the set bits of each block's two filters.
+
+    Each partition makes a row for its blocks, not one for each log and bit: those were fourteen times the logs.
+    """
+    bits = logs.select("block_number", "topic0", "address").mapInArrow(_block_bits, "block_number long, topic_bits array<int>, address_bits array<int>")
+    return bits.groupBy("block_number").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("topic_bits", "address_bits")])
 
 
 def candidate_blocks(blooms: DataFrame, addresses: Iterable[bytes] = (), topics: Iterable[bytes] = (), start: int | None = None, end: int | None = None) -> DataFrame:

@@ -157,7 +157,11 @@ class BlockStore:
         meta = self.meta
         last = meta["last_final"]
         after = lambda df: df if last is None else df.where(F.col("block_number") > last)
-        new = after(blocks)
+        part = max(meta["parts"], default=-1) + 1
+        # written once, then checked: blocks may come from a decoder, and no reader sees a part before it is published
+        path = f"{self.path}/blocks/part={part}"
+        after(blocks).sortWithinPartitions("block_number").write.mode("overwrite").parquet(path)
+        new = self._read("blocks", BLOCKS, [part])
         span = new.agg(F.min("block_number").alias("low"), F.max("block_number").alias("high")).first()
         if span.low is None:
             return last
@@ -167,13 +171,11 @@ class BlockStore:
             require_dense(new, span.low, span.high)
         except LookupError as error:
             raise StoreError(str(error)) from None
-        part = max(meta["parts"], default=-1) + 1
         bucketed = after(logs).withColumn("topic0", F.get("topics", 0)).withColumn("block_bucket", F.floor(F.col("block_number") / BUCKET))
         (bucketed.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.mode("overwrite").partitionBy("block_bucket")
          .option("parquet.bloom.filter.enabled#address", "true").option("parquet.bloom.filter.enabled#topic0", "true")
          .parquet(f"{self.path}/logs/part={part}"))
-        new.sortWithinPartitions("block_number").write.mode("overwrite").parquet(f"{self.path}/blocks/part={part}")
-        every = new.select("block_number").join(block_blooms(self._part_logs(part)), "block_number", "left")
+        every = new.select("block_number").join(block_blooms(self._part_logs(part)).hint("merge"), "block_number", "left")
         empty = F.expr("cast(array() as array<int>)")
         every.select("block_number", *[F.coalesce(c, empty).alias(c) for c in ("topic_bits", "address_bits")]).sortWithinPartitions(
             "block_number").write.mode("overwrite").parquet(f"{self.path}/blooms/part={part}")

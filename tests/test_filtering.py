@@ -101,3 +101,21 @@ def test_density(spark):
     assert filtering.covers(blocks, 2, 3) and not filtering.covers(blocks, 1, 5) and not filtering.covers(blocks.unionAll(blocks), 1, 3)
     with pytest.raises(LookupError):
         filtering.require_dense(blocks, 3, 5)
+
+
+def test_block_filters_are_made_by_partition(spark):
+    """A partition gives a row for each of its blocks; those of a block that several partitions hold are put together."""
+    import pyarrow as pa
+
+    keys = [bytes([k]) * 20 for k in range(60)]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["block_number", "topic0", "address"])
+    many = list(filtering._block_bits(iter([batch([(1, b"\1" * 32, k), (2, None, k)]) for k in keys[:50]] + [batch([(2, b"\2" * 32, keys[50])])])))
+    assert sum(b.num_rows for b in many) < 110
+    one = list(filtering._block_bits(iter([batch([(7, b"\1" * 32, k)]) for k in keys])))
+    assert [b.num_rows for b in one] == [1]
+    df = spark.createDataFrame([(k % 3, (bytes([k % 5]) * 32) if k % 4 else None, keys[k]) for k in range(60)] + [(9, None, b"\x01")], "block_number long, topic0 binary, address binary").repartition(4)
+    got = {r.block_number: r for r in filtering.block_blooms(df).collect()}
+    for n in (0, 1, 2, 9):
+        mine = [r for r in df.collect() if r.block_number == n]
+        assert got[n].address_bits == sorted({p for r in mine for p in filtering.bloom_positions(bytes(r.address), filtering.ADDRESS_BITS)})
+        assert got[n].topic_bits == sorted({p for r in mine if r.topic0 is not None for p in filtering.bloom_positions(bytes(r.topic0), filtering.TOPIC_BITS)})
