@@ -1,11 +1,14 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chainfold.sources import receipts as rc
 from chainfold.sources import rpc
+from chainfold.sources.schemas import LOGS
 from chainfold.sources.store import BlockStore, StateStore, StoreError, newest_page, page
 from tests.chain import addr, blocks_of, logs_of, transfer, word
 
@@ -211,3 +214,13 @@ def test_pages(spark):
     assert [r.id for r in page(rows, "id", 10, 3).collect()] == [10, 11, 12]
     assert [r.id for r in newest_page(rows, "id", 3, 5).collect()] == [144, 143, 142]
     assert newest_page(rows, "id", 500).count() == 100 and newest_page(rows, "id").count() == 20 and newest_page(rows, "id", 5, 500).count() == 0
+
+
+def test_decoded_rows_come_in_small_batches(spark):
+    """What a worker gives at once does not grow with the logs of its blocks, nor what it gets with their bytes."""
+    value = rc.rlp_encode([[b"", 1, bytes(20), [[bytes([k]) * 20, [bytes(32)], bytes(32)] for k in range(5)]]] * 1_000)
+    dump = pa.RecordBatch.from_pylist([{"block_number": n, "receipts": value} for n in range(3)])
+    sizes = [b.num_rows for b in rc._decoded(iter([dump]), lambda r: rc.decode_receipts(r.block_number, r.receipts), to_arrow_schema(LOGS))]
+    assert sum(sizes) == 15_000 and max(sizes) <= rc.OUT_ROWS
+    assert rc.receipt_logs(spark.createDataFrame([(1, value)], "block_number long, receipts binary")).count() == 5_000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= rc.BATCH_BYTES
