@@ -224,3 +224,10 @@ def test_decoded_rows_come_in_small_batches(spark):
     assert sum(sizes) == 15_000 and max(sizes) <= rc.OUT_ROWS
     assert rc.receipt_logs(spark.createDataFrame([(1, value)], "block_number long, receipts binary")).count() == 5_000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= rc.BATCH_BYTES
+
+
+def test_canonical_hashes_are_not_broadcast(spark):
+    """They are as many as the blocks, though an estimate of what Python gives may look small."""
+    dump = spark.createDataFrame([(n, bytes([n]) * 32) for n in range(4)], "block_number long, block_hash binary")
+    plan = rc.canonical(dump, dump)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
