@@ -90,8 +90,13 @@ def fetch_all(calls: DataFrame, fetch: Fetch, seq: int) -> DataFrame:
 
 
 def run_rounds(logs: DataFrame, m: Manifest, cache: DataFrame, fetch: Fetch, write: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """Gather, drop what is cached, fetch, as often as the deepest chain is long. write(results, round) keeps them and returns the whole cache."""
+    """Gather, drop what is cached, fetch, as often as the deepest chain is long. write(results, round) keeps them and returns the whole cache.
+
+    Calls are dealt to as many tasks as run at once: they are few bytes, and what coalesces small partitions would leave one task to fetch all.
+    They are dealt by a hash of their own, since a deal by the columns of the join before is taken as done.
+    """
+    tasks = logs.sparkSession.sparkContext.defaultParallelism
     for k in range(m.prefetch_depth):
-        asked = missing(gather(logs, cache, m), cache)
+        asked = missing(gather(logs, cache, m), cache).repartition(tasks, F.xxhash64("target", "calldata"))
         cache = write(fetch_all(asked, fetch, k + 1), k)
     return cache

@@ -158,6 +158,30 @@ def test_prefetch_rounds(spark, tmp_path):
         missing.select(enrich.require_call(F.col("call"))).collect()
 
 
+def test_calls_of_a_round_are_fetched_by_several_tasks(spark):
+    """Small shuffle partitions are coalesced: all calls of a round came to one task."""
+    n = 200
+    logs = logs_of(spark, [(k, 0, 0, addr(9), [CREATED.topic0], CREATED.topic0, word(k.to_bytes(20, "big")), None) for k in range(1, n + 1)])
+    m = Manifest("m", 1, 0, contracts=(Contract("f", addr(9), (CREATED,)),), prefetch=(Prefetch(CREATED, (Call("token()", Target("param", "pool")),)),))
+    tasks = []
+
+    def write(results, k):
+        rows = results.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        tasks.extend(r["count"] for r in rows)
+        return results
+
+    prefetch.run_rounds(logs, m, spark.createDataFrame([], CALL_CACHE), fetch, write)
+    assert sum(tasks) == n and len(tasks) > 1 and max(tasks) < n
+
+
+def test_a_selector_is_hashed_once(monkeypatch):
+    from chainfold.functions import keccak
+
+    hashed, real = [], keccak.keccak256
+    monkeypatch.setattr(keccak, "keccak256", lambda data: hashed.append(data) or real(data))
+    assert {keccak.selector("asked(uint8,uint16)") for _ in range(1000)} == {real(b"asked(uint8,uint16)")[:4]} and len(hashed) == 1
+
+
 def test_failed_batches_are_left_out_and_the_last_result_stands(spark):
     calls = spark.createDataFrame([(addr(1), b"x"), (addr(2), b"x")], "target binary, calldata binary").coalesce(1)
     assert prefetch.fetch_all(calls, lambda pairs: None, 1).count() == 0
