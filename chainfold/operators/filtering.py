@@ -152,16 +152,21 @@ def _block_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, place = np.unique(batch.column(0).to_numpy(), return_inverse=True)
         found = []
         for column, bits, low in ((1, TOPIC_BITS, 0), (2, ADDRESS_BITS, TOPIC_BITS)):
-            there = batch.column(column).is_valid().to_numpy(zero_copy_only=False)
-            keys = batch.column(column).drop_null().to_pylist()
-            found.append((place[there][:, None] * width + low + _positions(keys, bits)).ravel())
+            # a key's bits are looked up once, and spread over each block that has it once
+            encoded = batch.column(column).dictionary_encode()
+            there = encoded.is_valid().to_numpy(zero_copy_only=False)
+            if not len(keys := encoded.dictionary):
+                continue
+            pairs = np.unique(place[there].astype("int64") * len(keys) + encoded.indices.drop_null().to_numpy())
+            owner, key = np.divmod(pairs, len(keys))
+            found.append((owner[:, None] * width + low + _positions(keys.to_pylist(), bits)[key]).ravel())
         if held is not None:
             k = int(np.searchsorted(blocks, held[0]))
             if k < len(blocks) and blocks[k] == held[0]:
                 found.append(k * width + held[1])
             else:
                 yield made(np.array([held[0]]), held[1])
-        codes = np.unique(np.concatenate(found))
+        codes = np.unique(np.concatenate([np.empty(0, "int64"), *found]))
         last = len(blocks) - 1
         cut = np.searchsorted(codes, last * width)
         held = (blocks[last], codes[cut:] - last * width)

@@ -119,3 +119,20 @@ def test_block_filters_are_made_by_partition(spark):
         mine = [r for r in df.collect() if r.block_number == n]
         assert got[n].address_bits == sorted({p for r in mine for p in filtering.bloom_positions(bytes(r.address), filtering.ADDRESS_BITS)})
         assert got[n].topic_bits == sorted({p for r in mine if r.topic0 is not None for p in filtering.bloom_positions(bytes(r.topic0), filtering.TOPIC_BITS)})
+
+
+def test_a_key_of_many_logs_is_looked_up_once_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    asked, real = [], filtering._positions
+    monkeypatch.setattr(filtering, "_positions", lambda keys, bits: asked.append(len(keys)) or real(keys, bits))
+    topics, addresses = [bytes([1]) * 32, None, bytes([2]) * 32], [addr(5), addr(6)]
+    rows = [(k // 300, topics[k % 3], addresses[k % 2]) for k in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2)]], ["block_number", "topic0", "address"])
+    made = {r["block_number"]: r for b in filtering._block_bits(iter([batch])) for r in b.to_pylist()}
+    bits = lambda keys, n: sorted({p for k in keys if k for p in filtering.bloom_positions(k, n)})
+    assert asked == [2, 2] and sorted(made) == [0, 1, 2]
+    for r in made.values():
+        assert r["topic_bits"] == bits(topics, filtering.TOPIC_BITS) and r["address_bits"] == bits(addresses, filtering.ADDRESS_BITS)
+    none = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary())], ["block_number", "topic0", "address"])
+    assert [r for b in filtering._block_bits(iter([none])) for r in b.to_pylist()] == [{"block_number": 7, "topic_bits": [], "address_bits": []}]

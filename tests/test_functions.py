@@ -166,3 +166,17 @@ def test_many_hashes_at_once():
     messages = [bytes((7 * k + j) % 256 for j in range(n)) for k, n in enumerate([0, 1, 31, 135, 136, 137, 271, 272, 273, 600, 600, 5])]
     assert keccak256_all(messages) == [keccak256(m) for m in messages] and keccak256_all([]) == []
     assert keccak256_all([b""])[0].hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
+
+
+def test_event_logs_parse_no_text(spark, tmp_path):
+    """A log's block is arithmetic on its time; words and addresses are padded as bytes."""
+    from chainfold.plans import driver_queries as d
+
+    spark.sql("""select event_id, 1L user_id, 'click' event_type, 1.0D value, ts from values (1L, timestamp_ntz'2024-03-10 02:30:59.9'), (2L, timestamp_ntz'1970-01-01 00:00:00'),
+        (3L, timestamp_ntz'2024-12-31 23:59:59.999999') t(event_id, ts)""").write.parquet(f"{tmp_path}/events.parquet")
+    logs = d.event_logs(spark, str(tmp_path))
+    assert {r.log_index: r.seconds for r in logs.collect()} == {1: 1710037859, 2: 0, 3: 1735689599}
+    assert "as string" not in logs._jdf.queryExecution().optimizedPlan().toString().lower() and "map(" not in logs._jdf.queryExecution().optimizedPlan().toString().lower()
+    numbers = [0, 1, 15, 16, 255, 256, 2**63 - 1]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", d.as_word(F.col("n")).alias("w"), d.as_address(F.col("n")).alias("a")).collect()
+    assert all((bytes(r.w), bytes(r.a)) == (r.n.to_bytes(32, "big"), r.n.to_bytes(20, "big")) for r in rows)
