@@ -59,3 +59,13 @@ def test_calls_of_large_ids(spark, tmp_path, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     got = driver_queries.QUERIES[name](spark, str(tmp_path)).toPandas()
     assert rows(got) == rows(con.execute(driver_queries.ORACLE_SQL[name]).df())
+
+
+def test_commits_of_layers_read_their_own_legs(spark, monkeypatch):
+    """Twelve commits are not twelve scans of the events."""
+    from chainfold.sources import store
+
+    plans, real = [], store.StateStore.commit
+    monkeypatch.setattr(store.StateStore, "commit", lambda self, mutable, *a, **b: plans.append(mutable["accounts"][0].inputFiles()) or real(self, mutable, *a, **b))
+    driver_queries.QUERIES["layered_commits"](spark, DATA).collect()
+    assert len(plans) == 12 and not any("events.parquet" in f for files in plans for f in files)
