@@ -42,9 +42,28 @@ def from_limbs(parts: list[Column]) -> Column:
     return F.unhex(carried)
 
 
+def _low_half(c: Column) -> Column:
+    """The low four bytes of a long."""
+    return F.unhex(F.lpad(F.hex(c.bitwiseAND(F.lit(_BASE - 1))), 8, "0"))
+
+
 def signed_sum(word: Column, sign: Column | int = 1) -> Column:
-    """An aggregate: the sum of sign * word modulo 2**256. sign is 1 or -1 for each row."""
-    return from_limbs([F.sum(limb(word, k) * sign) for k in range(LIMBS)])
+    """An aggregate: the sum of sign * word modulo 2**256. sign is 1 or -1 for each row.
+
+    Most limbs are all zeros, or all ones in small negative words, which need no conversion; the carry is plain
+    arithmetic on the eight sums, since an aggregate's repeated sum is taken once.
+    """
+    def part(k: int) -> Column:
+        raw = _bytes(word, WORD_END - 4 * k, 4)
+        return F.when(raw == F.lit(bytes(4)), F.lit(0).cast("long")).when(raw == F.lit(b"\xff" * 4), F.lit(_BASE - 1)).otherwise(limb(word, k))
+
+    words, carry = [], None
+    for k in range(LIMBS):
+        now = F.sum(part(k) * sign)
+        now = now if carry is None else now + carry
+        words.append(_low_half(now))
+        carry = F.shiftright(now, 32)
+    return F.concat(*reversed(words))
 
 
 def add(a: Column, b: Column) -> Column:

@@ -148,8 +148,9 @@ class Indexer:
                 earlier = self.blocks.read_matching(m.start_block, start - 1, [], m.child_topics)
                 kept = kept.unionByName(filtering.child_logs(earlier, new, m, m.start_block, start - 1).withColumn("bucket", F.lit("children")))
         else:
-            self.spark.createDataFrame([], "address binary").write.mode("overwrite").parquet(f"{folder}-children")
-        kept.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+            # made without Python workers
+            self.spark.range(0).select(F.lit(b"").alias("address")).write.mode("overwrite").parquet(f"{folder}-children")
+        store.in_log_order(kept, low, end, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
         written = self.spark.read.schema(_INDEXED).parquet(folder).agg(F.count("*").alias("n"), F.count_distinct("block_number").alias("b")).first()
         self.stats |= {"scanned_blocks": end - start + 1, "matched_blocks": written.b, "kept_logs": written.n}
         meta |= {"parts": [*meta["parts"], folder], "scanned_to": end}

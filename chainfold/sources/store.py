@@ -13,8 +13,12 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +33,19 @@ from .schemas import BLOCKS, BUCKET, FINALITY, LOGS, ORDER, TXS
 DELTAS, KEEP = 8, 16
 #: Sets of more keys than this are not tested against the blocks' filters.
 TESTED = 64
+#: Equal spans of blocks whose logs are counted to cut a batch into files, and the logs of one.
+CELLS, FILE_LOGS = 1024, 250_000
 BLOOMS = "block_number long, topic_bits array<int>, address_bits array<int>"
 
 
+def together(spark: SparkSession, steps: list[Callable]) -> list:
+    """The results of steps that do not need each other, run at the same time; the first one's error is raised when all have ended."""
+    if len(steps) < 2:
+        return [s() for s in steps]
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [made.result() for made in [pool.submit(inheritable_thread_target(spark)(s)) for s in steps]]
+
+
 class StoreError(RuntimeError):
     """A table that is missing, foreign, or would be left with a gap."""
 
@@ -85,6 +99,29 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def in_log_order(logs: DataFrame, low: int, high: int, folder: str) -> DataFrame:
+    """Logs of a span of blocks by folder and in log order, cut between blocks into parts of about FILE_LOGS.
+
+    The folder's column comes first, since a write by folders sorts again what is not sorted by it.
+
+    repartitionByRange would compute all columns of all logs a second time to find its cuts. Here logs are counted in
+    CELLS equal spans, from the block numbers alone; where some span is longer than two parts, it does.
+    """
+    width = max(1, -(-(high - low + 1) // CELLS))
+    cell = F.least(F.greatest(F.floor((F.col("block_number") - low) / width).cast("int"), F.lit(0)), F.lit(CELLS - 1))
+    found = {r.cell: r.n for r in logs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}
+    total, before, places = sum(found.values()), 0, []
+    parts = max(1, -(-total // FILE_LOGS), min(logs.sparkSession.sparkContext.defaultParallelism, total * 10 // FILE_LOGS))
+    if parts > 1 and max(found.values()) > 2 * total / parts:
+        return logs.repartitionByRange(*ORDER).sortWithinPartitions(folder, *ORDER)
+    for k in range(CELLS):
+        places.append(str(before * parts // max(1, total)))
+        before += found.get(k, 0)
+    # folded into one literal: a look-up for each log
+    place = F.get(F.split(F.lit(",".join(places)), ",").cast("array<int>"), cell)
+    return logs.repartitionById(parts, F.least(place, F.lit(parts - 1))).sortWithinPartitions(folder, *ORDER)
+
+
 class BlockStore:
     """logs, blocks, txs and block filters of final blocks, in folders of BUCKET blocks, sorted in log order."""
 
@@ -172,7 +209,7 @@ class BlockStore:
         except LookupError as error:
             raise StoreError(str(error)) from None
         bucketed = after(logs).withColumn("topic0", F.get("topics", 0)).withColumn("block_bucket", F.floor(F.col("block_number") / BUCKET))
-        (bucketed.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.mode("overwrite").partitionBy("block_bucket")
+        (in_log_order(bucketed, span.low, span.high, "block_bucket").write.mode("overwrite").partitionBy("block_bucket")
          .option("parquet.bloom.filter.enabled#address", "true").option("parquet.bloom.filter.enabled#topic0", "true")
          .parquet(f"{self.path}/logs/part={part}"))
         every = new.select("block_number").join(block_blooms(self._part_logs(part)).hint("merge"), "block_number", "left")
@@ -311,19 +348,27 @@ class StateStore:
         number = old.number + 1
         tables, counts, keys, dropped = dict(old.tables), dict(old.counts), dict(old.keys), list(old.dropped)
         before = self.view(old)
-        for name, (df, key) in mutable.items():
+
+        def layer(name: str, df: DataFrame, key: str) -> tuple[list[str], list[list]]:
             layers = [*tables.get(name, []), self._write(df, name, number, key)]
-            if len(layers) > DELTAS + 1:
-                merged = folds.newest([self.spark.read.parquet(p) for p in layers], key)
-                dropped += [[number, p] for p in layers]
-                layers = [self._write(merged, f"{name}/base", number, key)]
-            tables[name], keys[name] = layers, key
-        for name, (df, key) in immutable.items():
+            if len(layers) <= DELTAS + 1:
+                return layers, []
+            merged = folds.newest([self.spark.read.parquet(p) for p in layers], key)
+            return [self._write(merged, f"{name}/base", number, key)], [[number, p] for p in layers]
+
+        def rows(name: str, df: DataFrame, key: str) -> tuple[list[str], int]:
             path = self._write(df, name, number, key)
             added = self.spark.read.parquet(path)
             folds.require_increasing(before.table(name), added, key)
-            tables[name] = [*tables.get(name, []), path]
-            counts[name] = counts.get(name, 0) + added.count()
+            return [*tables.get(name, []), path], counts.get(name, 0) + added.count()
+
+        # one table's steps are small jobs that wait for each other, so the tables are written at the same time
+        made = together(self.spark, [*[partial(layer, n, df, key) for n, (df, key) in mutable.items()], *[partial(rows, n, df, key) for n, (df, key) in immutable.items()]])
+        for (name, (_, key)), (layers, gone) in zip(mutable.items(), made):
+            tables[name], keys[name] = layers, key
+            dropped += gone
+        for name, (paths, n) in zip(immutable, made[len(mutable):]):
+            tables[name], counts[name] = paths, n
         due = [p for n, p in dropped if n <= number - KEEP]
         new = Version(number, cursor, scanned_to, tables, counts, fingerprint or old.fingerprint, batch_id, keys, [x for x in dropped if x[0] > number - KEEP])
         publish(self.spark, f"{self.path}/CURRENT.json", json.dumps(new.__dict__))

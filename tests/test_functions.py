@@ -180,3 +180,14 @@ def test_event_logs_parse_no_text(spark, tmp_path):
     numbers = [0, 1, 15, 16, 255, 256, 2**63 - 1]
     rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", d.as_word(F.col("n")).alias("w"), d.as_address(F.col("n")).alias("a")).collect()
     assert all((bytes(r.w), bytes(r.a)) == (r.n.to_bytes(32, "big"), r.n.to_bytes(20, "big")) for r in rows)
+
+
+def test_sums_of_words_carry_without_a_fold(spark):
+    """Small, large, negative and null words; limbs of zeros or ones are not converted by text."""
+    draw = random.Random(5)
+    words = [draw.choice([draw.getrandbits(256), draw.getrandbits(60), 2**256 - 1 - draw.getrandbits(40), 0, 2**256 - 1]) for _ in range(300)]
+    rows = [(k % 7, w.to_bytes(32, "big"), draw.choice([1, -1])) for k, w in enumerate(words)] + [(9, None, 1)]
+    made = spark.createDataFrame(rows, "k int, w binary, s int").groupBy("k").agg(u256.signed_sum(F.col("w"), F.col("s")).alias("total"))
+    got = {r.k: r.total and int.from_bytes(r.total, "big") for r in made.collect()}
+    assert got == {k: sum(int.from_bytes(w, "big") * s for q, w, s in rows if q == k) % 2**256 for k in range(7)} | {9: None}
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()

@@ -1,5 +1,6 @@
 import json
 import random
+import threading
 
 import pyarrow as pa
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from chainfold.sources import receipts as rc
-from chainfold.sources import rpc
+from chainfold.sources import rpc, store
 from chainfold.sources.schemas import LOGS
 from chainfold.sources.store import BlockStore, StateStore, StoreError, newest_page, page
 from tests.chain import addr, blocks_of, logs_of, transfer, word
@@ -231,3 +232,43 @@ def test_canonical_hashes_are_not_broadcast(spark):
     dump = spark.createDataFrame([(n, bytes([n]) * 32) for n in range(4)], "block_number long, block_hash binary")
     plan = rc.canonical(dump, dump)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_batches_are_cut_without_computing_their_rows(spark, tmp_path):
+    """Cuts come from block numbers: each log's columns are made once, and the order is the logs'."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def data(n):
+        calls.add(1)
+        return n.to_bytes(4, "big")
+
+    low, n = 1_000, 60_000
+    logs = spark.range(n).select(
+        (low + F.col("id") % 3000).alias("block_number"), F.lit(0).alias("tx_index"), F.col("id").cast("int").alias("log_index"), F.lit(addr(1)).alias("address"),
+        F.array(F.lit(b"t")).alias("topics"), data("id").alias("data"), F.lit(None).cast("binary").alias("tx_hash"))
+    blocks = BlockStore(spark, f"{tmp_path}/s")
+    assert blocks.append(logs, blocks_of(spark, range(low, low + 3000))) == low + 2999
+    assert calls.value == n
+    files = [[(r.block_number, r.log_index) for r in spark.read.parquet(f).collect()] for f in blocks.logs.inputFiles()]
+    assert len(files) > 1 and all(f == sorted(f) for f in files) and sum(map(len, files)) == n
+    ends = sorted((f[0], f[-1]) for f in files)
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_a_span_of_most_logs_is_cut_within_its_block(spark):
+    logs = spark.range(70_000).select(F.when(F.col("id") < 100, F.col("id")).otherwise(50).alias("block_number"), F.lit(0).alias("tx_index"), F.col("id").cast("int").alias("log_index"), F.lit("a").alias("f"))
+    parts = store.in_log_order(logs, 0, 99, "f").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 70_000
+    assert "RepartitionByExpression" in store.in_log_order(logs, 0, 99, "f")._jdf.queryExecution().analyzed().toString()
+    assert store.in_log_order(logs.limit(0), 0, 99, "f").count() == 0
+
+
+def test_tables_of_a_commit_are_written_at_the_same_time(spark, tmp_path, monkeypatch):
+    meet, real = threading.Barrier(3, timeout=20), store.StateStore._write
+    monkeypatch.setattr(store.StateStore, "_write", lambda self, *a: meet.wait() and None or real(self, *a))
+    state = store.StateStore(spark, f"{tmp_path}/state")
+    table = lambda *ids: spark.createDataFrame([(bytes([k]), k) for k in ids], "id binary, n int")
+    made = state.commit({"a": (table(1, 2), "id"), "b": (table(3), "id")}, {"c": (table(4, 5, 6), "id")}, 7, 8)
+    assert made.counts == {"c": 3} and made.keys == {"a": "id", "b": "id"}
+    assert [state.view().table(t).count() for t in "abc"] == [2, 1, 3]
